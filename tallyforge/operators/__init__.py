@@ -1 +1 @@
-"""."""
+"""Matching and pricing operators."""

@@ -1 +1 @@
-"""."""
+"""Workbook sources."""
