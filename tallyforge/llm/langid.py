@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import cut, fold
 
 DIM, N = 1024, 3
 #: Learning documents a language, about; those with the least hashes.
 PER_LANGUAGE = 4_000
+#: Languages whose rates (one short row each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST = 10_000
 #: Vectors of letters: own ones for the first code points, shared ones beyond.
 OWN, SHARED = 1536, 512
 
@@ -63,7 +65,9 @@ def learn_prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int
     hash of the id.  Sums are added by Spark per language and component; only the prototypes reach the driver.
     """
     train = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
-    rate = train.groupBy(F.col("lang").alias("_l")).agg((F.lit(float(per_language)) / F.count("*")).alias("_rate"))
+    rate = cut(train.groupBy(F.col("lang").alias("_l")).agg((F.lit(float(per_language)) / F.count("*")).alias("_rate")))
+    if rate.count() <= BROADCAST:  # texts stay where they are read; a shuffle by language would put a third of them in one task
+        rate = F.broadcast(rate)
     u = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 20)) / float(1 << 20)
     some = train.join(rate, train["lang"] == rate["_l"]).where(u < F.col("_rate")).select("lang", "text")
 
