@@ -159,3 +159,21 @@ def natural_key(x: Column) -> Column:
     """NR33: digit runs padded to six."""
     parts = F.regexp_extract_all(blank(x), F.lit(r"\d+|\D+"), 0)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 6, "0")).otherwise(p)), "")
+
+
+def token_hash(token: Column) -> Column:
+    """NR19: 64-bit hash of a token, lower-cased; only equality of hashes has meaning."""
+    return F.xxhash64(F.lower(token))
+
+
+def file_size(size: Column) -> Column:
+    """NR36: bytes, whole KB or MB with one decimal."""
+    mb = F.format_string("%.1f MB", size.cast("double") / (1 << 20))
+    return F.when(size >= 1 << 20, mb).when(size >= 1 << 10, F.format_string("%.0f KB", size.cast("double") / 1024)).otherwise(F.concat(size.cast("string"), F.lit(" B")))
+
+
+def role_badge(role: Column, priced: Column) -> Column:
+    """NR36: the shown name of a file's role."""
+    # fixed values
+    target = F.when(priced, "جدول الاستشاري المستهدف (Target)").otherwise("جدول استشاري غير مسعر (Target)")
+    return F.when(role == "ContractorPriced", "ملف المقاول المسعر (Source)").when(role == "ConsultantTarget", target).when(role == "SupplementaryRates", "ملف أسعار إضافي / موردين (Rates)").otherwise("ملف مرجعي")

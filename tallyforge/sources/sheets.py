@@ -53,7 +53,11 @@ def parse_workbook(name: str, content: bytes) -> Iterator[tuple]:
 
 def read_workbooks(spark: SparkSession, *paths: str) -> DataFrame:
     """SC1, SC6, SC9, SC10: cells of all workbooks under the paths (each distinct path once, whatever its case)."""
-    files = spark.read.format("binaryFile").load(list({p.lower(): p for p in paths}.values()))
+    return cells_of(spark.read.format("binaryFile").load(list({p.lower(): p for p in paths}.values())))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """Cells of workbook files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,3 +185,24 @@ def output_audit(cells: DataFrame) -> DataFrame:
     w = _wide(cells, resolve_headers(cells)).groupBy("sheet").agg(F.count_if(T.parse_positive(F.col("rate")).isNotNull()).alias("rates"))
     c = cells.groupBy("sheet").agg(F.count_if(F.col("formula").isNotNull()).alias("formulas"), F.count_if(F.col("raw").rlike("^#(REF|VALUE|N/A|DIV/0)")).alias("broken"), F.count_if(F.col("raw").rlike("[٠-٩۰-۹]")).alias("arabic_digits"))
     return c.join(w, "sheet", "left").fillna(0, ["rates"]).select("sheet", "rates", "formulas", "broken", "arabic_digits")
+
+
+def distinct_paths(paths: DataFrame) -> DataFrame:
+    """FL12: each path once, whatever its case (the first by order of characters); blank ones go.  paths: path."""
+    return paths.where(F.trim("path") != "").groupBy(F.lower("path").alias("key")).agg(F.min("path").alias("path")).select("path")
+
+
+def external_formulas(cells: DataFrame) -> DataFrame:
+    """SC9: formulas that point into another workbook, which hold a name in brackets."""
+    return cells.where(F.col("formula").rlike(r"\[.*\]")).select("workbook", "sheet", "row", "col", "formula")
+
+
+def external_sheets(cells: DataFrame, matched: DataFrame) -> DataFrame:
+    """SC10: sheet names of each workbook: those in its cells and those that matched items name; case does not count.
+
+    matched: workbook, sheet of the matched source items.  A name in the file wins over its spelling elsewhere.
+    """
+    file = lambda c: F.element_at(F.split(F.col(c), r"[/\\]"), -1)
+    names = cells.select(file("workbook").alias("workbook"), "sheet", F.lit(0).alias("o")).unionByName(matched.select(file("workbook").alias("workbook"), "sheet", F.lit(1).alias("o")))
+    names = names.where(F.trim("sheet") != "").groupBy(F.lower("workbook").alias("w"), F.lower("sheet").alias("s"))
+    return names.agg(F.min(F.struct("o", "sheet"))["sheet"].alias("sheet")).select(F.col("w").alias("workbook"), "sheet")
