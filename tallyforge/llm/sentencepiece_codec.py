@@ -239,7 +239,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, giant: int = GIANT, ch
     size = F.coalesce(F.char_length("text"), F.lit(0))
     small = docs.where(size <= giant).mapInArrow(ordinary, schema)
     large = docs.where(size > giant).withColumn("_key", F.sha2("text", 256))
-    chunks = large.select("_key", "text").mapInArrow(split, "_key string, c int, n int, s string, a int, b int").repartition("_key", "c")
+    # chunks are few bytes and much work: a fixed number of partitions is not merged for being small
+    spark = docs.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # copies of one text are chunked once; the filter stands where the join would put it, so both uses share one exchange
+    chunks = large.select("_key", "text").dropDuplicates(["_key"]).mapInArrow(split, "_key string, c int, n int, s string, a int, b int").where("_key is not null and c is not null").repartition(wide, "_key", "c")
     states = chunks.mapInArrow(matrices, "_key string, c int, rows int, m binary").groupBy("_key").applyInPandas(combine, "_key string, c int, i int, j int")
     parts = chunks.join(states, ["_key", "c"]).select("_key", "c", "n", "s", "a", "b", "i", "j").mapInArrow(trace, "_key string, c int, part array<int>")
     whole = parts.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("c", "part"))), lambda x: x["part"])).alias("_ids"))
