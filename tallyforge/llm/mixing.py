@@ -19,6 +19,8 @@ TEMPER = 0.7
 #: Tokens to keep, as a share of all.
 SHARE = 0.5
 SALT = "17"
+#: Bytes of cells that are broadcast; more are joined by shuffle.
+BROADCAST = 32 << 20
 
 
 def topic(text: Column) -> Column:
@@ -73,9 +75,12 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, sha
     what a kept document counts to make up for that bound (1 where it does not bind).
     """
     cells = cut(raked_cells(docs, targets, rounds, temper))
-    total = cells.agg(F.coalesce(F.sum("tok"), F.lit(0))).first()[0]
+    wide = F.sum(F.octet_length("_src") + F.octet_length("_lng") + F.octet_length("_top") + 64)
+    total, size = cells.agg(F.coalesce(F.sum("tok"), F.lit(0)), F.coalesce(wide, F.lit(0))).first()
     rate = F.when(F.col("tok") > 0, F.lit(float(share)) * F.lit(float(total)) * F.col("w") / F.col("tok")).otherwise(F.lit(float(share)))
     cells = cells.select(*DIMS, F.round(F.least(F.lit(1.0), rate), 9).alias("_prob"), F.round(F.greatest(F.lit(1.0), rate), 6).alias("_weight"))
+    if size <= BROADCAST:  # texts stay where they are read; a shuffle by cell would put a hot cell in one task
+        cells = F.broadcast(cells)
     return _with_cells(docs).join(cells, list(DIMS)).withColumn("_u", uniform(F.col("doc_id"), salt))
 
 
@@ -91,7 +96,7 @@ def mix_sources(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """The sampled documents, same columns.  The draw depends on the id alone, so ids are sampled first and rows follow."""
+    """The sampled documents, same columns.  The draw depends on the id alone."""
     return calibrated(docs).where(F.col("_u") < F.col("_prob")).select(*docs.columns)
 
 
