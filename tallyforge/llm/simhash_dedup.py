@@ -197,10 +197,3 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame
     """
     fps, classes = simhash_classes(docs, radius, width)
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_dedup_stage(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs with one document of each component (its least id), same columns."""
-    _, classes = simhash_classes(docs, radius)
-    keep = classes.select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
