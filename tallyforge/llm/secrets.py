@@ -38,6 +38,8 @@ def _matches(text: Column, order: int) -> Column:
 def _spans(rows: DataFrame) -> DataFrame:
     """(_row, o, start, end) of every match that stands; rows: (_row, _text)."""
     found = rows.select("_row", F.explode(F.concat(*[_matches(F.col("_text"), o) for o in range(len(KINDS))])).alias("x")).select("_row", "x.*").where("m is not null")
+    # a repeated row finds each match once more; its length is to be summed once (only matches travel, no texts)
+    found = found.distinct()
     before = Window.partitionBy("_row", "o").orderBy("i")
     at = found.withColumn("end", F.sum(F.col("p") + F.col("m")).over(before))
     return at.where("ok").select("_row", "o", (F.col("end") - F.col("m")).alias("start"), "end")
