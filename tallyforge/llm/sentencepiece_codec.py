@@ -191,21 +191,29 @@ def chunked(text: str, chunk: int, context: int) -> Iterator[tuple[int, int, str
         yield c, n, text[lo:hi], a - lo, b - lo
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """docs with ``_ids`` (array<int>) appended.
+def gives_back(k: Codec, ids: np.ndarray | list[int], text: str | None) -> bool:
+    """Whether the ids decode to the text (null as empty; U+2581, which the model uses for a space, as a space)."""
+    return k.decode(ids) == (text or "").replace(GAP, " ")
+
+
+def encode_documents(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """docs with ``_ids`` (array<int>) appended, and with ``check`` also ``_same``: whether they decode to the text.
 
     Null and empty texts have no ids.  The result does not depend on ``giant`` and ``chunk``.
     """
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructType
 
     schema = StructType([*docs.schema.fields]).add("_ids", ArrayType(IntegerType()))
+    schema = schema.add("_same", BooleanType()) if check else schema
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = codec(model)
         for b in batches:
-            ids = [k.encode(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            ids = [k.encode(t) for t in texts]
+            same = [pa.array([gives_back(k, x, t) for x, t in zip(ids, texts)], pa.bool_())] if check else []
             cut = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], [*b.schema.names, "_ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))), *same], schema.names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = codec(model)
@@ -247,7 +255,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, giant: int = GIANT, ch
     states = chunks.mapInArrow(matrices, "_key string, c int, rows int, m binary").groupBy("_key").applyInPandas(combine, "_key string, c int, i int, j int")
     parts = chunks.join(states, ["_key", "c"]).select("_key", "c", "n", "s", "a", "b", "i", "j").mapInArrow(trace, "_key string, c int, part array<int>")
     whole = parts.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("c", "part"))), lambda x: x["part"])).alias("_ids"))
-    return small.unionByName(large.join(whole, "_key").select(*docs.columns, "_ids"))
+    out = large.join(whole, "_key").select(*docs.columns, "_ids")
+    if check:
+        out = decode_documents(out, model).withColumn("_same", F.col("_decoded").eqNullSafe(F.translate(F.coalesce("text", F.lit("")), GAP, " "))).drop("_decoded")
+    return small.unionByName(out)
 
 
 def decode_documents(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -289,3 +300,9 @@ def codec_report(docs: DataFrame, model: str = MODEL, giant: int = GIANT, chunk:
 def encode_stage(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with the column ``token_ids``."""
     return encode_documents(docs.drop("token_ids"), model).withColumnRenamed("_ids", "token_ids")
+
+
+def codec_stage(docs: DataFrame, model: str = MODEL, giant: int = GIANT) -> DataFrame:
+    """docs with ``token_ids`` and ``round_trip``: whether decoding the ids gives the text back, as in ``codec_report``."""
+    rows = encode_documents(docs.drop("token_ids", "round_trip"), model, giant, check=True)
+    return rows.withColumnsRenamed({"_ids": "token_ids", "_same": "round_trip"})
