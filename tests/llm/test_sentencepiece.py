@@ -25,7 +25,7 @@ def in_chunks(codec, text, chunk):
     s = codec.escaped(text)
     parts = list(sc.chunked(s, chunk, codec.longest + 1))
     m = [codec.transfer(t, a, b, c == 0, c == n - 1) for c, n, t, a, b in parts]
-    return [i for (c, n, t, a, b), (x, y) in zip(parts, sc.path_states(m)) for i in codec.ids(codec.backtrace(t, a, b, c == 0, c == n - 1, x, y))]
+    return [i for (c, n, t, a, b), (x, y) in zip(parts, sc.path_states(m)) for i in codec.trace(t, a, b, c == 0, c == n - 1, x, y).tolist()]
 
 
 @pytest.mark.parametrize("seed", range(12))
