@@ -2,14 +2,16 @@
 
 Equal vectors form one class.  A rotation learned by iterative quantisation (Gong and Lazebnik, 2011) on a bounded
 sample turns vectors into balanced bits; several rotations from different starts give as many bits as the tables need.
-Rows that share the bits of a table are compared by cosine in double precision.  A pair is counted in the first table
-it shares, so link counts add up without listing pairs.
+Each table indexes one substring of the code.  Retrieval reads only ids and codes: rows that share a substring are
+candidates if their whole codes are within the Hamming radius.  Vectors are fetched for rows with a candidate only, and
+the candidates are compared by cosine in double precision.  A pair is counted in the first table it shares, so link
+counts add up without listing pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, with_tiles
+from .common import components, cut, hot_join, with_tiles
 from .simhash_dedup import forest
 
 #: Rows of a bucket that one task compares at once; larger buckets are split into tiles.
-TILE = 4096
+TILE = 1024
 #: Bounds of the sample that rotations are learned on: rows, and numbers in all.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
 
@@ -32,11 +34,28 @@ class Index:
     rotations: list[np.ndarray]
     bits: int
     tables: int
+    radius: int = 0
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """Table keys (rows, tables) of unit rows x."""
-        code = np.concatenate([(x - self.mean) @ r > 0 for r in self.rotations], axis=1)[:, : self.bits * self.tables]
-        return (code.reshape(len(x), self.tables, self.bits) * (1 << np.arange(self.bits))).sum(axis=2).astype(np.int64)
+    @property
+    def size(self) -> int:
+        return self.bits * self.tables
+
+    def code(self, x: np.ndarray) -> np.ndarray:
+        """Codes (rows, size) of unit rows x, as booleans."""
+        return np.concatenate([(x - self.mean) @ r > 0 for r in self.rotations], axis=1)[:, : self.size]
+
+    def keys(self, code: np.ndarray) -> np.ndarray:
+        """Table keys (rows, tables): the substrings of the codes."""
+        return (code.reshape(len(code), self.tables, self.bits) * (1 << np.arange(self.bits))).sum(axis=2).astype(np.int64)
+
+    def pack(self, code: np.ndarray) -> np.ndarray:
+        """Codes as words (rows, words) of 64 bits."""
+        wide = np.zeros((len(code), -(-self.size // 64) * 64), bool)
+        wide[:, : self.size] = code
+        return np.packbits(wide, axis=1, bitorder="little").view("<u8")
+
+    def unpack(self, words: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, : self.size].astype(bool)
 
 
 def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
@@ -53,12 +72,13 @@ def fit_index(sample: np.ndarray, rows: int, threshold: float, recall: float = 0
     """Rotations, bits a table and number of tables for ``rows`` vectors.
 
     Bits grow with log2(rows), so buckets stay of one size; tables follow from how often a made-up neighbour at exactly
-    the threshold shares a table, measured on the sample, so that ``recall`` of such pairs share one.
+    the threshold shares a table, measured on the sample, so that ``recall`` of such pairs share one.  The radius is a
+    bit more than the farthest that a code of those neighbours is from its own.
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
     if dim == 1:
-        return Index(np.zeros(1), [np.eye(1)], 1, 1)
+        return Index(np.zeros(1), [np.eye(1)], 1, 1, 1)
     bits = int(min(62, max(6, math.ceil(math.log2(max(1, rows) / 128)))))
     noise = rng.standard_normal(sample.shape)
     noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
@@ -72,6 +92,8 @@ def fit_index(sample: np.ndarray, rows: int, threshold: float, recall: float = 0
             best = Index(mean, rotations, bits, tables)
     while len(best.rotations) * dim < best.bits * best.tables:
         best.rotations.append(learn_rotation(sample - best.mean, rng))
+    far = int((best.code(sample) != best.code(near)).sum(axis=1).max())
+    best.radius = far + 2 + best.size // 50
     return best
 
 
@@ -86,19 +108,21 @@ def _unit(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare(x: np.ndarray, keys: np.ndarray, t: int, size: np.ndarray, cross: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links inside one bucket of table t: per row, the sizes of the classes linked first here; and pairs i < j.
+def candidates(index: Index, words: np.ndarray, t: int, cross: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one bucket of table t that are within the radius and share no earlier table, by blocks.
 
     cross: chunk of each row, where the bucket is a tile of two chunks and only pairs across them are its own.
     """
-    m = len(x)
-    weight, pi, pj = np.zeros(m, np.int64), [], []
-    for a in range(0, m, 1024):
-        for b in range(a, m, 1024):
-            s = x[a : a + 1024] @ x[b : b + 1024].T >= threshold
+    m, keys = len(words), index.keys(index.unpack(words)) if t else None
+    for a in range(0, m, 512):
+        for b in range(a, m, 512):
+            far = np.zeros((min(512, m - a), min(512, m - b)), np.int32)
+            for w in range(words.shape[1]):
+                far += np.bitwise_count(words[a : a + 512, None, w] ^ words[None, b : b + 512, w])
+            near = far <= index.radius
             if a == b:
-                s = np.triu(s, 1)
-            i, j = np.nonzero(s)
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
             i, j = i + a, j + b
             if cross is not None and len(i):
                 own = cross[i] != cross[j]
@@ -106,45 +130,15 @@ def compare(x: np.ndarray, keys: np.ndarray, t: int, size: np.ndarray, cross: np
             if t and len(i):
                 first = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
                 i, j = i[first], j[first]
-            np.add.at(weight, i, size[j])
-            np.add.at(weight, j, size[i])
-            pi.append(i)
-            pj.append(j)
-    return weight, np.concatenate(pi), np.concatenate(pj)
-
+            if len(i):
+                yield i, j
 
-def class_links(classes: DataFrame, index: Index, threshold: float, tile: int = TILE) -> DataFrame:
-    """Rows (a, w, b): class a has links to w more vectors (b null), or a star edge of linked classes (w zero)."""
-    kind = classes.schema["rep"].dataType.simpleString()
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(b.column(2))
-            k = index.keys(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x]), pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), index.tables).cast(pa.list_(pa.int64()))], ["rep", "size", "x", "keys"])
 
-    rows = classes.select("rep", "size", "vec").mapInArrow(code, f"rep {kind}, size bigint, x binary, keys array<bigint>")
-    rows = rows.select("rep", "size", "x", "keys", F.posexplode("keys").alias("t", "k")).withColumn("key", F.col("k") * index.tables + F.col("t")).withColumn("_h", F.xxhash64("rep"))
-    rows = with_tiles(rows, "key", tile).repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi").select("key", "_lo", "_hi", "_chunk", "t", "rep", "size", "x", "keys")
+def _buckets(rows: DataFrame, tile: int, more: list[str], one: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``one`` applied to each bucket, or tile of a hot one, of rows (key, t, rep, words and ``more``)."""
+    rows = with_tiles(rows.withColumn("_h", F.xxhash64("rep")), "key", tile).repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi").select("key", "_lo", "_hi", "_chunk", "t", "rep", "words", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(part: pa.Table) -> pa.RecordBatch | None:
-            if part.num_rows < 2:
-                return None
-            x = np.frombuffer(b"".join(part.column("x").to_pylist()), np.float64).reshape(part.num_rows, -1)
-            keys = np.asarray(part.column("keys").combine_chunks().flatten()).reshape(part.num_rows, -1)
-            chunk = part.column("_chunk").to_numpy()
-            reps, t = part.column("rep").to_numpy(), part.column("t")[0].as_py()
-            cross = chunk if part.column("_lo")[0].as_py() != part.column("_hi")[0].as_py() else None
-            w, i, j = compare(x, keys, t, part.column("size").to_numpy(), cross, threshold)
-            if not len(i):
-                return None
-            a, b = forest(reps, i, j)
-            some = w > 0
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((reps[some], a))), pa.array(np.concatenate((w[some], np.zeros(len(a), np.int64)))), pa.array([None] * int(some.sum()) + b.tolist(), pa.from_numpy_dtype(reps.dtype))], ["a", "w", "b"])
-
         held = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
@@ -153,14 +147,68 @@ def class_links(classes: DataFrame, index: Index, threshold: float, tile: int =
             ends = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             at = 0
             for e in ends.tolist():
-                if (r := one(held.slice(at, e - at))) is not None:
+                if e - at > 1 and (r := one(held.slice(at, e - at))) is not None:
                     yield r
                 at = e
             held = held.slice(at)
-        if held is not None and (r := one(held)) is not None:
+        if held is not None and held.num_rows > 1 and (r := one(held)) is not None:
             yield r
 
-    return rows.mapInArrow(run, f"a {kind}, w bigint, b {kind}")
+    return rows.mapInArrow(run, schema)
+
+
+def class_links(classes: DataFrame, index: Index, threshold: float, tile: int = TILE) -> DataFrame:
+    """Rows (a, w, b): class a has links to w more vectors (b null), or a star edge of linked classes (w zero).
+
+    classes: rep, size, vec.
+    """
+    kind, width = classes.schema["rep"].dataType.simpleString(), -(-index.size // 64)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = index.code(_unit(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in index.pack(c)]), pa.FixedSizeListArray.from_arrays(pa.array(index.keys(c).ravel()), index.tables).cast(pa.list_(pa.int64()))], ["rep", "words", "keys"])
+
+    def table(part: pa.Table) -> tuple[np.ndarray, int, np.ndarray | None]:
+        words = np.frombuffer(b"".join(part.column("words").to_pylist()), "<u8").reshape(part.num_rows, width)
+        cross = part.column("_chunk").to_numpy() if part.column("_lo")[0].as_py() != part.column("_hi")[0].as_py() else None
+        return words, part.column("t")[0].as_py(), cross
+
+    def live(part: pa.Table) -> pa.RecordBatch | None:
+        words, t, cross = table(part)
+        some = np.zeros(part.num_rows, bool)
+        for i, j in candidates(index, words, t, cross):
+            some[i] = some[j] = True
+        p = part.filter(pa.array(some)).select(["key", "t", "rep", "words"]).combine_chunks()
+        return p.to_batches()[0] if some.any() else None
+
+    def links(part: pa.Table) -> pa.RecordBatch | None:
+        words, t, cross = table(part)
+        x, size, reps = _unit(part.column("vec").combine_chunks()), part.column("size").to_numpy(), part.column("rep").to_numpy()
+        w, pi, pj = np.zeros(part.num_rows, np.int64), [], []
+        for i, j in candidates(index, words, t, cross):
+            step = max(1, (1 << 20) // x.shape[1])
+            for at in range(0, len(i), step):
+                p, q = i[at : at + step], j[at : at + step]
+                close = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
+                p, q = p[close], q[close]
+                np.add.at(w, p, size[q])
+                np.add.at(w, q, size[p])
+                pi.append(p)
+                pj.append(q)
+        if not w.any():
+            return None
+        a, b = forest(reps, np.concatenate(pi), np.concatenate(pj))
+        some = w > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((reps[some], a))), pa.array(np.concatenate((w[some], np.zeros(len(a), np.int64)))), pa.array([None] * int(some.sum()) + b.tolist(), pa.from_numpy_dtype(reps.dtype))], ["a", "w", "b"])
+
+    slim = classes.select("rep", "vec").mapInArrow(code, f"rep {kind}, words binary, keys array<bigint>")
+    slim = slim.select("rep", "words", F.posexplode("keys").alias("t", "k")).select("rep", "words", "t", (F.col("k") * index.tables + F.col("t")).alias("key"))
+    # a row of a hot bucket is found in several of its tiles
+    found = _buckets(slim, tile, [], live, f"key bigint, t int, rep {kind}, words binary").dropDuplicates(["key", "rep"])
+    return _buckets(found.join(classes.select("rep", "size", "vec"), "rep"), tile, ["size", "vec"], links, f"a {kind}, w bigint, b {kind}")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, seed: int = 7) -> DataFrame:
@@ -188,7 +236,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, seed: int = 7)
     comp = components(found.where("b is not null").select("a", "b"))
     more = found.where("b is null").groupBy("a").agg(F.sum("w").alias("w"))
     done = classes.join(more, classes["rep"] == more["a"], "left").join(comp, classes["rep"] == comp["node"], "left")
-    done = done.select(F.col("vec").alias("_vec"), (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_comp"))
-    j = v.withColumn("_v", F.when(ok, F.col("vec"))).join(done, F.col("_v") == F.col("_vec"), "left")
-    out = j.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("_comp", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    done = done.select("vec", "size", (F.col("size") - 1 + F.coalesce("w", F.lit(0))).alias("_links"), F.coalesce("component", "rep").alias("_comp"))
+    total = classes.agg(F.sum("size")).first()[0]
+    out = hot_join(v.where(ok), done, ["vec"], "size", total, F.xxhash64("vec_id")).select("vec_id", F.col("_links").cast("long").alias("n_links"), F.coalesce("_comp", "vec_id").alias("component_id"))
+    alone = v.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
