@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN
+from .common import ROW, SPACE_RUN, cut, hot_join, row_hash, whole_rows
 
 
 def normalised(text: Column) -> Column:
@@ -33,16 +33,27 @@ def exact_dedup(docs: DataFrame, hash128: Callable[[Column], Column] = lambda c:
     not kept (kept is false).  Rows that repeat both id and text are one document: each of them says kept.  Other columns
     of docs are not read, whatever their names.
     """
-    ids = docs.select("doc_id", normalised(F.col("text")).cast("binary").alias("_t")).select("doc_id", hash128(F.col("_t")).alias("_h"), F.sha2("_t", 256).alias("text_sha256"))
-    g = content_groups(docs, hash128)
-    j = ids.join(g, (ids["_h"] == g["_h"]) & (ids["text_sha256"] == g["_sha"]))
-    return j.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    ids = docs.select("doc_id", normalised(F.col("text")).cast("binary").alias("_t")).select("doc_id", hash128(F.col("_t")).alias("_h"), F.sha2("_t", 256).alias("_sha"))
+    g = cut(content_groups(docs, hash128))
+    rows = g.agg(F.sum("group_size")).first()[0] or 0
+    j = hot_join(ids, g, ["_h", "_sha"], "group_size", rows, F.xxhash64("doc_id"))
+    return j.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("_sha").alias("text_sha256"))
+
+
+def id_key(doc_id: Column) -> Column:
+    """An id as text that is never null, so that it can be a key of joins and windows."""
+    return F.coalesce(F.concat(F.lit("i"), doc_id.cast("string")), F.lit("n"))
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs without the copies, same columns: a row stays if its id is the least of its text's group.
+    """docs with one row of each group of equal texts, all columns kept whatever their names.
 
-    Rows without an id cannot be told apart: they stay if some text has no other id.
+    The row of the least id stays (one without an id only if its group has no other); of rows that repeat both id and
+    text one stays, that of the least hash of all columns.  Null and empty texts form one group.  Copies of one text
+    are dealt by id and text, so a group that holds a third of the rows meets in no task.
     """
-    keep = content_groups(docs).select(F.col("keep_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    h, t = lambda c: F.unhex(F.md5(c)), normalised(F.col("text")).cast("binary")
+    rows = whole_rows(docs, id_key(F.col("doc_id")).alias("_id"), h(t).alias("_h"), F.sha2(t, 256).alias("_sha"), row_hash(docs).alias("_r"))
+    keep = content_groups(docs, h).select(id_key(F.col("keep_id")).alias("_id"), "_h", "_sha")
+    same = Window.partitionBy("_id", "_h", "_sha").orderBy("_r")
+    return rows.join(keep, ["_id", "_h", "_sha"], "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(f"{ROW}.*")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, with_tiles
+from .common import components, cut, hot_join, slices, with_tiles
 
 #: Rows of a bucket that one task compares at once; larger buckets are split into tiles.
 TILE = 4096
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((fingerprint(t, width, seed) for t in b.column(1).cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -180,11 +180,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 256) -> Iterat
 
 
 def simhash_classes(docs: DataFrame, radius: int = 4, width: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row and (fp, component_id) of every different fingerprint."""
+    """(doc_id, fp) of every row and (fp, component_id, size) of every different fingerprint."""
     fps = cut(fingerprints(docs, width))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     comp = components(class_links(classes.where("rep is not null"), radius))
-    out = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    out = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "size")
     return fps, out
 
 
@@ -196,4 +196,4 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame
     columns are not read.
     """
     fps, classes = simhash_classes(docs, radius, width)
-    return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return hot_join(fps, classes, ["fp"], "size", fps.count(), F.xxhash64("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
