@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ROW, cut, whole_rows
 
 DIMS = ("_src", "_lng", "_top")
 #: Rounds of raking.
@@ -96,8 +96,13 @@ def mix_sources(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """The sampled documents, same columns.  The draw depends on the id alone."""
-    return calibrated(docs).where(F.col("_u") < F.col("_prob")).select(*docs.columns)
+    """The sampled documents, all columns kept whatever their names.
+
+    The draw depends on the id and the cell's probability: repeated rows stay or go together, rows without an id share
+    one draw.  Null sources and languages are the value ''; empty and null texts are drawn at the overall share.
+    """
+    rows = whole_rows(docs, *map(F.col, ("doc_id", "text", "source", "lang")))
+    return calibrated(rows).where(F.col("_u") < F.col("_prob")).select(f"{ROW}.*")
 
 
 def oracle_ctes(docs: str = "documents", prefix: str = "mx", rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, salt: str = SALT) -> str:
