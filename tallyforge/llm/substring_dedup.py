@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WORD_CACHE = 1 << 19
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,7 +228,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 4, hot: int =
     kinds = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total, gone, sha, kept_text = [], [], [], []
             for text, runs in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 words = (text or b"").split()
