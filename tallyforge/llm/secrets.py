@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Kind, pattern, least length of group 2 (0: none), role.  Base kinds come first.
 KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, "secret"),
@@ -69,8 +71,8 @@ def secret_scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     """
     row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))
     rows = docs.select("doc_id", row.alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
-    some = rows.where(F.greatest(*[F.col("_text").rlike(k[1]) for k in KINDS]))
-    s = linked(_spans(some.select("_row", "_text")), scope).distinct()
+    # spans are few and read several times, texts many: the texts are searched once
+    s = linked(cut(_spans(rows.select("_row", "_text"))), scope).distinct()
     label = F.concat_ws(":", F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("o") + 1), "start", "end")
     per = s.groupBy("_row").agg(
         *[F.count(F.when(F.col("o") == o, 1)).alias(f"n_{KINDS[o][0]}") for o in range(BASE)],
