@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, slices
 from .labelled import held_out, labelled_docs
 
 SAMPLE, LEXICON = 30_000, 2_000
@@ -165,7 +166,7 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> tuple[dict[str, flo
 
 def _feature_udf(weights: dict[str, float], starts: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             f = [features(t, weights, starts) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.list_(pa.float64()))], ["part", "_y", "f"])
 
@@ -174,6 +175,7 @@ def _feature_udf(weights: dict[str, float], starts: dict[str, float]):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Toxicity:
     s = labelled_docs(docs, labels, "toxic", bound).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(10)).cast("int"))
+    s = cut(s)  # the sample is read several times, the documents once
     weights, starts = learn_lexicon(s.where("part < 4"))
     rows = s.where("part >= 4").select("part", "text", "_y").mapInArrow(_feature_udf(weights, starts), "part int, _y int, f array<double>").orderBy(F.xxhash64("f"), "_y").limit(bound).collect()
     x = np.array([r["f"] for r in rows], np.float64).reshape(-1, N_FEATURES)
@@ -194,7 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([features(t, model.weights, model.starts) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
