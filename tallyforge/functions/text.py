@@ -145,9 +145,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def lev_similarity(a: Column, b: Column) -> Column:
-    """ST5: 1 - distance / longer length."""
+    """ST5: 1 - distance / longer length; 0 for two blank texts, which say nothing."""
     m = F.greatest(F.length(a), F.length(b))
-    return F.when(m > 0, 1 - F.levenshtein(a, b) / m).otherwise(F.lit(1.0))
+    return F.when(m > 0, 1 - F.levenshtein(a, b) / m).otherwise(F.lit(0.0))
 
 
 def column_letter(n: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .checkpoints import cut
 
 AMOUNT = "decimal(38,8)"
 
@@ -46,32 +47,34 @@ def match_counts(pairs: DataFrame) -> DataFrame:
     return c.withColumn("match_rate", F.bround(F.when(F.col("total") > 0, (F.col("exact") + F.col("high_fuzzy")) * 100.0 / F.col("total")).otherwise(0.0).cast("double"), 1))
 
 
-def running(df: DataFrame, value: str, tie: str, slices: int = 200) -> DataFrame:
-    """WN1, WN2 at scale: rank and running sum of a descending decimal column without one task holding all rows.
+def running(df: DataFrame, value: str, tie: str, slices: int | None = None) -> DataFrame:
+    """WN1, WN2 at scale: rank, running sum and total of a descending decimal column, no task holding all rows.
 
-    Rows are range-partitioned by (value desc, tie); each partition ranks its own rows and adds the totals of the
-    partitions before it, of which there is one row each.
+    Rows are range-partitioned by (value desc, tie) once and written, so that the partition of a row is a fact that both
+    sides below read; each partition ranks its own rows and adds the totals of the partitions before it, of which there
+    is one row each.
     """
     order = [F.desc(value), F.asc(tie)]
-    parts = df.repartitionByRange(slices, *order).withColumn("_p", F.spark_partition_id())
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.repartitionByRange(slices, *order).withColumn("_p", F.spark_partition_id()))
     own = Window.partitionBy("_p").orderBy(*order)
     ranked = parts.withColumns({"_r": F.row_number().over(own), "_s": F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0))})
     sums = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v0"))
-    return ranked.join(F.broadcast(sums), "_p").select(*df.columns, (F.col("_r") + F.col("_n0")).alias("rank"), (F.col("_s") + F.col("_v0")).cast(AMOUNT).alias("running"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sums = sums.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v0"), F.sum("_v").over(Window.partitionBy()).alias("_all"))
+    return ranked.join(F.broadcast(sums), "_p").select(*df.columns, (F.col("_r") + F.col("_n0")).alias("rank"), (F.col("_s") + F.col("_v0")).cast(AMOUNT).alias("running"), F.col("_all").cast(AMOUNT).alias("total"))
 
 
 def pareto(pairs: DataFrame) -> DataFrame:
-    """AG7, WN1, WN2: rank, cumulative share and class of every priced pair.
+    """AG7, WN1, WN2: rank, cumulative share and class of every priced pair that is not protected.
 
     A while the share is at most .80 (the first row always), B while at most .95 (the first row after A always), else C.
+    A row is the first after A if the share before it is still at most .80, or if it is the second.
     """
-    p = pairs.where("injected_rate > 0 and quantity > 0").select("id", "bill", amount().alias("amount"))
-    grand = p.agg(total(F.col("amount"))).first()[0]
-    r = running(p, "amount", "id").withColumn("share", F.col("running").cast("double") / F.lit(float(grand or 1)))
-    n_a = r.agg(F.greatest(F.count_if(F.expr("share <= 0.80")), F.lit(1))).first()[0]
-    level = F.when(F.col("rank") <= n_a, "A").when((F.col("share") <= 0.95) | (F.col("rank") == n_a + 1), "B").otherwise("C")
+    p = pairs.where("injected_rate > 0 and quantity > 0 and item_type <> 'ProvisionalSum'").select("id", "bill", amount().alias("amount"))
+    share = lambda x: x.cast("double") / F.col("total").cast("double")
+    r = running(p, "amount", "id").withColumns({"share": share(F.col("running")), "_before": share((F.col("running") - F.col("amount")).cast(AMOUNT))})
+    level = F.when((F.col("share") <= 0.80) | (F.col("rank") == 1), "A").when((F.col("share") <= 0.95) | (F.col("_before") <= 0.80) | (F.col("rank") == 2), "B").otherwise("C")
     return r.select("id", "bill", F.col("amount").cast("double"), F.col("rank").cast("long"), F.round("share", 8).alias("share"), level.alias("class"))
 
 
@@ -148,3 +151,16 @@ def scorecard(pairs: DataFrame, anomalies: Column) -> DataFrame:
     c = c.withColumn("s", F.least(F.lit(100.0), cover * 0.5 + F.col("exact") / F.greatest(F.lit(1), F.col("total")) * 30 + part(anomalies, 0.5) + part(F.col("vo"), 0.2)))
     risk = F.when(F.col("s") >= 90, "Low").when(F.col("s") >= 75, "Moderate").when(F.col("s") >= 60, "High").otherwise("Critical")
     return c.select("total", "priced", "exact", "ps", "vo", F.bround("s", 1).alias("score"), risk.alias("risk"))
+
+
+def harmonised_roles(files: DataFrame) -> DataFrame:
+    """AG26: role of each file (workbook, priced, detected): unpriced ones are targets, of the priced ones one is the contractor's.
+
+    The contractor's is a file with a telling name, else the one with most priced rows; other priced files stay targets
+    if they were detected as such and are supplementary rates otherwise.
+    """
+    # fixed values: names that tell the contractor's file
+    named = F.lower("workbook").rlike("candy|ccs")
+    first = Window.orderBy((F.col("priced") > 0).desc(), named.desc(), F.desc("priced"), "workbook")  # one row a file
+    role = F.when(F.col("priced") <= 0, "ConsultantTarget").when(F.col("_n") == 1, "ContractorPriced").when(F.col("detected") == "ConsultantTarget", "ConsultantTarget").otherwise("SupplementaryRates")
+    return files.withColumn("_n", F.row_number().over(first)).withColumn("role", role).drop("_n")

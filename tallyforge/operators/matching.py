@@ -6,7 +6,7 @@ assignment is repeated mutual-best selection, which equals greedy choice by desc
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from .checkpoints import cut
 
 # Weights (code, description, unit, quantity, price) by profile of the targets.
 WEIGHTS = {"default": (0.25, 0.35, 0.15, 0.15, 0.10), "no_codes": (0.05, 0.50, 0.15, 0.25, 0.05), "one_quantity": (0.35, 0.40, 0.15, 0.05, 0.05)}
@@ -33,18 +34,41 @@ def signature_join(targets: DataFrame, sources: DataFrame, keys: list[str], orde
 
 
 def token_candidates(targets: DataFrame, sources: DataFrame, k: int = TOP) -> DataFrame:
-    """JN2, WN7: top k sources per target by shared tokens weighted by rarity.
+    """JN2, WN7: top k sources per target by shared tokens weighted by rarity, equal code and equal dimension.
 
-    targets: t, tokens.  sources: s, tokens.  Ties go to the smaller source.  A token's weight depends on how many
-    sources have it, counted with a partial aggregate; only token rows travel.
+    targets: t, tokens, code, dim.  sources: s, tokens, code, dim.  Ties go to the smaller source.  A source with neither
+    a shared token nor the code does not count; a target without any takes the first k sources of its dimension, and of at
+    most k sources all are candidates.  Items that agree in tokens, code and dimension are one class on either side, and
+    only classes meet: a class of sources needs no more than its first k.
     """
     n = sources.count()
-    post = sources.select("s", F.explode("tokens").alias("tok"))
-    df = post.groupBy("tok").agg(F.count("*").alias("df"))
+    if n <= k:  # k rows at most
+        return targets.select("t").join(F.broadcast(sources.select("s").withColumn("rank", F.row_number().over(Window.orderBy("s")))), F.lit(True)).select("t", "s", F.lit(0).cast("long").alias("hits"), "rank")
+    kind = ["tokens", "code", "dim"]
+    tc = targets.groupBy(*kind).agg(F.min("t").alias("tc"))
+    sc = sources.groupBy(*kind).agg(F.min("s").alias("sc"), F.count("*").alias("members"))
+    post = sc.select("sc", "members", F.explode("tokens").alias("tok"))
+    df = post.groupBy("tok").agg(F.sum("members").alias("df"))
     w = F.when((F.lit(n) > 20) & (F.col("df") > int(n * COMMON_SHARE)), W_COMMON).when(F.col("df") <= RARE, W_RARE).otherwise(W_TOKEN)
-    hits = targets.select("t", F.explode("tokens").alias("tok")).join(df.select("tok", w.alias("w")), "tok").join(post, "tok").groupBy("t", "s").agg(F.sum("w").alias("hits"))
-    best = Window.partitionBy("t").orderBy(F.desc("hits"), "s")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    shared = tc.select("tc", F.explode("tokens").alias("tok")).join(df.select("tok", w.cast("long").alias("w")), "tok").join(post.select("sc", "tok"), "tok").select("tc", "sc", "w")
+    coded = tc.where("code <> ''").select("tc", "code").join(sc.where("code <> ''").select("sc", "code"), "code").select("tc", "sc", F.lit(W_CODE).cast("long").alias("w"))
+    hits = shared.unionByName(coded).groupBy("tc", "sc").agg(F.sum("w").alias("w"))
+    hits = hits.join(tc.select("tc", F.col("dim").alias("td")), "tc").join(sc.select("sc", F.col("dim").alias("sd"), "members"), "sc")
+    hits = hits.select("tc", "sc", "members", (F.col("w") + F.when((F.col("td") != "Unknown") & (F.col("td") == F.col("sd")), W_DIMENSION).otherwise(0)).alias("hits"))
+    # classes in order until k members are reached: equal scores stay together, as their members mix by source
+    hits = hits.withColumn("_n", F.coalesce(F.sum("members").over(Window.partitionBy("tc").orderBy(-F.col("hits")).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_n") < k)
+    first = first_k(sources.withColumn("sc", F.min("s").over(Window.partitionBy(*kind))).select("sc", "s"), ["sc"], ["s"], k)
+    best = first_k(hits.join(first, "sc").select("tc", "s", "hits"), ["tc"], [F.desc("hits"), "s"], k)
+    members = targets.withColumn("tc", F.min("t").over(Window.partitionBy(*kind))).select("tc", "t", "dim")
+    found = members.join(best, "tc").select("t", "s", "hits", "rank")
+    free = members.where("dim <> 'Unknown'").join(best.select("tc").distinct(), "tc", "left_anti")
+    pool = first_k(sources.select("dim", "s"), ["dim"], ["s"], k)
+    return found.unionByName(free.join(pool, "dim").select("t", "s", F.lit(0).cast("long").alias("hits"), "rank"))
+
+
+def first_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
+    """The first k rows of each key and their ``rank``; Spark keeps no more than k of a key before the shuffle."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def overlap_candidates(targets: DataFrame, sources: DataFrame, k: int = 60) -> DataFrame:
@@ -73,30 +97,60 @@ def adaptive_score(has_codes: Column, distinct_qty: Column) -> Column:
     return F.least(F.lit(1.0), s * R.scope_multiplier(c("t_scope"), c("s_scope")))
 
 
+# Words of a target sheet or workbook and of a source workbook that belong to one discipline, and the bonus.
+DISCIPLINES = [(["elec", "lf", "wir"], ["lighting"], "elect", 25), (["mech", "irr", "pump"], [], "mech", 25), ([], ["landscape", "golf"], "candy", 20)]
+
+
+def hierarchy_bonus() -> Column:
+    """JN7: points for a source filed under the target's sheet or workbook, or for the same discipline."""
+    low = lambda x: F.lower(F.coalesce(F.col(x), F.lit("")))
+    sheet, book, path, bill, other = map(low, ("t_sheet", "t_book", "s_path", "s_bill", "s_book"))
+    stem = F.regexp_replace(book, r"\.[^.]*$", "")
+    filed = F.when((path != "") & (F.trim(sheet) != "") & (path.contains(sheet) | bill.contains(sheet)), 30).otherwise(0)
+    filed = filed + F.when((path != "") & (F.trim(book) != "") & path.contains(stem), 20).otherwise(0)
+    kind = F
+    for sheets, books, source, points in DISCIPLINES:
+        ours = reduce(lambda a, b: a | b, [sheet.contains(w) for w in sheets] + [book.contains(w) for w in books])
+        kind = kind.when(ours & other.contains(source), points)
+    return filed + kind.otherwise(0)
+
+
 def hybrid_fitness() -> Column:
-    """JN7: struct (text, fitness, score, approved) over columns t_/s_ text, tokens, unit, quantity, rate, code, scope."""
+    """JN7: struct (text, fitness, score, approved) over columns t_/s_ text, line, tokens, unit, quantity, rate, code, serial,
+    scope, and t_sheet, t_book, s_path, s_bill, s_book.  Pairs that cannot match have fitness and score 0.
+    """
     c = F.col
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    equal = lambda a, b: ~blank(c(a)) & ~blank(c(b)) & (F.lower(a) == F.lower(b))
     a, b = c("t_tokens"), c("s_tokens")
     cov, cos = T.coverage(a, b), T.cosine(a, b)
-    contained = (F.length("s_text") >= 4) & c("t_text").contains(c("s_text")) | (F.length("t_text") >= 4) & c("s_text").contains(c("t_text"))
-    sim = F.greatest(T.lev_similarity(c("t_text"), c("s_text")), cos)
+    line = F.when(blank(c("s_line")), c("s_text")).otherwise(c("s_line"))
+    contained = ((F.length(line) >= 4) & c("t_text").contains(line)) | ((F.length("t_line") >= 4) & c("s_text").contains(c("t_line")))
+    contained = F.coalesce(contained, F.lit(False))
+    by_line = F.when(~blank(c("t_line")) & ~blank(line), T.lev_similarity(c("t_line"), line)).otherwise(0.0)
+    sim = F.greatest(T.lev_similarity(c("t_text"), c("s_text")), by_line, cos)
     sim = F.when(contained, F.greatest(sim, F.lit(0.85))).otherwise(sim)
     sim = F.when(cov >= 0.80, F.greatest(sim, F.lit(0.80))).when(cov >= 0.50, F.greatest(sim, F.lit(0.65))).otherwise(sim)
     tr, sr = c("t_rate").cast("double"), c("s_rate").cast("double")
-    gap = F.abs(tr - sr) / F.greatest(tr, sr)
-    confirmed = F.coalesce((tr == 0) & (sr == 0) | (gap <= 0.005), F.lit(False))
+    gap = F.when((tr > 0) & (sr > 0), F.abs(tr - sr) / F.greatest(tr, sr))
+    confirmed = F.coalesce(((tr == 0) & (sr == 0)) | (gap <= 0.005), F.lit(False))
     price = F.when((tr == 0) & (sr == 0), 50).when(gap <= 0.005, 60).when(gap <= 0.02, 35).otherwise(0)
     tq, sq = c("t_quantity").cast("double"), c("s_quantity").cast("double")
-    dq = F.abs(tq - sq) / F.greatest(tq, sq)
-    qty = F.when((tq == 0) & (sq == 0), 20).when(tq == sq, 35).when(dq <= 0.02, 25).when(dq <= 0.05, 18).when(dq <= 0.20, 10).otherwise(0)
+    dq = F.when((tq > 0) & (sq > 0), F.abs(tq - sq) / F.greatest(tq, sq))
+    qty = F.when((tq == 0) & (sq == 0), 20).when(dq == 0, 35).when(dq <= 0.02, 25).when(dq <= 0.05, 18).when(dq <= 0.20, 10).otherwise(0)
     same_unit, fit_unit = F.lower("t_unit") == F.lower("s_unit"), R.units_compatible(c("t_unit"), c("s_unit"))
-    code = (c("t_code") != "") & (c("t_code") == c("s_code"))
+    fit_unit = same_unit | fit_unit
+    code, serial = equal("t_code", "s_code"), equal("t_serial", "s_serial")
+    cross = equal("t_code", "s_serial") | equal("t_serial", "s_code")
     unit = F.when(same_unit, 20).when(fit_unit, 10).when(~confirmed & ~code, -40).otherwise(0)
-    fit = 80 * sim + F.when(contained, 35).otherwise(0) + 30 * cov + 20 * cos + qty + price + F.when(code, 45).otherwise(0) + unit
-    score = F.when(confirmed, F.greatest(F.lit(0.95), sim)).when(code, F.least(F.lit(1.0), 0.75 + 0.25 * sim)).when(contained & fit_unit, F.least(F.lit(1.0), 0.80 + 0.20 * cov)).otherwise(sim)
-    ok = confirmed | code | (contained & fit_unit) | ((sim >= 0.65) & fit_unit & (fit >= 80))
+    points = F.when(code, 45).otherwise(0) + F.when(serial, 35).otherwise(0) + F.when(cross, 25).otherwise(0)
+    fit = 80 * sim + F.when(contained, 35).otherwise(0) + 30 * cov + 20 * cos + hierarchy_bonus() + qty + price + points + unit
+    # an equal code or serial needs the text or the quantity to agree a little
+    anchored = (code | serial) & ((sim >= 0.35) | contained | (cov >= 0.30) | F.coalesce((tq > 0) & (tq == sq), F.lit(False)))
+    score = F.when(confirmed, F.greatest(F.lit(0.95), sim)).when(anchored, F.least(F.lit(1.0), 0.75 + 0.25 * sim)).when(code | serial, sim).when(contained & fit_unit, F.least(F.lit(1.0), 0.80 + 0.20 * cov)).otherwise(sim)
+    ok = confirmed | anchored | (~(code | serial) & ((contained & fit_unit) | ((sim >= 0.65) & fit_unit & (fit >= 80))))
     m = R.scope_multiplier(c("t_scope"), c("s_scope"))
-    reject = (m == 0) | (~fit_unit & ~confirmed & ~code)
+    reject = (m == 0) | (~fit_unit & ~confirmed & ~code & ~serial)
     return F.struct(sim.alias("text"), F.when(reject, 0.0).otherwise(fit * m).alias("fitness"), F.when(reject, 0.0).otherwise(F.least(F.lit(1.0), score * m)).alias("score"), (ok & ~reject).alias("approved"))
 
 
@@ -106,6 +160,23 @@ def bill_keys_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | ((ta != "") & (ta == tb)) | (T.lev_similarity(a, b) >= 0.70))
 
 
+def bill_key_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """JN4: the pairs of keys (a) and (b) that match, met by what a match must share, not all with all.
+
+    One key in the other: the first character of the one is in the other.  An equal tag.  A similarity of .70: of L
+    characters at most .3 L are edited, which leaves a pair of neighbouring characters (one character, if L < 3) whole.
+    """
+    chars = lambda x: F.array_distinct(F.split(x, ""))
+    grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - 1)), lambda i: F.substring(x, i, F.lit(2))))
+    tag = lambda x: F.filter(F.array(F.concat(F.lit("t:"), T.bill_tag(x))), lambda t: t != "t:")
+    mark = lambda p, arr: F.transform(arr, lambda v: F.concat(F.lit(p), v))
+    first = lambda x: F.array(F.substring(x, 1, 1))
+    x, y = F.col("a"), F.col("b")
+    left = a.where("a <> ''").select("a", F.explode(F.concat(mark("x:", chars(x)), mark("y:", first(x)), mark("g:", grams(x)), tag(x))).alias("k"))
+    right = b.where("b <> ''").select("b", F.explode(F.concat(mark("x:", first(y)), mark("y:", chars(y)), mark("g:", grams(y)), tag(y))).alias("k"))
+    return left.join(right, "k").select("a", "b").distinct().where(bill_keys_match(x, y))
+
+
 def mutual_best(edges: DataFrame) -> DataFrame:
     """One round of JN8: edges (t, s, weight) that are the best of both ends; ties by t, then s."""
     bt = Window.partitionBy("t").orderBy(F.desc("weight"), "s")
@@ -113,52 +184,44 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"_a": F.row_number().over(bt), "_b": F.row_number().over(bs)}).where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def assign_greedy(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def assign_greedy(edges: DataFrame) -> DataFrame:
     """JN8 without augmentation: greedy one-to-one choice by (weight desc, t, s), distributed.
 
-    Each round keeps the edges that are best at both ends and drops what touches them.  The order must be one total
-    order of edges, so both windows use (weight desc, t, s).
+    Each round keeps the edges that are best at both ends and drops what touches them; there is one while edges are left.
+    The order must be one total order of edges, so both windows use (weight desc, t, s).
     """
     rank_t = Window.partitionBy("t").orderBy(F.desc("weight"), "t", "s")
     rank_s = Window.partitionBy("s").orderBy(F.desc("weight"), "t", "s")
-    left, chosen = _cut(edges.select("t", "s", "weight")), None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        won = _cut(left.withColumns({"_a": F.row_number().over(rank_t), "_b": F.row_number().over(rank_s)}).where("_a = 1 and _b = 1").drop("_a", "_b"))
+    left, chosen = cut(edges.select("t", "s", "weight")), None
+    while not left.isEmpty():
+        won = cut(left.withColumns({"_a": F.row_number().over(rank_t), "_b": F.row_number().over(rank_s)}).where("_a = 1 and _b = 1").drop("_a", "_b"))
         chosen = won if chosen is None else chosen.unionByName(won)
-        left = _cut(left.join(won.select("t"), "t", "left_anti").join(won.select("s"), "s", "left_anti"))
-    else:
-        raise RuntimeError(f"assignment did not settle in {max_rounds} rounds")
+        left = cut(left.join(won.select("t"), "t", "left_anti").join(won.select("s"), "s", "left_anti"))
     return left if chosen is None else chosen
 
 
 def augmented(edges: list[tuple], gain: float = 0.05) -> list[tuple]:
-    """JN8 of one scope: greedy, then a free target may take a held source whose holder has a free alternative."""
+    """JN8 of one scope: greedy, then a free target may take a held source whose holder has a free alternative.
+
+    Both passes go edge by edge, the heaviest first (ties by target, then source).
+    """
     order = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
-    by_t: dict = {}
+    options: dict = {}
+    for t, s, w in order:
+        options.setdefault(t, []).append((s, w))
+    chosen, holder = {}, {}
     for t, s, w in order:
-        by_t.setdefault(t, []).append((s, w))
-    of_t, of_s = {}, {}
+        if t not in chosen and s not in holder:
+            chosen[t], holder[s] = (s, w), t
     for t, s, w in order:
-        if t not in of_t and s not in of_s:
-            of_t[t], of_s[s] = (s, w), t
-    for t in sorted((t for t in by_t if t not in of_t), key=lambda t: (-by_t[t][0][1], t)):
-        for s, w in by_t[t]:
-            holder = of_s[s]
-            other = next(((s2, w2) for s2, w2 in by_t[holder] if s2 not in of_s), None)
-            if other and w + other[1] > of_t[holder][1] + gain:
-                of_t[holder], of_s[other[0]] = other, holder
-                of_t[t], of_s[s] = (s, w), t
-                break
-    return sorted((t, s, w) for t, (s, w) in of_t.items())
+        if t in chosen:
+            continue
+        h = holder[s]  # a source of a free target's edge is always held
+        spare = next(((s2, w2) for s2, w2 in options[h] if s2 not in holder), None)
+        if spare and w + spare[1] > chosen[h][1] + gain:
+            chosen[h], holder[spare[0]] = spare, h
+            chosen[t], holder[s] = (s, w), t
+    return sorted((t, s, w) for t, (s, w) in chosen.items())
 
 
 def assign_scoped(edges: DataFrame) -> DataFrame:
@@ -204,8 +267,15 @@ def link_sheets(targets: DataFrame, sources: DataFrame) -> DataFrame:
         return df.withColumns({f"{p}_code": F.regexp_replace(T.bill_code(s, F.lit(True)), "^0+", ""), f"{p}_name": T.normalise_name(s), f"{p}_words": F.array_distinct(F.split(T.normalise_name(s), r"\s+"))})
 
     t, s = names(targets, "t"), names(sources, "s")
-    # one group of names per side: the join is between names, not items
-    j = t.withColumn("_j", F.lit(1)).join(s.withColumn("_j", F.lit(1)), "_j", "left")
+
+    def keys(p: str) -> Column:
+        """What a link of .70 must share: the name, the code, or a word (edits alone give .60 at most)."""
+        words = F.transform(F.filter(F.col(f"{p}_words"), lambda w: w != ""), lambda w: F.concat(F.lit("w:"), w))
+        code = F.when(~F.col(f"{p}_code").isin("-", ""), F.concat(F.lit("c:"), F.col(f"{p}_code")))
+        return F.array_distinct(F.concat(words, F.array_compact(F.array(code, F.concat(F.lit("n:"), F.lower(f"{p}_sheet"))))))
+
+    met = t.select("t_sheet", F.explode(keys("t")).alias("k")).join(s.select("s_sheet", F.explode(keys("s")).alias("k")), "k").select("t_sheet", "s_sheet").distinct()
+    j = t.join(met, "t_sheet", "left").join(s, "s_sheet", "left")
     fuzzy = 0.6 * T.lev_similarity(F.col("t_name"), F.col("s_name")) + 0.4 * T.jaccard(F.col("t_words"), F.col("s_words"))
     exact = (F.lower("t_sheet") == F.lower("s_sheet")) | ((F.col("t_code") == F.col("s_code")) & (F.col("t_code") != "-") & (F.col("t_code") != "")) | ((F.col("t_name") == F.col("s_name")) & (F.col("t_name") != ""))
     j = j.withColumn("score", F.coalesce(F.round(F.when(exact, 1.0).otherwise(fuzzy), 6), F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,8 +82,8 @@ def history(snapshots: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def recent(h: DataFrame, n: int = 200) -> DataFrame:
-    """DB8, SO5."""
-    return h.where("rate > 0").orderBy(F.desc("rev"), "id").limit(n)
+    """DB8, SO5: every rate that is known, zero ones too."""
+    return h.where("rate is not null").orderBy(F.desc("rev"), "id").limit(n)
 
 
 def latest_per_item(h: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
@@ -91,19 +92,69 @@ def latest_per_item(h: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
 
 
 def search(h: DataFrame, term: str, columns: list[str], n: int = 200) -> DataFrame:
-    """DB9: the term may hold % and _ as wildcards."""
-    return h.where(reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{term}%") for c in columns])).orderBy(F.desc("rev"), "id").limit(n)
+    """DB9: known rates whose texts hold the term, which may have % and _ as wildcards."""
+    return h.where("rate is not null").where(reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{term}%") for c in columns])).orderBy(F.desc("rev"), "id").limit(n)
 
 
-def fuzzy_search(h: DataFrame, term: str, column: str, n: int = 200) -> DataFrame:
-    """DB10, JN15: .75 for containment, else 1 - d / longer for words within two edits; from .60 on."""
-    t = term.lower()
+def word_score(term: str, within: list[str], words: str) -> Column:
+    """.75 if a text of ``within`` holds a part of the term, else the best 1 - d / longer of the words within two edits."""
+    texts = F.concat_ws("\n", *[F.lower(c) for c in within])
+    split = F.filter(F.split(F.lower(F.coalesce(F.col(words), F.lit(""))), " "), lambda w: w != "")
 
-    def one(w: Column) -> Column:
-        dist = F.levenshtein(w, F.lit(t))
-        return F.when(w.contains(t), 0.75).when((F.abs(F.length(w) - len(t)) <= 2) & (dist <= 2), 1 - dist / F.greatest(F.length(w), F.lit(len(t)))).otherwise(0.0)
+    def one(tok: str) -> Column:
+        def near(w: Column) -> Column:
+            d = F.levenshtein(w, F.lit(tok))
+            return F.when((F.abs(F.length(w) - len(tok)) <= 2) & (d <= 2), 1 - d / F.greatest(F.length(w), F.lit(len(tok)))).otherwise(0.0)
 
-    return h.withColumn("score", F.array_max(F.transform(F.split(F.lower(column), r"\s+"), one))).where("score >= 0.6").orderBy(F.desc("score"), F.desc("rev"), "id").limit(n)
+        return F.when(texts.contains(tok), 0.75).otherwise(F.coalesce(F.array_max(F.transform(split, near)), F.lit(0.0)))
+
+    toks = [t for t in re.split(r"[ \-_/]+", term.lower()) if t]
+    return F.greatest(F.lit(0.0), F.lit(0.0), *map(one, toks))
+
+
+def fuzzy_search(h: DataFrame, term: str, columns: list[str], n: int = 200, pool: int = 2000, few: int = 10) -> DataFrame:
+    """DB9, DB10, JN15: what ``search`` finds; if that is less than ``few``, also the best of the latest ``pool`` rates.
+
+    The others need a score of .60 and must not repeat a revision, code and description already found.  Columns: those
+    of h and ``score`` (1 for direct hits).
+    """
+    direct = search(h, term, columns, n).withColumn("score", F.lit(1.0))
+    found = direct.count()  # at most n rows
+    if found >= few or len(term.strip()) < 3:
+        return direct
+    latest = h.where("rate is not null").orderBy(F.desc("rev"), "id").limit(pool)
+    key = ["rev", "code", "description"]
+    seen = direct.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+    rest = latest.join(F.broadcast(seen), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_anti")
+    rest = rest.withColumn("score", word_score(term, ["description", "normalised", "invoice", "source"], "description")).where("score >= 0.6")
+    return direct.unionByName(rest.orderBy(F.desc("score"), F.desc("rev"), "id").limit(n - found))
+
+
+def priced_sources(rows: DataFrame) -> DataFrame:
+    """FL5, FL6: rows with the rate to use: a positive own or original rate, or zero if the text says the scope is ignored.
+
+    rows: rate, original, description.
+    """
+    rate = F.when(F.col("rate") > 0, F.col("rate")).when(F.col("original") > 0, F.col("original"))
+    ignored = F.lower(F.coalesce("description", F.lit(""))).contains("ignored")
+    return rows.withColumn("rate", F.coalesce(rate, F.when(ignored, F.lit(0)))).where("rate is not null")
+
+
+def category() -> Column:
+    """FL8: grid category of a pair; priced means a positive rate on an item that is not protected."""
+    c = F.col
+    return F.when(c("item_type") == "ProvisionalSum", "PS").when(c("is_vo"), "VO").when(c("confidence") == "ManualReviewNeeded", "Review").when(c("injected_rate") > 0, "Priced").otherwise("Other")
+
+
+def guarded(pairs: DataFrame) -> DataFrame:
+    """FL7: protected items keep no foreign rate, whatever was matched."""
+    own = F.col("item_type") == "ProvisionalSum"
+    return pairs.withColumns({"injected_rate": F.when(~own, F.col("injected_rate")), "s_id": F.when(~own, F.col("s_id"))})
+
+
+def without(old: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """DB11: the rows that a delete of ``names`` leaves."""
+    return old.join(names.select(key), key, "left_anti")
 
 
 def upserted(rows: DataFrame, key: str, version: str) -> DataFrame:

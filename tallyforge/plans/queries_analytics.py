@@ -42,7 +42,7 @@ def ag6(spark, d):
     return p.agg(A.total(A.amount(), F.col("currency") == "EGP").cast("double").alias("egp"), A.total(A.amount(), F.col("currency") == "USD").cast("double").alias("usd"), F.count("*").alias("items"))
 
 
-PARETO = f""", p AS (SELECT id, bill, {AMT} AS amount FROM pairs WHERE injected_rate > 0 AND quantity > 0),
+PARETO = f""", p AS (SELECT id, bill, {AMT} AS amount FROM pairs WHERE injected_rate > 0 AND quantity > 0 AND item_type <> 'ProvisionalSum'),
 r AS (SELECT *, row_number() OVER (ORDER BY amount DESC, id) AS rank, (sum(amount) OVER (ORDER BY amount DESC, id ROWS UNBOUNDED PRECEDING))::DOUBLE / (sum(amount) OVER ())::DOUBLE AS share FROM p),
 n AS (SELECT greatest(count(*) FILTER (share <= 0.8), 1) AS n FROM r),
 c AS (SELECT id, bill, amount::DOUBLE AS amount, rank, round(share, 8) AS share, CASE WHEN rank <= n THEN 'A' WHEN share <= 0.95 OR rank = n + 1 THEN 'B' ELSE 'C' END AS class FROM r, n)"""
@@ -172,11 +172,15 @@ def ag20(spark, d):
     return A.rate_audit(audited(spark, d), R.dimension(F.col("unit")))
 
 
-@query("ag21_scorecard", over_base(""", c AS (SELECT count(*) AS total, count(*) FILTER (injected_rate > 0 AND item_type <> 'ProvisionalSum') AS priced, count(*) FILTER (confidence = 'Exact') AS exact, count(*) FILTER (item_type = 'ProvisionalSum') AS ps, count(*) FILTER (is_vo) AS vo FROM pairs),
-s AS (SELECT *, least(100.0, priced / greatest(1, total - ps) * 100 * 0.5 + exact / greatest(1, total) * 30 + greatest(0, 10 - 3 * 0.5) + greatest(0, 10 - vo * 0.2))::DOUBLE AS s FROM c)
+#: The anomalies of the audited items, counted.
+ANOMALIES = ", anomalies AS (SELECT count(*) AS n FROM (" + audit_sql("'all'") + "))"
+
+
+@query("ag21_scorecard", over_base(ANOMALIES + """, c AS (SELECT count(*) AS total, count(*) FILTER (injected_rate > 0 AND item_type <> 'ProvisionalSum') AS priced, count(*) FILTER (confidence = 'Exact') AS exact, count(*) FILTER (item_type = 'ProvisionalSum') AS ps, count(*) FILTER (is_vo) AS vo FROM pairs),
+s AS (SELECT *, least(100.0, priced / greatest(1, total - ps) * 100 * 0.5 + exact / greatest(1, total) * 30 + greatest(0, 10 - n * 0.5) + greatest(0, 10 - vo * 0.2))::DOUBLE AS s FROM c, anomalies)
 SELECT total, priced, exact, ps, vo, round_even(s, 1) AS score, CASE WHEN s >= 90 THEN 'Low' WHEN s >= 75 THEN 'Moderate' WHEN s >= 60 THEN 'High' ELSE 'Critical' END AS risk FROM s"""))
 def ag21(spark, d):
-    return A.scorecard(pairs(spark, d), F.lit(3))
+    return A.scorecard(pairs(spark, d), F.lit(A.rate_audit(audited(spark, d)).count()))
 
 
 @query("ag24_ag30_bill_distribution", over_base("SELECT workbook, bill, count(*) AS items, count(*) FILTER (confidence = 'Exact') AS exact, count(*) FILTER (confidence = 'Unmatched') AS unmatched, round_even(count(*) FILTER (injected_rate > 0 OR (approved AND confidence <> 'Unmatched' AND NOT is_vo)) * 100.0 / count(*), 2)::DOUBLE AS priced_pct FROM pairs GROUP BY ALL"))
@@ -196,13 +200,14 @@ def st2(spark, d):
     return target_items(spark, d).select(F.upper("currency").alias("currency")).union(source_items(spark, d).select(F.upper("s_currency"))).distinct()
 
 
-BOTH = ", a AS (SELECT DISTINCT lower(bill) AS b FROM target_items WHERE size % 3 <> 0), b AS (SELECT DISTINCT lower(s_bill) AS b FROM source_items WHERE s_id % 2 = 0)"
+BOTH = ", a AS (SELECT DISTINCT lower(bill || ' ' || quantity::INT) AS b FROM target_items), b AS (SELECT DISTINCT lower(s_bill || ' ' || (s_quantity - 10)::INT) AS b FROM source_items)"
 
 
 @query("st3_bill_names", over_base(BOTH + " SELECT 'both' AS side, b AS bill FROM (SELECT b FROM a INTERSECT SELECT b FROM b) UNION ALL SELECT 'target', b FROM (SELECT b FROM a EXCEPT SELECT b FROM b) UNION ALL SELECT 'source', b FROM (SELECT b FROM b EXCEPT SELECT b FROM a)"))
 def st3(spark, d):
-    a = target_items(spark, d).where("size % 3 <> 0").select(F.lower("bill").alias("bill"))
-    b = source_items(spark, d).where("s_id % 2 = 0").select(F.lower("s_bill").alias("bill"))
+    name = lambda bill, n: F.lower(F.concat_ws(" ", bill, n.cast("int").cast("string"))).alias("bill")
+    a = target_items(spark, d).select(name("bill", F.col("quantity")))
+    b = source_items(spark, d).select(name("s_bill", F.col("s_quantity") - 10))
     side = lambda df, n: df.select(F.lit(n).alias("side"), "bill")
     return side(a.intersect(b), "both").union(side(a.subtract(b), "target")).union(side(b.subtract(a), "source"))
 
@@ -219,9 +224,15 @@ def ag17(spark, d):
     return j.groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"), F.round(F.sum(F.when(F.col("l_extendedprice") > 0, F.col("l_extendedprice").cast("decimal(18,2)"))).cast("double") / F.count_if(F.col("l_extendedprice") > 0), 8).alias("average"), F.max("o_orderdate").alias("latest"))
 
 
-@query("ag26_role_harmonisation", over_base("""SELECT workbook, CASE WHEN row_number() OVER (ORDER BY regexp_matches(lower(workbook), 'candy|ccs|w1') DESC, priced DESC, workbook) = 1 THEN 'ContractorPriced' ELSE 'Other' END AS role, priced
-FROM (SELECT workbook, count(*) FILTER (injected_rate > 0) AS priced FROM pairs GROUP BY workbook)"""))
+DETECTED = "CASE WHEN priced <= 0 THEN 'ConsultantTarget' WHEN regexp_matches(lower(workbook), " + q(R.CONTRACTOR) + ") THEN 'ContractorPriced' WHEN regexp_matches(lower(workbook), " + q(R.CONSULTANT) + ") THEN 'ConsultantTarget' ELSE 'ContractorPriced' END"
+
+
+@query("ag26_role_harmonisation", over_base(f""", w AS (SELECT *, {DETECTED} AS detected FROM (SELECT CASE l % 4 WHEN 0 THEN 'tender ' WHEN 1 THEN 'CCS ' ELSE '' END || sheet AS workbook, count(*) FILTER (injected_rate > 0 AND l % 3 <> 2) AS priced FROM (SELECT *, length(bill) AS l FROM pairs) GROUP BY ALL)),
+r AS (SELECT *, row_number() OVER (ORDER BY priced > 0 DESC, regexp_matches(lower(workbook), 'candy|ccs') DESC, priced DESC, workbook) AS n FROM w)
+SELECT workbook, priced, CASE WHEN priced = 0 THEN 'ConsultantTarget' WHEN n = 1 THEN 'ContractorPriced' WHEN detected = 'ConsultantTarget' THEN 'ConsultantTarget' ELSE 'SupplementaryRates' END AS role FROM r"""))
 def ag26(spark, d):
-    w = pairs(spark, d).groupBy("workbook").agg(F.count_if(F.expr("injected_rate > 0")).alias("priced"))
-    best = Window.orderBy(F.lower("workbook").rlike("candy|ccs|w1").desc(), F.desc("priced"), "workbook")  # one row a file
-    return w.select("workbook", F.when(F.row_number().over(best) == 1, "ContractorPriced").otherwise("Other").alias("role"), "priced")
+    p = pairs(spark, d).withColumn("l", F.length("bill"))
+    name = F.concat(F.when(F.col("l") % 4 == 0, "tender ").when(F.col("l") % 4 == 1, "CCS ").otherwise(""), "sheet")
+    w = p.groupBy(name.alias("workbook")).agg(F.count_if(F.expr("injected_rate > 0 and l % 3 <> 2")).alias("priced"))
+    detected = R.file_role(F.lower("workbook"), F.col("priced"), F.lit(False))
+    return A.harmonised_roles(w.withColumn("detected", detected)).select("workbook", "priced", "role")

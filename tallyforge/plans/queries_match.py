@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..operators import matching as M
 from .adapters import over_base, pairs, source_items, table, target_items
-from .queries_scalar import D_S, QTY_SQL, dim_sql, scope_sql, sheets, stem_sql
+from .queries_scalar import D_S, QTY_SQL, TAG_SQL, case_in, dim_sql, fold_sql, scope_sql, sheets, stem_sql
 from .registry import query
 
 
@@ -21,8 +21,10 @@ def jn1(spark, d):
 
 
 def passages(spark, d):
-    t = table(spark, d, "benchmark").select(F.col("item_id").alias("t"), T.stemmed_tokens(F.col("text")).alias("tokens"))
-    s = table(spark, d, "pages").select(F.col("page_id").alias("s"), T.stemmed_tokens(F.regexp_replace("html", "<[^>]*>", " ")).alias("tokens"))
+    """Passages as targets, pages as sources; code and dimension follow from the id."""
+    more = lambda k: [F.concat(F.lit("C"), (F.col(k) % 50).cast("string")).alias("code"), F.when(F.col(k) % 3 == 0, "Area").when(F.col(k) % 3 == 1, "Weight").otherwise("Unknown").alias("dim")]
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("t"), T.stemmed_tokens(F.col("text")).alias("tokens"), *more("item_id"))
+    s = table(spark, d, "pages").select(F.col("page_id").alias("s"), T.stemmed_tokens(F.regexp_replace("html", "<[^>]*>", " ")).alias("tokens"), *more("page_id"))
     return t, s
 
 
@@ -31,7 +33,10 @@ d AS (SELECT tok, count(*) AS df FROM s GROUP BY tok), n AS (SELECT count(*) AS
 
 
 @query("jn2_wn7_token_candidates", f"""WITH {PASSAGES}, w AS (SELECT tok, CASE WHEN n > 20 AND df > floor(n * 0.4) THEN 2 WHEN df <= 6 THEN 25 ELSE 10 END AS w FROM d, n),
-h AS (SELECT t, s, sum(w)::BIGINT AS hits FROM t JOIN w USING (tok) JOIN s USING (tok) GROUP BY t, s) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY hits DESC, s) AS rank FROM h) WHERE rank <= 24""")
+u AS (SELECT t, s, w FROM t JOIN w USING (tok) JOIN s USING (tok) UNION ALL SELECT item_id, page_id, 50 FROM benchmark JOIN pages ON item_id % 50 = page_id % 50),
+h AS (SELECT t, s, (sum(w) + CASE WHEN t % 3 < 2 AND t % 3 = s % 3 THEN 15 ELSE 0 END)::BIGINT AS hits FROM u GROUP BY t, s), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY hits DESC, s) AS rank FROM h),
+f AS (SELECT item_id AS t, page_id AS s, 0::BIGINT AS hits, row_number() OVER (PARTITION BY item_id ORDER BY page_id) AS rank FROM benchmark JOIN pages ON item_id % 3 = page_id % 3 AND item_id % 3 < 2 WHERE item_id NOT IN (SELECT t FROM h))
+SELECT * FROM r WHERE rank <= 24 UNION ALL SELECT * FROM f WHERE rank <= 24""")
 def jn2(spark, d):
     return M.token_candidates(*passages(spark, d)).select("t", "s", F.col("hits").cast("long"), F.col("rank").cast("long"))
 
@@ -47,17 +52,20 @@ def jn3(spark, d):
 def scoped_edges(spark, d):
     c = F.col
     phrase = "concat(case when {k} % 4 = 0 then 'Supply of ' when {k} % 4 = 1 then 'Supply and install ' when {k} % 4 = 2 then 'Installation of ' else '' end, {t})"
-    t = target_items(spark, d).groupBy("part", "code", "description", "unit", "size").agg(F.sum("quantity").cast("decimal(18,4)").alias("t_quantity"), F.min("original_rate").alias("t_rate"))
-    t = t.select(F.concat_ws("-", "code", c("size").cast("string")).alias("scope"), c("part").alias("t"), T.clean_code(c("code")).alias("t_code"), c("unit").alias("t_unit"), "t_quantity", "t_rate", F.expr(phrase.format(k="part", t="description")).alias("t_raw"))
+    t = target_items(spark, d).groupBy("part", "code", "description", "unit", "size", "bill").agg(F.sum("quantity").cast("decimal(18,4)").alias("t_quantity"), F.min("original_rate").alias("t_rate"))
+    t = t.select(F.concat_ws("-", "code", c("size").cast("string")).alias("scope"), c("part").alias("t"), T.clean_code(c("code")).alias("t_code"), c("unit").alias("t_unit"), c("bill").alias("t_bill"), "t_quantity", "t_rate", F.expr(phrase.format(k="part", t="description")).alias("t_raw"))
     s = source_items(spark, d).join(table(spark, d, "part").select(c("p_partkey").alias("s_id"), "p_size"), "s_id")
-    s = s.select(F.concat_ws("-", "s_code", c("p_size").cast("string")).alias("scope"), c("s_id").alias("s"), T.clean_code(c("s_code")).alias("s_code"), "s_unit", "s_quantity", "s_rate", F.expr(phrase.format(k="s_id", t="s_description")).alias("s_raw"))
+    s = s.select(F.concat_ws("-", "s_code", c("p_size").cast("string")).alias("scope"), c("s_id").alias("s"), T.clean_code(c("s_code")).alias("s_code"), "s_unit", "s_bill", "s_quantity", "s_rate", F.expr(phrase.format(k="s_id", t="s_description")).alias("s_raw"))
     prep = lambda df, p: df.withColumns({f"{p}_tokens": T.stemmed_tokens(c(f"{p}_raw")), f"{p}_dim": R.dimension(c(f"{p}_unit")), f"{p}_scope": R.scope(c(f"{p}_raw")), f"{p}_text": T.clean_normalise(c(f"{p}_raw"))})
-    return prep(t, "t").join(prep(s, "s"), "scope")
+    more = lambda df, p, k, bill: df.withColumns({f"{p}_line": c(f"{p}_text"), f"{p}_serial": (c(k) % 50).cast("string"), f"{p}_book": F.concat(F.lit("Works W"), (c(k) % 3).cast("string"), F.lit(".xlsx")), **bill})
+    t = more(prep(t, "t"), "t", "t", {"t_sheet": c("t_bill")})
+    s = more(prep(s, "s"), "s", "s", {"s_path": F.concat(F.lit("Works W1/"), "s_bill")})
+    return t.join(s, "scope")
 
 
 D_PHRASE = "CASE WHEN {k} % 4 = 0 THEN 'Supply of ' WHEN {k} % 4 = 1 THEN 'Supply and install ' WHEN {k} % 4 = 2 THEN 'Installation of ' ELSE '' END || {t}"
-EDGES = f""", tt AS (SELECT code || '-' || size AS scope, part AS t, upper(regexp_replace(code, '[^A-Za-z0-9]', '', 'g')) AS t_code, unit AS t_unit, sum(quantity)::DECIMAL(18,4) AS t_quantity, min(original_rate) AS t_rate, {D_PHRASE.format(k="part", t="description")} AS t_raw FROM target_items GROUP BY part, code, description, unit, size),
-ss AS (SELECT s_code || '-' || p_size AS scope, s_id AS s, upper(regexp_replace(s_code, '[^A-Za-z0-9]', '', 'g')) AS s_code, s_unit, s_quantity, s_rate, {D_PHRASE.format(k="s_id", t="s_description")} AS s_raw FROM source_items JOIN part ON s_id = p_partkey),
+EDGES = f""", tt AS (SELECT code || '-' || size AS scope, part AS t, upper(regexp_replace(code, '[^A-Za-z0-9]', '', 'g')) AS t_code, unit AS t_unit, bill AS t_bill, sum(quantity)::DECIMAL(18,4) AS t_quantity, min(original_rate) AS t_rate, {D_PHRASE.format(k="part", t="description")} AS t_raw FROM target_items GROUP BY part, code, description, unit, size, bill),
+ss AS (SELECT s_code || '-' || p_size AS scope, s_id AS s, upper(regexp_replace(s_code, '[^A-Za-z0-9]', '', 'g')) AS s_code, s_unit, s_bill, s_quantity, s_rate, {D_PHRASE.format(k="s_id", t="s_description")} AS s_raw FROM source_items JOIN part ON s_id = p_partkey),
 tp AS (SELECT *, {stem_sql("t_raw")} AS t_tokens, {dim_sql("t_unit")} AS t_dim, {scope_sql("lower(t_raw)")} AS t_scope FROM tt), sp AS (SELECT *, {stem_sql("s_raw")} AS s_tokens, {dim_sql("s_unit")} AS s_dim, {scope_sql("lower(s_raw)")} AS s_scope FROM ss),
 e0 AS (SELECT *, len(list_intersect(t_tokens, s_tokens))::DOUBLE AS i, t_quantity AS a, s_quantity AS b FROM tp JOIN sp USING (scope)),
 e1 AS (SELECT *, i / least(len(t_tokens), len(s_tokens)) AS cov, i / (len(t_tokens) + len(s_tokens) - i) AS jac, {QTY_SQL} AS qs,
@@ -92,7 +100,25 @@ def jn8_scoped(spark, d):
     return M.assign_scoped(edges(spark, d).where("weight >= 0.525")).where("weight >= 0.75")
 
 
-@query("jn7_hybrid_scores")
+def compat_sql(a, b):
+    g, h = (case_in(f"lower({x})", R.GROUPS.items(), "NULL") for x in (a, b))
+    return f"(lower({a}) = lower({b}) OR {a} = '' OR {b} = '' OR coalesce(({g}) = ({h}), false))"
+
+
+PLAIN_SQL = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
+HYBRID = EDGES + f""", h0 AS (SELECT *, {PLAIN_SQL.format(x="t_raw")} AS tt, {PLAIN_SQL.format(x="s_raw")} AS st, i / sqrt(len(t_tokens) * len(s_tokens)) AS cos, t_rate::DOUBLE AS tr, s_rate::DOUBLE AS sr, a::DOUBLE AS tq, b::DOUBLE AS sq, {compat_sql("t_unit", "s_unit")} AS fit_unit FROM e2),
+h1 AS (SELECT *, (length(st) >= 4 AND contains(tt, st)) OR (length(tt) >= 4 AND contains(st, tt)) AS inside, greatest(1 - levenshtein(tt, st)::DOUBLE / greatest(length(tt), length(st)), cos) AS s0, CASE WHEN tr > 0 AND sr > 0 THEN abs(tr - sr) / greatest(tr, sr) END AS gap,
+  CASE WHEN tq > 0 AND sq > 0 THEN abs(tq - sq) / greatest(tq, sq) END AS dq, t_code = s_code AND t_code <> '' AS code, t % 50 = s % 50 AS serial, lower(t_unit) = lower(s_unit) AS same_unit,
+  CASE WHEN contains(lower('Works W1/' || s_bill), lower(t_bill)) OR contains(lower(s_bill), lower(t_bill)) THEN 30 ELSE 0 END + CASE WHEN t % 3 = 1 THEN 20 ELSE 0 END AS filed FROM h0),
+h2 AS (SELECT *, greatest(s0, CASE WHEN inside THEN 0.85 ELSE 0 END, CASE WHEN cov >= 0.8 THEN 0.8 WHEN cov >= 0.5 THEN 0.65 ELSE 0 END) AS sim, coalesce((tr = 0 AND sr = 0) OR gap <= 0.005, false) AS confirmed FROM h1),
+h3 AS (SELECT *, 80 * sim + CASE WHEN inside THEN 35 ELSE 0 END + 30 * cov + 20 * cos + filed + CASE WHEN tq = 0 AND sq = 0 THEN 20 WHEN dq = 0 THEN 35 WHEN dq <= 0.02 THEN 25 WHEN dq <= 0.05 THEN 18 WHEN dq <= 0.2 THEN 10 ELSE 0 END
+  + CASE WHEN tr = 0 AND sr = 0 THEN 50 WHEN gap <= 0.005 THEN 60 WHEN gap <= 0.02 THEN 35 ELSE 0 END + CASE WHEN code THEN 45 ELSE 0 END + CASE WHEN serial THEN 35 ELSE 0 END + CASE WHEN same_unit THEN 20 WHEN fit_unit THEN 10 WHEN NOT confirmed AND NOT code THEN -40 ELSE 0 END AS fit,
+  (code OR serial) AND (sim >= 0.35 OR inside OR cov >= 0.3 OR (tq > 0 AND tq = sq)) AS anchored, m = 0 OR NOT (fit_unit OR confirmed OR code OR serial) AS reject FROM h2),
+hybrid AS (SELECT scope, t, s, sim, CASE WHEN reject THEN 0 ELSE fit * m END AS fitness, CASE WHEN reject THEN 0 ELSE least(1.0, m * CASE WHEN confirmed THEN greatest(0.95, sim) WHEN anchored THEN least(1.0, 0.75 + 0.25 * sim) WHEN code OR serial THEN sim WHEN inside AND fit_unit THEN least(1.0, 0.8 + 0.2 * cov) ELSE sim END) END AS score,
+  NOT reject AND (confirmed OR anchored OR (NOT (code OR serial) AND ((inside AND fit_unit) OR (sim >= 0.65 AND fit_unit AND fit >= 80)))) AS approved FROM h3)"""
+
+
+@query("jn7_hybrid_scores", over_base(HYBRID + " SELECT t, s, round(sim, 6)::DOUBLE AS text, round(fitness, 6)::DOUBLE AS fitness, round(score, 6)::DOUBLE AS score, approved FROM hybrid"))
 def jn7(spark, d):
     return scoped_edges(spark, d).withColumn("h", M.hybrid_fitness()).select("t", "s", *[F.round(f"h.{k}", 6).alias(k) for k in ("text", "fitness", "score")], "h.approved")
 
@@ -115,8 +141,10 @@ def jn10(spark, d):
 
 
 def sheet_names(spark, d):
-    s = sheets(spark, d)
-    return s.where("k % 2 = 0 and trim(s) <> ''").select(F.col("s").alias("t_sheet"), F.lower("s").contains("ps").alias("t_ps")).distinct(), s.where("k % 2 = 1 and trim(s) <> ''").select(F.col("s").alias("s_sheet")).distinct()
+    """Every sheet name of the targets, every sheet name and bill of the sources."""
+    t = sheets(spark, d).where("trim(s) <> ''").select(F.col("s").alias("t_sheet"), F.lower("s").contains("ps").alias("t_ps")).distinct()
+    s = target_items(spark, d).select(F.col("sheet").alias("s_sheet")).union(source_items(spark, d).select("s_bill")).distinct()
+    return t, s
 
 
 @query("jn11_wn6_sheet_links")
@@ -127,13 +155,13 @@ def jn11(spark, d):
 KEYS = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
-@query("jn4_bill_keys", f"""WITH {D_S}, a AS (SELECT DISTINCT {KEYS.format(x="s")} AS a FROM s WHERE k % 2 = 0), b AS (SELECT DISTINCT {KEYS.format(x="s")} AS b FROM s WHERE k % 2 = 1)
-SELECT a, b FROM a, b WHERE a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a) OR 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.7)""")
+@query("jn4_bill_keys", f"""WITH {D_S}, k AS (SELECT s, {fold_sql("s", T.TAG_ORDINALS)} AS t FROM (SELECT DISTINCT {KEYS.format(x="s")} AS s FROM s)), a AS (SELECT s AS a, {TAG_SQL} AS ta FROM k),
+c AS (SELECT s, {fold_sql("s", T.TAG_ORDINALS)} AS t FROM (SELECT DISTINCT {KEYS.format(x="sheet")} AS s FROM (SELECT 'Bill ' || lpad((l_suppkey % 12)::VARCHAR, 2, '0') || ' - ' || p_brand AS sheet FROM lineitem JOIN part ON l_partkey = p_partkey))), b AS (SELECT s AS b, {TAG_SQL} AS tb FROM c)
+SELECT a, b FROM a, b WHERE a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a) OR (ta <> '' AND ta = tb) OR 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.7)""")
 def jn4(spark, d):
-    a = sheets(spark, d).where("k % 2 = 0").select(T.bill_key(F.col("s")).alias("a"), F.lit(1).alias("j")).distinct()
-    b = sheets(spark, d).where("k % 2 = 1").select(T.bill_key(F.col("s")).alias("b"), F.lit(1).alias("j")).distinct()
-    x, y = F.col("a"), F.col("b")
-    return a.join(b, "j").where((x != "") & (y != "") & ((x == y) | x.contains(y) | y.contains(x) | (T.lev_similarity(x, y) >= 0.70))).select("a", "b")
+    a = sheets(spark, d).select(T.bill_key(F.col("s")).alias("a")).distinct()
+    b = target_items(spark, d).select("sheet").distinct().select(T.bill_key(F.col("sheet")).alias("b")).distinct()
+    return M.bill_key_pairs(a, b)
 
 
 @query("jn5_partition_keys", over_base("SELECT id, key FROM (SELECT id, unnest(list_distinct([lower(bill), lower(sheet), lower(workbook)])) AS key FROM target_items)"))

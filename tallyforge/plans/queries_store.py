@@ -9,18 +9,22 @@ from ..functions import rules as R
 from ..operators import store as S
 from ..sources import sheets as X
 from .adapters import over_base, pairs, source_items, table, target_items
-from .queries_scalar import DRIFT_SQL, RATE_SQL
+from .queries_scalar import DRIFT_SQL, FL1_SQL, RATE_SQL, norm_sql
 from .registry import query
 
 
-@query("fl5_fl6_priced_sources", over_base("SELECT s_id, CASE WHEN s_id % 3 = 0 THEN (s_rate * s_quantity)::DOUBLE / s_quantity::DOUBLE ELSE s_rate::DOUBLE END AS rate FROM source_items WHERE s_rate > 0 AND s_id % 11 <> 0"))
+OFFERED = """, o AS (SELECT id, CASE item_type WHEN 'RateOnly' THEN NULL WHEN 'ProvisionalSum' THEN 0 ELSE original_rate END AS rate, CASE WHEN size % 2 = 0 THEN original_rate END AS original, description || CASE WHEN size % 5 = 0 THEN ' (Ignored)' ELSE '' END AS description FROM target_items)"""
+
+
+@query("fl5_fl6_priced_sources", over_base(OFFERED + """ SELECT id, (CASE WHEN rate > 0 THEN rate WHEN original > 0 THEN original ELSE 0 END)::DOUBLE AS rate FROM o WHERE rate > 0 OR original > 0 OR contains(lower(description), 'ignored')"""))
 def fl5(spark, d):
-    return source_items(spark, d).where("s_rate > 0 and s_id % 11 <> 0").selectExpr("s_id", "case when s_id % 3 = 0 then cast(s_rate * s_quantity as double) / cast(s_quantity as double) else cast(s_rate as double) end as rate")
+    o = target_items(spark, d).selectExpr("id", "case item_type when 'RateOnly' then null when 'ProvisionalSum' then 0 else original_rate end as rate", "case when size % 2 = 0 then original_rate end as original", "concat(description, case when size % 5 = 0 then ' (Ignored)' else '' end) as description")
+    return S.priced_sources(o).select("id", F.col("rate").cast("double"))
 
 
 @query("fl7_protected_guard", over_base("SELECT item_type, count(*) AS items, count(injected_rate) AS priced FROM pairs GROUP BY item_type"))
 def fl7(spark, d):
-    return pairs(spark, d).groupBy("item_type").agg(F.count("*").alias("items"), F.count("injected_rate").alias("priced"))
+    return S.guarded(pairs(spark, d)).groupBy("item_type").agg(F.count("*").alias("items"), F.count("injected_rate").alias("priced"))
 
 
 CATEGORY = "CASE WHEN item_type = 'ProvisionalSum' THEN 'PS' WHEN is_vo THEN 'VO' WHEN confidence = 'ManualReviewNeeded' THEN 'Review' WHEN injected_rate > 0 THEN 'Priced' ELSE 'Other' END"
@@ -28,7 +32,7 @@ CATEGORY = "CASE WHEN item_type = 'ProvisionalSum' THEN 'PS' WHEN is_vo THEN 'VO
 
 @query("fl8_fl9_fl10_grid_filter", over_base(f"SELECT id, {CATEGORY} AS category FROM pairs WHERE workbook = 'W1' AND (contains(lower(description), 'gear') OR contains(lower(code), 'gear') OR contains(lower(bill), 'gear'))"))
 def fl8(spark, d):
-    return pairs(spark, d).where("workbook = 'W1'").where(S.grid_search("gear", "description", "code", "bill")).selectExpr("id", f"{CATEGORY} as category")
+    return pairs(spark, d).where("workbook = 'W1'").where(S.grid_search("gear", "description", "code", "bill")).select("id", S.category().alias("category"))
 
 
 @query("fl11_linkable", over_base("SELECT id FROM pairs WHERE approved AND injected_rate > 0 AND item_type <> 'ProvisionalSum' AND row > 0"))
@@ -97,17 +101,18 @@ def mu8(spark, d):
     return t.select("k", S.manual_link(F.col("t"), F.col("ps")).alias("status"))
 
 
-HISTORY = """WITH snap AS (SELECT o_orderkey AS rev, o_orderdate AS day, o_orderpriority AS project FROM orders), item AS (SELECT l_orderkey AS rev, l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id, p_name AS description, p_brand AS code, p_type AS bill, l_extendedprice AS rate FROM lineitem JOIN part ON l_partkey = p_partkey),
+HISTORY = """WITH snap AS (SELECT o_orderkey AS rev, o_orderdate AS day, o_orderpriority AS project, coalesce(nullif(CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'Invoice ' || o_custkey END, ''), o_orderpriority) AS invoice, 'source ' || o_orderstatus || '.xlsx' AS source, 'target ' || o_orderpriority || '.xlsx' AS target FROM orders),
+item AS (SELECT l_orderkey AS rev, l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id, p_name AS description, lower(p_name) AS normalised, p_brand AS code, p_type AS bill, CASE l_returnflag WHEN 'A' THEN NULL ELSE l_extendedprice END AS rate FROM lineitem JOIN part ON l_partkey = p_partkey),
 h AS (SELECT * FROM snap JOIN item USING (rev))"""
 
 
 def history(spark, d):
-    snap = table(spark, d, "orders").selectExpr("o_orderkey as rev", "o_orderdate as day", "o_orderpriority as project")
-    item = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey as rev", "concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id", "p_name as description", "p_brand as code", "p_type as bill", "l_extendedprice as rate")
+    snap = table(spark, d, "orders").selectExpr("o_orderkey as rev", "o_orderdate as day", "o_orderpriority as project", "coalesce(nullif(case when o_custkey % 3 = 0 then '' else concat('Invoice ', o_custkey) end, ''), o_orderpriority) as invoice", "concat('source ', o_orderstatus, '.xlsx') as source", "concat('target ', o_orderpriority, '.xlsx') as target")
+    item = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_orderkey as rev", "concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id", "p_name as description", "lower(p_name) as normalised", "p_brand as code", "p_type as bill", "case l_returnflag when 'A' then null else l_extendedprice end as rate")
     return S.history(snap, item)
 
 
-@query("jn14_db8_recent_history", HISTORY + " SELECT rev, id, rate FROM h WHERE rate > 0 ORDER BY rev DESC, id LIMIT 200")
+@query("jn14_db8_recent_history", HISTORY + " SELECT rev, id, rate FROM h WHERE rate IS NOT NULL ORDER BY rev DESC, id LIMIT 200")
 def db8(spark, d):
     return S.recent(history(spark, d)).select("rev", "id", "rate")
 
@@ -122,15 +127,30 @@ def db7(spark, d):
     return S.latest_per_item(history(spark, d), ["description", "bill"], 10).select("description", "rev", "id", "rate")
 
 
-@query("db9_history_search", HISTORY + " SELECT rev, id, rate FROM h WHERE description ILIKE '%anvi%' OR code ILIKE '%anvi%' OR bill ILIKE '%anvi%' OR project ILIKE '%anvi%' ORDER BY rev DESC, id LIMIT 200")
+SEARCHED = ["description", "normalised", "code", "invoice", "project", "source", "target", "bill"]
+
+
+def like_sql(term):
+    return "rate IS NOT NULL AND (" + " OR ".join(f"{c} ILIKE '%{term}%'" for c in SEARCHED) + ")"
+
+
+@query("db9_history_search", HISTORY + f" SELECT rev, id, rate FROM h WHERE {like_sql('anvi')} ORDER BY rev DESC, id LIMIT 200")
 def db9(spark, d):
-    return S.search(history(spark, d), "anvi", ["description", "code", "bill", "project"]).select("rev", "id", "rate")
+    return S.search(history(spark, d), "anvi", SEARCHED).select("rev", "id", "rate")
 
 
-@query("db10_jn15_fuzzy_history", HISTORY + """, t AS (SELECT rev, id, list_max(list_transform(regexp_split_to_array(lower(description), '\\s+'), lambda w: CASE WHEN contains(w, 'anvl') THEN 0.75 WHEN abs(length(w) - 4) <= 2 AND levenshtein(w, 'anvl') <= 2 THEN 1 - levenshtein(w, 'anvl')::DOUBLE / greatest(length(w), 4) ELSE 0 END)) AS score FROM h)
-SELECT rev, id, round(score, 6)::DOUBLE AS score FROM t WHERE score >= 0.6 ORDER BY score DESC, rev DESC, id LIMIT 200""")
+def fuzzy_sql(term):
+    """The search for a term and, if it finds less than ten rows, the words of the latest 2,000 rates."""
+    one = "CASE WHEN contains(lower(description || chr(10) || normalised || chr(10) || invoice || chr(10) || source), '{t}') THEN 0.75 ELSE list_max(list_transform(regexp_split_to_array(lower(description), ' +'), lambda w: CASE WHEN abs(length(w) - {n}) <= 2 AND levenshtein(w, '{t}') <= 2 THEN 1 - levenshtein(w, '{t}')::DOUBLE / greatest(length(w), {n}) ELSE 0 END)) END"
+    score = "greatest(0, " + ", ".join(one.format(t=t, n=len(t)) for t in term.lower().replace("-", " ").split()) + ")"
+    return HISTORY + f""", direct AS MATERIALIZED (SELECT * FROM h WHERE {like_sql(term)} ORDER BY rev DESC, id LIMIT 200), pool AS (SELECT * FROM h WHERE rate IS NOT NULL ORDER BY rev DESC, id LIMIT 2000),
+more AS (SELECT rev, id, {score}::DOUBLE AS score FROM pool p WHERE (SELECT count(*) FROM direct) < 10 AND NOT EXISTS (SELECT 1 FROM direct x WHERE x.rev = p.rev AND x.code = p.code AND x.description = p.description))
+SELECT rev, id, 1.0::DOUBLE AS score FROM direct UNION ALL SELECT * FROM (SELECT rev, id, round(score, 6) AS score FROM more WHERE score >= 0.6 ORDER BY more.score DESC, rev DESC, id LIMIT 200 - (SELECT count(*) FROM direct))"""
+
+
+@query("db10_jn15_fuzzy_history", fuzzy_sql("anvl-gaer"))
 def db10(spark, d):
-    return S.fuzzy_search(history(spark, d), "anvl", "description").select("rev", "id", F.round("score", 6).alias("score"))
+    return S.fuzzy_search(history(spark, d), "anvl-gaer", SEARCHED).select("rev", "id", F.round("score", 6).alias("score"))
 
 
 @query("db5_sk10_snapshot_upsert", "SELECT key, value FROM (SELECT user_id AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -139,10 +159,15 @@ def db5(spark, d):
     return S.upserted(e, "key", "version").select("key", "value")
 
 
-@query("db11_preset_upsert", "WITH o AS (SELECT c_custkey AS name, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS name, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE name NOT IN (SELECT name FROM n)")
+@query("db11_preset_upsert", "WITH o AS (SELECT c_custkey AS name, c_acctbal AS v FROM customer), n AS (SELECT s_suppkey AS name, s_acctbal AS v FROM supplier) SELECT * FROM n UNION ALL SELECT * FROM o WHERE name NOT IN (SELECT name FROM n)")
 def db11(spark, d):
-    c = table(spark, d, "customer")
-    return S.merged(c.where("c_custkey % 2 = 0").selectExpr("c_custkey as name", "c_acctbal as v"), c.where("c_custkey % 3 = 0").selectExpr("c_custkey as name", "c_acctbal + 1 as v"), "name")
+    old, new = table(spark, d, "customer").selectExpr("c_custkey as name", "c_acctbal as v"), table(spark, d, "supplier").selectExpr("s_suppkey as name", "s_acctbal as v")
+    return S.merged(old, new, "name")
+
+
+@query("db11_preset_delete", "SELECT c_custkey AS name, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def db11_delete(spark, d):
+    return S.without(table(spark, d, "customer").selectExpr("c_custkey as name", "c_acctbal as v"), table(spark, d, "supplier").selectExpr("s_suppkey as name"), "name")
 
 
 @query("db12_audit_trail", "SELECT event_id, user_id AS item, event_type AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS newest FROM events")
@@ -181,32 +206,40 @@ def nr12(spark, d):
     return X.hierarchical_items(X.demo_cells(table(spark, d, "part"), hierarchical=True))
 
 
-@query("sc1_sc3_flat_items")
+BOOK = "'W' || (p_partkey % 3) AS workbook, p_type AS sheet"
+
+
+@query("sc1_sc3_flat_items", f"""WITH p AS (SELECT {BOOK}, (p_partkey + 2)::INT AS row, p_brand AS code, p_name AS description, {norm_sql("p_name")} AS normalised, p_size::DECIMAL(18,4) AS quantity, p_retailprice::DECIMAL(18,2)::DECIMAL(18,4) AS rate, p_type AS s FROM part WHERE p_type IS NOT NULL)
+SELECT workbook, sheet, row, code, description, normalised, 'm2' AS unit, quantity::DOUBLE AS quantity, rate::DOUBLE AS rate, (rate * quantity)::DECIMAL(28,4)::DOUBLE AS amount, 'U_' || workbook || '_' || sheet || '_' || row || '_' || code AS id FROM p WHERE NOT ({FL1_SQL}) AND (quantity > 0 OR rate > 0)""")
 def sc1(spark, d):
-    return X.flat_items(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    rows = X.flat_items(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("quantity", "rate", "amount")})
 
 
-@query("nr6_sc5_wn9_header_columns")
+@query("nr6_sc5_wn9_header_columns", f"SELECT DISTINCT {BOOK}, 1 AS header, true AS found, 'EGP' AS currency, 1 AS code, 1 AS serial, 2 AS description, 3 AS unit, 4 AS quantity, 5 AS rate, 6 AS amount, NULL::INT AS bill, NULL::INT AS section, '' AS hierarchy FROM part")
 def nr6(spark, d):
-    return X.resolve_headers(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    h = X.resolve_headers(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    return h.withColumn("hierarchy", F.array_join(F.col("hierarchy").cast("array<string>"), ","))
 
 
-PROFILE = "WITH s AS (SELECT p_type AS sheet, count(*) AS n, count(*) FILTER (p_retailprice > 0) AS p FROM part GROUP BY p_type)"
+#: The demo cells of each sheet, counted.
+PROFILE = f"""WITH s AS (SELECT {BOOK}, count(*) AS n, count(*) FILTER (p_retailprice > 0) AS p, max(p_partkey) + 1 AS last, count(*) FILTER (p_size % 4 = 0) AS formulas, count(*) FILTER (p_size % 7 = 0 AND p_size % 4 <> 0) AS broken,
+  count(*) FILTER (p_size % 6 = 0) AS arabic, round(sum(p_size * p_retailprice::DECIMAL(18,2)::DOUBLE), 2) AS value FROM part GROUP BY ALL)"""
 
 
-@query("sc4_ag12_workbook_profile", PROFILE + " SELECT sheet, (n + 1)::BIGINT AS rows, p::BIGINT AS priced FROM s")
+@query("sc4_ag12_workbook_profile", PROFILE + " SELECT workbook, sheet, (n + 1)::BIGINT AS rows, p::BIGINT AS priced, last::BIGINT AS estimated, 'Amount, Description, Item, Qty, Unit, Unit Rate' AS headers, false AS metadata FROM s")
 def sc4(spark, d):
-    return X.profile(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    return X.profile(X.demo_cells(table(spark, d, "part"), hierarchical=False)).withColumn("headers", F.array_join("headers", ", "))
 
 
-@query("sc7_ag23_preflight", PROFILE + " SELECT sheet, CASE WHEN p > 0 THEN 'Passed' ELSE 'FailedMissingColumns' END AS status FROM s")
+@query("sc7_ag23_preflight", """SELECT 'W' || (p_partkey % 3) AS workbook, true AS header, 0::BIGINT AS bill_rows, 'FailedCorrupted' AS status, count(DISTINCT p_type) AS sheets, count(DISTINCT p_type) FILTER (starts_with(lower(p_type), 'bill')) AS bill_sheets, 0::BIGINT AS ps_sheets FROM part GROUP BY ALL""")
 def sc7(spark, d):
     return X.preflight(X.demo_cells(table(spark, d, "part"), hierarchical=False))
 
 
-@query("ag29_output_audit", PROFILE + " SELECT sheet, p::BIGINT AS rates, 0::BIGINT AS formulas, 0::BIGINT AS broken, 0::BIGINT AS arabic_digits FROM s")
+@query("ag29_output_audit", PROFILE + " SELECT workbook, sheet, p::BIGINT AS rates, value, formulas, broken, arabic AS arabic_digits FROM s")
 def ag29(spark, d):
-    return X.output_audit(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    return X.output_audit(X.demo_cells(table(spark, d, "part"), hierarchical=False)).withColumn("value", F.round("value", 2))
 
 
 @query("ag25_discovery_counters", over_base("SELECT count(DISTINCT sheet) AS tables, count(DISTINCT sheet) FILTER (s_id IS NOT NULL) AS linked, count(DISTINCT sheet) FILTER (item_type = 'ProvisionalSum') AS shielded FROM pairs"))

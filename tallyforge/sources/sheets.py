@@ -11,6 +11,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -69,11 +70,22 @@ def cells_of(files: DataFrame) -> DataFrame:
 
 
 def demo_cells(part: DataFrame, hierarchical: bool) -> DataFrame:
-    """Parts as cells: one sheet a type, a heading row, then one row a part (its number is the row)."""
+    """Parts as cells of three workbooks: one sheet a type, a heading row, then one row a part (its number is the row).
+
+    Some quantities are in Arabic digits, some amounts formulas or broken cells.
+    """
     heads = ["Item", "Description", "Unit", "Qty", "Unit Rate", "Amount"]
-    p = part.select(F.col("p_type").alias("sheet"), "p_partkey", F.array(F.col("p_brand"), F.col("p_name"), F.when(F.col("p_size") % 5 == 0, "").otherwise("m2") if hierarchical else F.lit("m2"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_size").cast("string")) if hierarchical else F.col("p_size").cast("string"), F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.lit("")).alias("v"))
-    rows = p.select("sheet", (F.col("p_partkey") + 2).cast("int").alias("row"), "v").unionByName(part.select(F.col("p_type").alias("sheet")).distinct().select("sheet", F.lit(1).alias("row"), F.array(*map(F.lit, heads)).alias("v")))
-    return rows.select(F.lit("parts").alias("workbook"), "sheet", "row", F.posexplode("v").alias("col", "raw")).where("raw <> ''").select("workbook", "sheet", "row", (F.col("col") + 1).alias("col"), "raw", F.lit(None).cast("string").alias("formula"))
+    size, gap = F.col("p_size"), (F.col("p_size") % 5 == 0) if hierarchical else F.lit(False)
+    quantity = F.when(size % 6 == 0, F.translate(size.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(size.cast("string"))
+    row = (F.col("p_partkey") + 2).cast("int")
+    cell = lambda raw, formula=None: F.struct(raw.alias("raw"), (F.lit(None).cast("string") if formula is None else formula).alias("formula"))
+    formula = F.when(size % 4 == 0, F.concat(F.lit("D"), row.cast("string"), F.lit("*E"), row.cast("string")))
+    broken = F.when((size % 4 != 0) & (size % 7 == 0), "#REF!")
+    cells = F.array(cell(F.col("p_brand")), cell(F.col("p_name")), cell(F.when(~gap, "m2")), cell(F.when(~gap, quantity)), cell(F.col("p_retailprice").cast("decimal(18,2)").cast("string")), cell(broken, formula))
+    key = [F.concat(F.lit("W"), (F.col("p_partkey") % 3).cast("string")).alias("workbook"), F.col("p_type").alias("sheet")]
+    rows = part.select(*key, row.alias("row"), cells.alias("v")).unionByName(part.select(*key).distinct().select("workbook", "sheet", F.lit(1).alias("row"), F.array(*[cell(F.lit(h)) for h in heads]).alias("v")))
+    out = rows.select("workbook", "sheet", "row", F.posexplode("v").alias("col", "c")).where("c.raw is not null or c.formula is not null")
+    return out.select("workbook", "sheet", "row", (F.col("col") + 1).alias("col"), "c.raw", "c.formula")
 
 
 def header_roles(x: Column) -> Column:
@@ -82,24 +94,115 @@ def header_roles(x: Column) -> Column:
     return F.filter(F.array(*[F.when(t.rlike("(?i)" + R.HEADERS[r]), F.lit(r)) for r in ORDER]), lambda v: v.isNotNull())
 
 
+COLUMNS = ["code", "serial", "description", "unit", "quantity", "rate", "amount", "bill", "section"]
+HEADERS = "workbook string, sheet string, header int, found boolean, currency string, " + ", ".join(f"{c} int" for c in COLUMNS) + ", hierarchy array<int>"
+# Default columns (from 1), roles that make a header row, headings that are a rate whatever else they fit.
+DEFAULTS = {"description": 3, "quantity": 5, "unit": 6, "rate": 7, "amount": 8}
+HEADER_HITS = ["code", "serial", "description", "unit", "quantity", "rate", "amount"]
+RATE_NAMES = ["u.r", "ur", "unit rate", "tender rate", "سعر الوحدة"]
+RATE_PARTS = ["uplifted unit rate", "unit rate\nuplifted", "ccc unit rate uplifted"]
+# Beginnings of cells that tell a column of bills or of sections.
+BILL_CELLS, SECTION_CELLS = ("bill ", "schedule ", "الباب ", "جدول "), ("section ", "قسم ", "بند رئيسي")
+_FITS = {role: re.compile(pattern, re.IGNORECASE) for role, pattern in R.HEADERS.items()}
+
+
+def _is_number(text: str) -> bool:
+    return re.fullmatch(r"\s*[-+]?[\d,]*\.?\d+\s*|\s*[-+]?[\d,]+\.\s*", text) is not None
+
+
+def _claim(row: dict[int, str], at: dict[str, int], tree: list[int]) -> None:
+    """Columns that the cells of one header row name; the first of a role stays, but a better rate replaces a rate."""
+    whole = False
+    for c in sorted(row):
+        text, low = row[c], row[c].lower()
+        fits = {role for role, pattern in _FITS.items() if pattern.search(text)}
+        if "composite" in fits:
+            at["rate"], whole = c, True
+            continue
+        named = low in RATE_NAMES or any(w in low for w in RATE_PARTS)
+        if not whole and "amount" not in low and (named or "rate" in fits):
+            if named or "rate" not in at or "partial" not in fits:
+                at["rate"] = c
+            continue
+        for role in ("amount", "quantity", "unit", "description", "serial", "code", "bill", "section"):
+            if role in fits and role not in at and not (role == "unit" and ("rate" in low or "price" in low)):
+                at[role] = c
+                break
+        else:
+            if "hierarchy" in fits and c not in tree:
+                tree.append(c)
+
+
+def resolve_grid(grid: dict[int, dict[int, str]], rows: int) -> dict:
+    """NR6: header row, columns by role and currency of one sheet, from its first ``rows`` rows (row -> column -> text)."""
+    grid = {r: {c: t.strip() for c, t in v.items() if t and t.strip()} for r, v in grid.items() if r <= rows}
+    currency, hits = "EGP", {}
+    for r in sorted(grid):
+        for text in grid[r].values():
+            if "usd" in text.lower() or "($)" in text:
+                currency = "USD"
+            elif "eur" in text.lower() or "(€)" in text:
+                currency = "EUR"
+        hits[r] = sum(any(_FITS[role].search(t) for role in HEADER_HITS) for t in grid[r].values())
+    best = max(sorted(hits), key=lambda r: hits[r], default=1)
+    found = hits.get(best, 0) >= 2
+    header, at, tree = best if found else 1, {}, []
+    if found:
+        for r in (best, best + 1, best - 1):  # headings may take two rows; a row of numbers is no heading
+            if r == best or sum(map(_is_number, grid.get(r, {}).values())) <= 1:
+                _claim(grid.get(r, {}), at, tree)
+    below = [v for r, v in grid.items() if r > header]
+    wide = max((max(v) for v in grid.values() if v), default=0)
+    units = dict.fromkeys(R.KNOWN_UNITS)
+    for c in range(1, wide + 1):
+        texts = [v[c] for v in below if c in v]
+        starts = lambda words: [t for t in texts if t.lower().startswith(words)]  # noqa: B023, E731
+        bills, known = len(starts(BILL_CELLS)), sum(t.lower() in units for t in texts)
+        if "description" not in at and sum(map(len, texts)) > 60 and not bills and not any(map(_is_number, texts)):
+            at["description"] = c
+        elif "unit" not in at and known >= 2:
+            at["unit"] = c
+        if "bill" not in at and bills >= 2:
+            at["bill"] = c
+        if "section" not in at and len([t for t in starts(SECTION_CELLS) if not t.lower().startswith(BILL_CELLS)]) >= 2:
+            at["section"] = c
+    if "unit" not in at:
+        at |= {"unit": c for c in range(wide, 0, -1) if any(v.get(c, "").lower() in units for v in below)}
+    if not tree and at.get("description", 0) > 2:
+        end = min(at["description"], at.get("code", at["description"]))
+        tree = [c for c in range(1, end) if c not in (at.get("serial"), at.get("code"), at.get("bill"), at.get("section"))]
+    for a, b in (("code", "serial"), ("serial", "code")):
+        if a not in at and b in at and at[b] not in tree:
+            at[a] = at[b]
+    at = DEFAULTS | at
+    if "code" not in at and 1 not in tree:
+        at["code"] = 1
+    if at.get("code") in tree:
+        del at["code"]
+    return {"header": header if found else 1, "found": found, "currency": currency, **{c: at.get(c) for c in COLUMNS}, "hierarchy": sorted(set(tree))}
+
+
 def resolve_headers(cells: DataFrame, rows: int = FLAT_ROWS) -> DataFrame:
-    """NR6, SC5, WN9: per sheet the header row (most role hits, at least two, first wins) and the column of each role.
+    """NR6, SC5, WN9: per sheet the header row (most hits, at least two, first wins), the column of each role, the currency.
 
-    A composite rate column wins over a plain one, a plain one over a partial one.
+    Neighbouring rows add headings, the cells below tell missing columns, defaults fill the rest; a sheet without a
+    header row is read by these alone.  Only the first ``rows`` rows of a sheet reach its task.
     """
-    keys = ["workbook", "sheet"]
-    h = cells.where(F.col("row") <= rows).withColumn("roles", header_roles(F.col("raw"))).where(F.size("roles") > 0)
-    best = h.groupBy(*keys, "row").agg(F.count("*").alias("hits")).where("hits >= 2").groupBy(*keys).agg(F.max_by("row", F.struct("hits", -F.col("row"))).alias("header"))
-    c = h.join(best, keys).where(F.col("row") == F.col("header"))
-    col = lambda role, bar=(): F.min(F.when(F.array_contains("roles", role) & ~F.arrays_overlap("roles", F.array(*map(F.lit, bar or ("none",)))), F.col("col")))
-    rate = F.coalesce(col("composite"), col("rate", ("composite", "partial", "amount")), col("partial"))
-    return c.groupBy(*keys, "header").agg(col("code").alias("code"), col("description").alias("description"), col("unit", ("rate", "composite", "partial")).alias("unit"), col("quantity").alias("quantity"), rate.alias("rate"), col("amount", ("composite", "rate")).alias("amount"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid: dict[int, dict[int, str]] = {}
+        for r, c, t in zip(pdf["row"], pdf["col"], pdf["raw"]):
+            grid.setdefault(int(r), {})[int(c)] = t
+        found = {"workbook": pdf["workbook"].iloc[0], "sheet": pdf["sheet"].iloc[0], **resolve_grid(grid, rows)}
+        return pd.DataFrame([found]).astype({c: "Int32" for c in COLUMNS})
+
+    return cells.where((F.col("row") <= rows) & F.col("raw").isNotNull()).select("workbook", "sheet", "row", "col", "raw").groupBy("workbook", "sheet").applyInPandas(one, HEADERS)
 
 
 def _wide(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """One row per sheet row below its header, roles as columns."""
     roles = ["code", "description", "unit", "quantity", "rate", "amount"]
-    j = cells.join(headers, ["workbook", "sheet"]).where(F.col("row") > F.col("header"))
+    j = cells.join(headers, ["workbook", "sheet"]).where(F.col("row") > F.when(F.col("found"), F.col("header")).otherwise(0))
     return j.groupBy("workbook", "sheet", "row").agg(*[F.max(F.when(F.col("col") == F.col(r), F.col("raw"))).alias(f"v_{r}") for r in roles]).selectExpr("workbook", "sheet", "row", *[f"v_{r} as {r}" for r in roles])
 
 
@@ -168,23 +271,49 @@ def hierarchical_items(cells: DataFrame) -> DataFrame:
     return w.groupBy("workbook", "sheet").applyInPandas(one, schema)
 
 
+#: Words above a header that tell a tender; column names and beginnings of sheet names of the pre-flight check.
+TENDER_WORDS = ["employer", "tender no", "tender title", "project", "engineer", "consultant", "owner", "client", "المالك", "الاستشاري", "المناقصة"]
+REQUIRED = ["Bill", "Section", "Description", "Unit", "Qty", "Rate", "Total"]
+PS_SHEETS = ["provisional sum", "مبلغ احتياطي", "مبالغ احتياطية"]
+SHEET = ["workbook", "sheet"]
+
+
 def profile(cells: DataFrame) -> DataFrame:
-    """SC4, AG12: rows and priced rows per sheet."""
-    w = _wide(cells, resolve_headers(cells))
-    rows = cells.groupBy("sheet").agg(F.count_distinct("row").alias("rows"))
-    return rows.join(w.groupBy("sheet").agg(F.count_if(T.parse_positive(F.col("rate")).isNotNull()).alias("priced")), "sheet", "left").fillna(0, ["priced"])
+    """SC4, AG12: per sheet of each workbook rows, priced rows, rows below the header, headings, and tender words above it."""
+    h = resolve_headers(cells)
+    w = _wide(cells, h).groupBy(*SHEET).agg(F.count_if(T.parse_positive(F.col("rate")).isNotNull()).alias("priced"))
+    low, top = F.lower("raw"), F.when(F.col("found"), F.col("header")).otherwise(0)
+    j = cells.join(h.select(*SHEET, "found", "header"), SHEET, "left")
+    tender = (F.col("row") < top) & reduce(lambda a, b: a | b, [low.contains(x) for x in TENDER_WORDS])
+    heading = F.when((F.col("row") == top) & (F.length("raw") <= 40), F.col("raw"))
+    rows = j.groupBy(*SHEET).agg(F.count_distinct("row").alias("rows"), F.greatest(F.lit(0), F.max("row") - F.coalesce(F.max(top), F.lit(0))).cast("long").alias("estimated"), F.array_sort(F.collect_set(heading)).alias("headers"), F.coalesce(F.bool_or(tender), F.lit(False)).alias("metadata"))
+    return rows.join(w, SHEET, "left").fillna(0, ["priced"]).select(*SHEET, "rows", "priced", "estimated", "headers", "metadata")
 
 
 def preflight(cells: DataFrame) -> DataFrame:
-    """SC7, AG23: a sheet passes if it has a header and a priced row."""
-    return profile(cells).select("sheet", F.when(F.col("priced") > 0, "Passed").otherwise("FailedMissingColumns").alias("status"))
+    """SC7, AG23: per workbook whether one of its first rows names four of the required columns, its rows of bills and status,
+    and its sheets, bill sheets and sheets of provisional sums.
+
+    A workbook without a row whose third cell begins with Bill fails.
+    """
+    top = cells.where("row <= 3").groupBy("workbook", "sheet", "row").agg(*[F.bool_or(F.lower("raw").contains(c.lower())).cast("int").alias(c) for c in REQUIRED])
+    named = top.groupBy("workbook").agg((F.max(sum(F.coalesce(F.col(c), F.lit(0)) for c in REQUIRED)) >= 4).alias("header"))
+    name = F.lower(F.trim("sheet"))
+    bill = name.startswith("bill")
+    ps = bill & reduce(lambda a, b: a | b, [name.contains(x) for x in PS_SHEETS])
+    c = cells.groupBy("workbook").agg(
+        F.count_if((F.col("row") > 2) & (F.col("col") == 3) & F.lower(F.trim("raw")).startswith("bill")).alias("bill_rows"),
+        F.count_distinct("sheet").alias("sheets"), F.count_distinct(F.when(bill, F.col("sheet"))).alias("bill_sheets"), F.count_distinct(F.when(ps, F.col("sheet"))).alias("ps_sheets"),
+    )
+    return c.join(named, "workbook", "left").select("workbook", F.coalesce("header", F.lit(False)).alias("header"), "bill_rows", F.when(F.col("bill_rows") > 0, "Passed").otherwise("FailedCorrupted").alias("status"), "sheets", "bill_sheets", "ps_sheets")
 
 
 def output_audit(cells: DataFrame) -> DataFrame:
-    """AG29: rates, formulas, broken formulas and cells with Arabic digits per sheet."""
-    w = _wide(cells, resolve_headers(cells)).groupBy("sheet").agg(F.count_if(T.parse_positive(F.col("rate")).isNotNull()).alias("rates"))
-    c = cells.groupBy("sheet").agg(F.count_if(F.col("formula").isNotNull()).alias("formulas"), F.count_if(F.col("raw").rlike("^#(REF|VALUE|N/A|DIV/0)")).alias("broken"), F.count_if(F.col("raw").rlike("[٠-٩۰-۹]")).alias("arabic_digits"))
-    return c.join(w, "sheet", "left").fillna(0, ["rates"]).select("sheet", "rates", "formulas", "broken", "arabic_digits")
+    """AG29: per sheet of each workbook rates, their value by quantity, formulas, broken cells and cells with Arabic digits."""
+    rate, quantity = (T.parse_decimal(F.col(c)).cast("double") for c in ("rate", "quantity"))
+    w = _wide(cells, resolve_headers(cells)).groupBy(*SHEET).agg(F.count_if(T.parse_positive(F.col("rate")).isNotNull()).alias("rates"), F.sum(rate * quantity).alias("value"))
+    c = cells.groupBy(*SHEET).agg(F.count_if(F.col("formula").isNotNull()).alias("formulas"), F.count_if(F.col("raw").rlike("^#(REF|VALUE|N/A|DIV/0)")).alias("broken"), F.count_if(F.col("raw").rlike("[٠-٩۰-۹]")).alias("arabic_digits"))
+    return c.join(w, SHEET, "left").fillna(0, ["rates", "value"]).select(*SHEET, "rates", "value", "formulas", "broken", "arabic_digits")
 
 
 def distinct_paths(paths: DataFrame) -> DataFrame:
