@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import matching as M
+from ..operators import reconcile as C
 from .adapters import over_base, pairs, source_items, table, target_items
 from .queries_scalar import D_S, QTY_SQL, TAG_SQL, case_in, dim_sql, fold_sql, scope_sql, sheets, stem_sql
 from .registry import query
@@ -130,6 +131,14 @@ def jn9(spark, d):
     return M.assign_in_order(e.select("scope", "t", "s", F.col("h.fitness").alias("weight"), pos("t"), pos("s")))
 
 
+@query("jn10_jn12_jn16_reconcile")
+def reconcile(spark, d):
+    """The lines of each part together as targets, all parts as sources, matched within a brand."""
+    t = target_items(spark, d).groupBy(F.col("part").alias("t"), F.col("code").alias("scope"), "code", "description", "unit").agg(F.sum("quantity").cast("decimal(18,4)").alias("quantity"), F.min("original_rate").alias("rate"), F.min("currency").alias("currency"), F.min("item_type").alias("item_type"))
+    s = source_items(spark, d).select(F.col("s_id").alias("s"), F.col("s_code").alias("scope"), F.col("s_code").alias("code"), F.col("s_description").alias("description"), F.col("s_unit").alias("unit"), F.col("s_quantity").alias("quantity"), F.col("s_rate").alias("rate"), F.col("s_rate").alias("original"), F.col("s_currency").alias("currency"))
+    return C.reconcile(t, s, scoped=True)
+
+
 @query("jn10_unmatched_fallback", over_base(EDGES + """, got AS (SELECT DISTINCT t FROM edges WHERE weight >= 0.95), free AS (SELECT t, t_code, t_dim FROM tp WHERE t NOT IN (SELECT t FROM got)), best AS (SELECT s_code, s_dim, min(s) AS s FROM sp GROUP BY ALL)
 SELECT t, s AS fallback FROM free LEFT JOIN best ON t_code = s_code AND t_dim = s_dim"""))
 def jn10(spark, d):

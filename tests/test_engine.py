@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import analytics as A
 from tallyforge.operators import matching as M
+from tallyforge.operators import reconcile as C
 from tallyforge.operators import store as S
 from tallyforge.sources import sheets as X
 
@@ -19,24 +20,32 @@ PAIRS = "id string, bill string, description string, quantity decimal(18,4), uni
 
 @pytest.fixture(scope="module")
 def tender(spark):
-    rows = [
-        ("1", "Bill 02-Civil", "Reinforced Concrete Foundation C35", 1000, "m3", 4500, 5000), ("2", "Bill 02-Civil", "Bulk Excavation in all types of soil", 5000, "m3", 80, 90),
-        ("3", "Bill 03-MEP", "High Voltage Power Cable 3x240mm2", 500, "m", 2000, 2200), ("4", "Bill 04-Landscape", "Supply and planting Date Palms", 50, "nr", 12000, 11000), ("5", "Bill 01-Prelims", "Contractor All Risk Insurance", 1, "item", 250000, 250000),
-    ]
-    return spark.createDataFrame([(i, b, d, Decimal(q), u, Decimal(o), Decimal(n), "Exact", True, "EGP", "Normal", False, b) for i, b, d, q, u, o, n in rows], PAIRS)
+    """Amounts 600, 250, 60, 50, 40 of 1,000 in all, and a protected item that does not count."""
+    rows = [("a", "B1", "Concrete wall", 6, "m3", 90, 100), ("b", "B2", "Chiller pump", 5, "nr", 60, 50), ("c", "B1", "Cable tray", 20, "m", 3, 3), ("d", "B3", "Door", 5, "nr", 8, 10), ("e", "B4", "Tile", 8, "m2", 5, 5)]
+    out = [(i, x, t, Decimal(n), u, Decimal(o), Decimal(r), "Exact", True, "EGP", "Normal", False, x) for i, x, t, n, u, o, r in rows]
+    return spark.createDataFrame([*out, ("p", "B9", "Reserve", Decimal(1), "sum", Decimal(900), None, "Exact", True, "EGP", "ProvisionalSum", False, "B9")], PAIRS)
 
 
 def test_pareto(tender):
-    got = {r.id: (r.rank, r["class"]) for r in A.pareto(tender).collect()}
-    assert got == {"1": (1, "A"), "3": (2, "B"), "4": (3, "B"), "2": (4, "C"), "5": (5, "C")}
+    got = {r.id: (r.rank, r.share, r["class"]) for r in A.pareto(tender).collect()}
+    # shares .60 .85 .91 .96 1.00: the first is A, the one that crosses .80 still B, then up to .95
+    assert got == {"a": (1, 0.6, "A"), "b": (2, 0.85, "B"), "c": (3, 0.91, "B"), "d": (4, 0.96, "C"), "e": (5, 1.0, "C")}
+
+
+@pytest.mark.parametrize("amounts,classes", [([99, 1], "AB"), ([50, 46, 4], "ABC"), ([30, 30, 36, 4], "AABC"), ([1], "A"), ([20, 20, 20, 20, 20], "AAAAB")])
+def test_pareto_against_plain(spark, tender, amounts, classes):
+    one = tender.where("id = 'a'")
+    rows = spark.createDataFrame([(k, Decimal(v)) for k, v in enumerate(amounts)], "k int, v decimal(18,4)")
+    p = rows.crossJoin(one.drop("id", "quantity", "injected_rate")).selectExpr("cast(k as string) as id", "v as quantity", "cast(1 as decimal(18,4)) as injected_rate", "bill", "item_type")
+    assert "".join(r["class"] for r in A.pareto(p).orderBy("rank").collect()) == classes
 
 
 def test_variance_and_trades(tender):
     v = A.variance(tender).first()
-    assert (v.escalation, v.savings, v.reconciled) == (650000, 50000, 7350000)
+    assert (v.escalation, v.savings, v.reconciled) == (60 + 10, 50, 1000)
     assert {"Civil & Structural", "MEP Services"} <= {r.trade for r in A.trade_breakdown(tender).collect()}
     s = A.scorecard(tender, F.lit(0)).first()
-    assert s.score >= 90 and s.risk == "Low"
+    assert s.score == 100 and s.risk == "Low"
 
 
 def test_fx(spark):
@@ -48,7 +57,7 @@ def test_fx(spark):
 def test_currencies_are_not_mixed(spark, tender):
     src = spark.createDataFrame([("usd", Decimal(10), Decimal(2)), ("", Decimal(1), Decimal(1))], "s_currency string, s_rate decimal(18,4), s_quantity decimal(18,4)")
     got = {r.currency: (r.base, r.remeasured, r["items"]) for r in A.currency_summary(src, tender).collect()}
-    assert got == {"USD": (20.0, 0.0, 0), "EGP": (1.0, 7350000.0, 5)}
+    assert got == {"USD": (20.0, 0.0, 0), "EGP": (1.0, 1000.0, 6)}  # the protected item has no rate
 
 
 def test_outliers(spark):
@@ -89,12 +98,95 @@ def test_running_is_global(spark):
     assert sorted((r.id, r.rank, int(r.running)) for r in A.running(df, "v", "id", 7).collect()) == sorted(want)
 
 
+def test_running_over_many_rows(spark):
+    """More rows than a range partitioning samples, several input partitions, ties and another column."""
+    n = 400_000
+    df = spark.range(0, n, 1, 16).selectExpr("id", "cast(hash(id) % 1000 + 1000 as decimal(18,4)) as v", "cast(id as string) as more")
+    got = A.running(df, "v", "id", 16).agg(F.count_distinct("rank").alias("d"), F.min("rank").alias("a"), F.max("rank").alias("b"), F.max("running").alias("r"), F.max("total").alias("t")).first()
+    total = df.agg(F.sum("v")).first()[0]
+    assert (got.d, got.a, got.b) == (n, 1, n) and got.r == got.t == total
+
+
+def plain_augmented(edges):
+    """Greedy, then over the edges again: a free target may displace a holder that has a free source left."""
+    order, own, held = sorted(edges, key=lambda e: (-e[2], e[0], e[1])), {}, {}
+    for e in order:
+        if e[0] not in own and e[1] not in held:
+            own[e[0]] = held[e[1]] = e
+    for t, s, w in order:
+        if t not in own:
+            old = held[s]
+            free = [e for e in order if e[0] == old[0] and e[1] not in held]
+            if free and w + free[0][2] > old[2] + 0.05:
+                own[old[0]] = held[free[0][1]] = free[0]
+                own[t] = held[s] = (t, s, w)
+    return sorted(own.values())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_augmented(seed):
+    rng = random.Random(seed)
+    edges = list({(t, s): (t, s, rng.choice([0.6, 0.7, 0.8, 0.9])) for t in range(30) for s in rng.sample(range(24), 4)}.values())
+    assert M.augmented(edges) == plain_augmented(edges)
+
+
+def test_augmentation_goes_by_edges():
+    """One spare source, two free targets: the heavier edge is served first, whatever its target."""
+    edges = [(0, 0, 0.90), (0, 2, 0.80), (1, 1, 0.95), (1, 2, 0.85), (2, 0, 0.70), (3, 1, 0.75)]
+    assert M.augmented(edges) == [(0, 0, 0.90), (1, 2, 0.85), (3, 1, 0.75)]
+
+
+CELL_ROWS = "workbook string, sheet string, row int, col int, raw string, formula string"
+
+
+def grid(spark, rows, sheet="s"):
+    return spark.createDataFrame([("w", sheet, r, c, v, None) for r, row in rows.items() for c, v in enumerate(row, 1) if v], CELL_ROWS)
+
+
+def test_two_line_headings(spark):
+    rows = {3: ["Item", "Description", "Unit", "Quantity"], 4: ["", "", "", "", "Unit Rate", "Total Amount (USD)"], 5: ["1.1", "Blinding", "m3", "4", "10", "40"]}
+    h = X.resolve_headers(grid(spark, rows)).first()
+    assert (h.header, h.code, h.description, h.unit, h.quantity, h.rate, h.amount, h.currency, h.found) == (3, 1, 2, 3, 4, 5, 6, "USD", True)
+
+
+def test_sheet_without_headings(spark):
+    text = "A long description of works that runs on and on, with more than sixty letters in all"
+    rows = {k: [f"1.{k}", "", text, "m2", "7", "", "12.5"] for k in range(1, 5)}
+    h = X.resolve_headers(grid(spark, rows)).first()
+    assert (h.found, h.description, h.unit, h.quantity, h.rate) == (False, 3, 4, 5, 7)
+    got = X.flat_items(grid(spark, rows)).collect()
+    assert len(got) == 4 and all((float(r.quantity), float(r.rate), r.unit) == (7, 12.5, "m2") for r in got)
+
+
+def test_workbooks_stay_apart(spark):
+    rows = {1: ["Item", "Description", "Unit", "Qty", "Rate", "Amount"], 2: ["1", "x", "m", "2", "3", "6"]}
+    cells = grid(spark, rows).unionByName(grid(spark, {**rows, 3: ["2", "y", "m", "٤", "5", "#REF!"]}).withColumn("workbook", F.lit("v")))
+    assert {(r.workbook, r.rows, r.priced) for r in X.profile(cells).collect()} == {("w", 2, 1), ("v", 3, 2)}
+    assert {(r.workbook, r.rates, r.value, r.broken, r.arabic_digits) for r in X.output_audit(cells).collect()} == {("w", 1, 6.0, 0, 0), ("v", 2, 26.0, 1, 1)}
+    assert {(r.workbook, r.header, r.status) for r in X.preflight(cells).collect()} == {("w", True, "FailedCorrupted"), ("v", True, "FailedCorrupted")}
+
+
+def test_reconcile(spark):
+    kinds = "code string, description string, unit string, quantity decimal(18,4), rate decimal(18,4), currency string"
+    t = [(1, "A1", "Hollow block wall 20 cm", "m2", 40, None, "EGP", "Normal"), (2, "A2", "Copper cable 16 mm in conduit", "m", 100, 50, "EGP", "Normal"), (3, "A3", "Reserve", "sum", 1, 900, "EGP", "ProvisionalSum"), (4, "Z9", "Marble statue of a horse", "nr", 1, None, "EGP", "Normal"), (5, "Z8", "Fountain jets", "nr", 3, 70, "EGP", "Normal")]
+    s = [(1, "A1", "Hollow block wall 20 cm", "m2", 40, 95, None, "EGP"), (2, "A2", "Copper cables 16mm in conduits", "lm", 100, 51, None, "EGP"), (3, "A7", "Ignored scope", "sum", 1, None, None, "EGP"), (4, "Q1", "Steel door", "nr", 9, None, None, "EGP")]
+    d = lambda v: None if v is None else Decimal(v)
+    targets = spark.createDataFrame([(k, c, x, u, d(q), d(r), cur, kind) for k, c, x, u, q, r, cur, kind in t], f"t int, {kinds}, item_type string")
+    sources = spark.createDataFrame([(k, c, x, u, d(q), d(r), d(o), cur) for k, c, x, u, q, r, o, cur in s], f"s int, {kinds.replace('rate decimal(18,4)', 'rate decimal(18,4), original decimal(18,4)')}")
+    for scoped in (False, True):
+        both = [x.withColumn("scope", F.lit("b")) if scoped else x for x in (targets, sources)]
+        got = {r.t: (r.s, r.rate, r.confidence, r.item_type) for r in C.reconcile(*both, scoped=scoped).collect()}
+        assert got[1] == (1, 95.0, "Exact", "Normal") and got[3] == (None, 900.0, "Exact", "ProvisionalSum")
+        assert got[2][:2] == (2, 51.0)
+        assert got[4] == (None, None, "VariationOrder", "VariationOrder") and got[5] == (None, 70.0, "Exact", "Normal")
+
+
 def test_sheet_links(spark):
-    t = spark.createDataFrame([("Bill 02A - 3BR Villa East", False), ("Bill 06.1J - 6Plex TH East PS", True), ("Unknown works", False), ("Bill 09 - PS", True)], "t_sheet string, t_ps boolean")
-    s = spark.createDataFrame([("02A 3BR Villa East",), ("6.1J-Townhouse East PS",)], "s_sheet string")
+    t = spark.createDataFrame([("Bill 03B - North Halls", False), ("Bill 07.2K - Pump House PS", True), ("Unknown works", False), ("Bill 09 - PS", True)], "t_sheet string, t_ps boolean")
+    s = spark.createDataFrame([("03B North Halls",), ("7.2K-Pumping Station PS",)], "s_sheet string")
     got = {r.t_sheet: (r.s_sheet, r.status) for r in M.link_sheets(t, s).collect()}
-    assert got["Bill 02A - 3BR Villa East"] == ("02A 3BR Villa East", "AutoMatched")
-    assert got["Bill 06.1J - 6Plex TH East PS"] == ("6.1J-Townhouse East PS", "AutoMatched")
+    assert got["Bill 03B - North Halls"] == ("03B North Halls", "AutoMatched")
+    assert got["Bill 07.2K - Pump House PS"] == ("7.2K-Pumping Station PS", "AutoMatched")
     assert got["Unknown works"][1] == "GlobalSearch" and got["Bill 09 - PS"][1] == "ShieldedPS"
 
 
@@ -155,8 +247,12 @@ def test_row_machine():
 
 
 def test_history_search(spark):
-    snap = spark.createDataFrame([(1, datetime.date(2024, 1, 1), "P"), (2, datetime.date(2024, 2, 1), "P")], "rev int, day date, project string")
-    items = spark.createDataFrame([(1, "a", "steel beam", 5.0), (2, "b", "stel pipe", 6.0), (2, "c", "brick", 0.0)], "rev int, id string, description string, rate double")
+    snap = spark.createDataFrame([(1, datetime.date(2024, 1, 1), "P"), (2, datetime.date(2024, 2, 1), "P")], "rev int, day date, invoice string").withColumn("source", F.lit("f.xlsx"))
+    items = spark.createDataFrame([(1, "a", "oak beam", 5.0), (2, "b", "oka plank", 6.0), (2, "c", "brick", 0.0), (2, "d", "oak", None)], "rev int, id string, description string, rate double").withColumns({"code": F.col("id"), "normalised": F.col("description")})
     h = S.history(snap, items)
-    assert [r.id for r in S.recent(h).collect()] == ["b", "a"]
-    assert [r.id for r in S.fuzzy_search(h, "steel", "description").collect()] == ["b", "a"]
+    assert [r.id for r in S.recent(h).collect()] == ["b", "c", "a"]
+    assert [r.id for r in S.search(h, "oak", ["description"]).collect()] == ["a"]
+    # the direct hit, then the word two edits away: 1 - 2 / 5
+    assert [(r.id, round(r.score, 3)) for r in S.fuzzy_search(h, "plonc-zz", ["description"]).collect()] == [("b", 0.6)]
+    assert [(r.id, r.score) for r in S.fuzzy_search(h, "oak_beam", ["description"]).collect()] == [("a", 1.0)]
+    assert [r.id for r in S.fuzzy_search(h, "oak beams", ["description"]).collect()] == ["a"]
