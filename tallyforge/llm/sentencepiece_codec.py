@@ -6,8 +6,9 @@ piece) with weight 0 for a permitted next piece and minus infinity otherwise, an
 states at its two boundaries as a max-plus matrix.  No piece crosses the start of a word, so between two starts of words
 the matrix is 1 x 1 and the path is looked up word by word; a chunk's matrix is the product of its cut first word, these,
 and its cut last word.  A text of up to one chunk is one chunk between such starts.  Longer texts are split; each chunk
-yields its matrix on its own, the matrices are combined as a tree, first within groups of FAN chunks, then over the groups,
-the states at all boundaries come back down the tree, and each chunk then traces its part of the path back on its own.
+yields its matrix on its own, the matrices are combined as a tree, the states at all boundaries come back down the tree,
+and each chunk then traces its part of the path back on its own.  The chunks of giant texts are rows of many tasks, and
+their tree has two levels, groups of FAN chunks and these groups.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from .common import ROW, cut, slices, whole_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents of more code points are split into chunks of so many.
-GIANT = CHUNK = 16_384
+#: Texts of more code points are split into chunks of so many.
+CHUNK = 16_384
+#: The chunks of texts of more code points are dealt to many tasks; those of others run where the text is read.
+GIANT = 65_536
 #: Chunks whose matrices are combined in one group; two levels hold more chunks than a text of 2**31 bytes has.
 FAN = 512
 WORD_CACHE = 1 << 18
@@ -323,7 +326,7 @@ def _finished(rows: DataFrame, more: StructType, finish: Finish, model: str, gia
         k = codec(model)
         for b in slices(batches):
             texts = b.column(0).field("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), *finish(k, texts, [k.encode(t, max(giant + 1, chunk)) for t in texts])], made)
+            yield pa.RecordBatch.from_arrays([b.column(0), *finish(k, texts, [k.encode(t, chunk) for t in texts])], made)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = codec(model)

@@ -60,3 +60,28 @@ def test_report(docs, no_docs, corpus):
 def test_decode_frame(docs):
     rows = sc.decode_documents(sc.encode_documents(docs)).collect()
     assert all(r._decoded == (r.text or "") for r in rows)
+
+
+def test_tree_of_many_chunks(codec):
+    """Odd numbers of chunks, a fixed last state, and texts without a start of a word for many chunks."""
+    rng = random.Random(3)
+    for n in (1, 2, 3, 7, 33):
+        text = ("".join(rng.choice("abinge") for _ in range(30 * n)) + " and " + "the rain " * n)[: 40 * n]
+        assert codec.encode(text, 40).tolist() == codec.sp.encode(text)
+        parts = list(sc.chunked(codec.escaped(text), 40, codec.longest + 1))
+        m = [codec.transfer(t, a, b, c == 0, c == k - 1) for c, k, t, a, b in parts]
+        at = sc.path_states(m)
+        assert sc.path_states(m, 0, at[-1][1]) == at and all(x[1] == y[0] for x, y in zip(at, at[1:]))
+        assert np.array_equal(sc.product(m), __import__("functools").reduce(sc.compose, m))
+
+
+def test_no_path_is_an_error():
+    with pytest.raises(ValueError):
+        sc.path_states([np.full((1, 2), -np.inf, np.float32), np.zeros((2, 1), np.float32)])
+
+
+def test_a_text_of_megabytes(spark, codec):
+    text = "the quick brown fox naïve 日本語 " * 60_000 + "x" * 40_000 + " end"
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id int, text string")
+    rows = {r.doc_id: r for r in sc.encode_documents(df, check=True).collect()}
+    assert rows[1]._ids == codec.sp.encode(text) and rows[1]._same and rows[2]._ids == codec.sp.encode("short")
