@@ -4,10 +4,12 @@ A window is ``width`` consecutive words of one document.  Its minimiser is the l
 grams; consecutive windows that share it form one super-k-mer.  Three passes, none of which broadcasts anything:
 
 1. places: where each minimiser occurs, one row per minimiser and block of documents.  A minimiser that occurs once in
-   the corpus needs no text to travel: its windows occur once.
+   the corpus needs no text to travel: its windows occur once.  ``many`` or more places in one block are a part of
+   their own: only a row without places goes where the minimiser is counted, and makes it hot there.
 2. strings: the other super-k-mers leave their documents as one packed string each, for the bucket of their minimiser.
-   Copies within a block are settled before the shuffle.  The windows of a minimiser with ``hot`` or more occurrences
-   are dealt singly by the hash of the whole window, so that a passage in a third of all documents fills no bucket.
+   Copies within a block are settled before the shuffle.  The windows of a hot minimiser (``hot`` or more occurrences,
+   or ``many`` in some block) are dealt singly by the hash of the whole window, so that a passage in a third of all
+   documents fills no bucket.
 3. buckets: sorting the windows of a bucket by their words, then by document and start, puts each sequence's first
    occurrence first; the others are reported as ranges to their documents.
 
@@ -70,7 +72,9 @@ def super_kmers(words: list[bytes], width: int, gram: int, hashes: dict) -> tupl
     return mm, at.astype(np.int32), size.astype(np.int32)
 
 
-def _places(width: int, gram: int):
+def _places(width: int, gram: int, many: int):
+    """Rows (mm, part, occ): part is 0 but for rows of ``many`` or more places; these have a row (mm, 0, none) beside."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for b in batches:
@@ -89,7 +93,16 @@ def _places(width: int, gram: int):
             by = np.argsort(mm, kind="stable")
             cut = np.concatenate(([0], np.flatnonzero(mm[by][1:] != mm[by][:-1]) + 1, [len(mm)])).astype(np.int32)
             place = pa.StructArray.from_arrays([ids.take(pa.array(doc[by])), pa.array(start[by]), pa.array(size[by])], ["d", "s", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(mm[by][cut[:-1]].view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), place)], ["mm", "occ"])
+            keys = mm[by][cut[:-1]].view(np.int64)
+            part = np.zeros(len(keys), np.int64)
+            big = np.flatnonzero(np.diff(cut) >= many)
+            for i in big:  # named by its first place, so that a repeated task names it alike
+                first = place[int(cut[i])].as_py()
+                part[i] = (xxhash.xxh64_intdigest(f"{first['d']}:{first['s']}:{keys[i]}") >> 1) | 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), pa.ListArray.from_arrays(pa.array(cut), place)], ["mm", "part", "occ"])
+            if len(big):
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(big) + 1, np.int32)), place[:0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(np.zeros(len(big), np.int64)), none], ["mm", "part", "occ"])
 
     return run
 
@@ -195,12 +208,13 @@ def _buckets(width: int):
     return run
 
 
-def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 4, hot: int = 512) -> DataFrame:
+def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 4, hot: int = 512, many: int = 64) -> DataFrame:
     """(d, r): per document with repeated windows, the array of (s, n) runs of windows that occur earlier."""
     ids = docs.schema["doc_id"].dataType.simpleString()
     d = docs.where("doc_id is not null").select("doc_id", "text")
-    places = d.mapInArrow(_places(width, gram), f"mm bigint, occ array<struct<d:{ids},s:int,n:int>>")
-    places = places.withColumn("total", F.sum(F.size("occ")).over(Window.partitionBy("mm"))).where("total > 1")
+    places = d.mapInArrow(_places(width, gram, many), f"mm bigint, part bigint, occ array<struct<d:{ids},s:int,n:int>>")
+    n = F.when((F.col("part") == 0) & (F.size("occ") > 0), F.size("occ")).otherwise(F.lit(max(2, hot)))
+    places = places.withColumn("total", F.sum(n).over(Window.partitionBy("mm", "part"))).where("total > 1")
     by_doc = places.select("mm", "total", F.explode("occ").alias("o")).where("o.n > 0").groupBy(F.col("o.d").alias("_d")).agg(F.collect_list(F.struct("mm", "total", "o.s", "o.n")).alias("occ"))
     strings = d.join(by_doc, d["doc_id"] == by_doc["_d"]).select("doc_id", "text", "occ").mapInArrow(_strings(width, hot), f"key bigint, d {ids}, s int, n int, packed binary")
     found = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(width), f"d {ids}, s int, n int")
@@ -216,7 +230,7 @@ def keep_words(words: list[bytes], runs: list[tuple[int, int]], width: int) -> l
     return out + words[at:]
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 4, hot: int = 512) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 4, hot: int = 512, many: int = 64) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
 
     doc_id is the key: rows that repeat it with one text are one document, none the copy of the other; with different
@@ -224,7 +238,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 4, hot: int =
     others.  A null or empty text has no words.  Extra columns are not read.
     """
     d = docs.where("doc_id is not null").select("doc_id", "text")
-    r = removed_ranges(docs, width, gram, hot)
+    r = removed_ranges(docs, width, gram, hot, many)
     kinds = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

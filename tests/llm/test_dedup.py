@@ -132,9 +132,9 @@ def plain_substring(corpus, width):
     return out
 
 
-@pytest.mark.parametrize("width,gram,hot", [(20, 4, 512), (20, 4, 2), (7, 3, 3), (5, 1, 512)])
-def test_substring(docs, corpus, width, gram, hot):
-    rows = substring_dedup.substring_dedup(docs, width, gram, hot).collect()
+@pytest.mark.parametrize("width,gram,hot,many", [(20, 4, 512, 64), (20, 4, 2, 64), (7, 3, 3, 64), (5, 1, 512, 64), (20, 4, 512, 1), (20, 4, 512, 2), (20, 4, 512, 5), (7, 3, 9, 3)])
+def test_substring(docs, corpus, width, gram, hot, many):
+    rows = substring_dedup.substring_dedup(docs, width, gram, hot, many).collect()
     assert len(rows) == len(corpus)
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows} == plain_substring(corpus, width)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in rows)
