@@ -6,14 +6,18 @@ of every source, every language and every topic; a document's probability follow
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, cut, whole_rows
 
 DIMS = ("_src", "_lng", "_top")
-#: Rounds of raking.
-ROUNDS = 5
+#: Raking ends when no sum is off its target by more than this part of the target, or after ROUNDS rounds.
+TOLERANCE, ROUNDS = 1e-13, 60
+#: Rounds of the SQL, which cannot stop by itself.
+SQL_ROUNDS = 24
 #: Target share of a value: its token share to this power, normalised.
 TEMPER = 0.7
 #: Tokens to keep, as a share of all.
@@ -43,6 +47,9 @@ def _with_cells(docs: DataFrame) -> DataFrame:
 def raked_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
     """(_src, _lng, _top, tok, w): tokens and raked share of each cell; the shares add up to one.
 
+    A round that finds every sum within TOLERANCE of its target is the last; after ``rounds`` rounds a warning tells the
+    residual (targets that no weights of the cells at hand can meet together).  A target above zero for a value without
+    tokens cannot be met by any weights and does not count.
     targets: for source, lang, topic a DataFrame (value, share), shares adding up to one over the values that occur;
     by default each value's token share to the power ``temper``, normalised.
     """
@@ -60,11 +67,21 @@ def raked_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ro
             t = targets[name].select(F.col("value").alias(d), F.col("share").cast("double").alias("_t" + d))
         r = r.join(t, d, "left").fillna(0.0, ["_t" + d])
     r = cut(r)
+    residual = 0.0
     for _ in range(rounds):
+        r = r.withColumn("_off", F.lit(0.0))
         for d in DIMS:
             m = r.groupBy(d).agg(F.sum("w").alias("_m"))
+            target = F.col("_t" + d)
+            off = F.when((F.col("_m") > 0) & (target > 0), F.abs(F.col("_m") / target - 1)).otherwise(F.col("_m"))
             # r stands in both sides of the join: without the cut the plan would double with every step
-            r = cut(r.join(m, d).withColumn("w", F.when(F.col("_m") > 0, F.col("w") * F.col("_t" + d) / F.col("_m")).otherwise(F.lit(0.0))).drop("_m"))
+            r = cut(r.join(m, d).withColumns({"w": F.when(F.col("_m") > 0, F.col("w") * target / F.col("_m")).otherwise(F.lit(0.0)), "_off": F.greatest("_off", off)}).drop("_m"))
+        residual = r.agg(F.coalesce(F.max("_off"), F.lit(0.0))).first()[0]
+        r = r.drop("_off")
+        if residual <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"raking stopped after {rounds} rounds with a sum off its target by {residual:.1e} of it", stacklevel=2)
     return r.select(*DIMS, "tok", "w")
 
 
@@ -105,7 +122,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     return calibrated(rows).where(F.col("_u") < F.col("_prob")).select(f"{ROW}.*")
 
 
-def oracle_ctes(docs: str = "documents", prefix: str = "mx", rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, salt: str = SALT) -> str:
+def oracle_ctes(docs: str = "documents", prefix: str = "mx", rounds: int = SQL_ROUNDS, temper: float = TEMPER, share: float = SHARE, salt: str = SALT) -> str:
     """DuckDB CTEs ending in {prefix}_out (doc_id, source, lang, topic, n_tokens, prob, weight, sampled)."""
     p = prefix
     parts = [
