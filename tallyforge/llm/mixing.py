@@ -85,15 +85,35 @@ def raked_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ro
     return r.select(*DIMS, "tok", "w")
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, rounds: int = ROUNDS, temper: float = TEMPER, salt: str = SALT) -> DataFrame:
+def lift(cells: DataFrame, want: float) -> float:
+    """The factor on all raked parts with which cells kept whole and the others together give ``want`` tokens.
+
+    cells: tok, part (raked tokens).  A cell whose part times the factor reaches its tokens is kept whole; each round
+    finds the factor for the cells whole so far, which may make more cells whole, and the last one finds no more.
+    """
+    k = 1.0
+    while True:
+        whole = F.col("part") * k >= F.col("tok")
+        kept, free = cells.where("part > 0").agg(F.coalesce(F.sum(F.when(whole, F.col("tok"))), F.lit(0)), F.coalesce(F.sum(F.when(~whole, F.col("part"))), F.lit(0.0))).first()
+        now = (want - float(kept)) / free if free > 0 else k
+        if now <= k * (1 + 1e-12):
+            return k
+        k = now
+
+
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, rounds: int = ROUNDS, temper: float = TEMPER, salt: str = SALT, fill: bool = False) -> DataFrame:
     """docs with _src, _lng, _top, _tok, _prob, _weight and _u.
 
     _prob is the probability that brings a cell to its raked part of ``share`` of all tokens, at most 1; _weight is
-    what a kept document counts to make up for that bound (1 where it does not bind).
+    what a kept document counts to make up for that bound (1 where it does not bind).  With ``fill`` the other cells
+    make up for it in proportion to their parts, so that the tokens expected to be kept are ``share`` of all.
     """
     cells = cut(raked_cells(docs, targets, rounds, temper))
     wide = F.sum(F.octet_length("_src") + F.octet_length("_lng") + F.octet_length("_top") + 64)
     total, size = cells.agg(F.coalesce(F.sum("tok"), F.lit(0)), F.coalesce(wide, F.lit(0))).first()
+    want = float(share) * float(total)
+    if fill:
+        cells = cells.withColumn("w", F.col("w") * lift(cells.select("tok", (F.col("w") * want).alias("part")), want))
     rate = F.when(F.col("tok") > 0, F.lit(float(share)) * F.lit(float(total)) * F.col("w") / F.col("tok")).otherwise(F.lit(float(share)))
     cells = cells.select(*DIMS, F.round(F.least(F.lit(1.0), rate), 9).alias("_prob"), F.round(F.greatest(F.lit(1.0), rate), 6).alias("_weight"))
     if size <= BROADCAST:  # texts stay where they are read; a shuffle by cell would put a hot cell in one task
@@ -116,10 +136,11 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     """The sampled documents, all columns kept whatever their names.
 
     The draw depends on the id and the cell's probability: repeated rows stay or go together, rows without an id share
-    one draw.  Null sources and languages are the value ''; empty and null texts are drawn at the overall share.
+    one draw.  Null sources and languages are the value ''; empty and null texts are drawn at the overall share.  What
+    cells that are kept whole leave of their targets goes to the others.
     """
     rows = whole_rows(docs, *map(F.col, ("doc_id", "text", "source", "lang")))
-    return calibrated(rows).where(F.col("_u") < F.col("_prob")).select(f"{ROW}.*")
+    return calibrated(rows, fill=True).where(F.col("_u") < F.col("_prob")).select(f"{ROW}.*")
 
 
 def oracle_ctes(docs: str = "documents", prefix: str = "mx", rounds: int = SQL_ROUNDS, temper: float = TEMPER, share: float = SHARE, salt: str = SALT) -> str:

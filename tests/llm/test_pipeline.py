@@ -85,7 +85,14 @@ def plain_mix(rows):
             for c, x in w.items():
                 m[c[d]] += x
             w = {c: x * goal[d][c[d]] / m[c[d]] if m[c[d]] > 0 else 0.0 for c, x in w.items()}
-    rate = {c: min(1.0, mixing.SHARE * total * w[c] / n if n else mixing.SHARE) for c, n in tok.items()}
+    part = {c: mixing.SHARE * total * w[c] for c in tok if tok[c]}
+    # fill: cells in the order in which a growing factor makes them whole
+    left, free, factor = mixing.SHARE * total, sum(part.values()), 1.0
+    for c in sorted((c for c in part if part[c] > 0), key=lambda c: tok[c] / part[c]):
+        if tok[c] / part[c] > (factor := max(1.0, left / free)):
+            break
+        left, free = left - tok[c], free - part[c]
+    rate = {c: min(1.0, factor * part[c] / n) if n else mixing.SHARE for c, n in tok.items()}
     draw = lambda i: int(hashlib.md5(f"{'' if i is None else i}:{mixing.SALT}".encode()).hexdigest()[:8], 16) / 2**32
     return [r for r in rows if draw(r["doc_id"]) < round(rate[cell(r)], 9)]
 
@@ -167,3 +174,11 @@ def test_empty(spark, odd):
 def test_mix_rates_are_probabilities(spark, odd):
     rates = [r.prob for r in mixing.mix_sources(odd).collect()]
     assert all(0 <= p <= 1 and not math.isnan(p) for p in rates) and np.ptp(rates) > 0
+
+
+def test_mix_stage_keeps_its_share(spark):
+    """What small cells cannot give, the others do."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "big" if i % 40 else f"s{i % 160}", "en") for i in range(20_000)], "doc_id bigint, text string, source string, lang string")
+    c = mixing.calibrated(docs, fill=True).selectExpr("sum(_tok * _prob) / sum(_tok) as kept", "max(_prob) as top", "max_by(_weight, _prob) as weight").first()
+    assert c.kept == pytest.approx(mixing.SHARE, abs=1e-8) and c.top == 1 and c.weight > 1
+    assert mixing.calibrated(docs).selectExpr("sum(_tok * _prob) / sum(_tok) as kept").first().kept < mixing.SHARE - 0.01
