@@ -109,11 +109,51 @@ def top_changes(pairs: DataFrame, n: int = 10) -> DataFrame:
     return up.unionByName(down).select("kind", "id", F.col("d").cast("double").alias("change"))
 
 
+def order_statistics(df: DataFrame, by: str, value: str, quantiles: dict[str, float], slices: int | None = None) -> DataFrame:
+    """Per group ``by`` (null is a group): exact interpolated (R-7) quantiles of ``value``, no task holding a group.
+
+    Equal values are counted first, so a value that many rows share is one row; the counted values are range-partitioned
+    and written once, then numbered as in ``running``: each partition adds the counts of its group's earlier partitions.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    parts = cut(counted.repartitionByRange(slices, "_g", "_x").withColumn("_p", F.spark_partition_id()))
+    up = Window.unboundedPreceding
+    sums = parts.groupBy("_p", "_g").agg(F.sum("_c").alias("_n"))
+    group = Window.partitionBy("_g")  # one row a partition that the group reaches
+    sums = sums.select(F.col("_p").alias("_q"), F.col("_g").alias("_h"), F.coalesce(F.sum("_n").over(group.orderBy("_p").rowsBetween(up, -1)), F.lit(0)).alias("_n0"), F.sum("_n").over(group).alias("_all"))
+    r = parts.withColumn("_s", F.sum("_c").over(Window.partitionBy("_p", "_g").orderBy("_x").rowsBetween(up, 0)))
+    r = r.join(sums, (F.col("_p") == F.col("_q")) & F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_to", F.col("_s") + F.col("_n0"))
+    at = lambda k: F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col("_x")))
+    place = {name: (F.col("_all") - 1) * F.lit(float(q)) for name, q in quantiles.items()}
+    ends = r.groupBy("_g", "_all").agg(*[f(at(e(h))) for name, h in place.items() for f, e in ((lambda c, n=name: c.alias(f"_lo_{n}"), F.floor), (lambda c, n=name: c.alias(f"_hi_{n}"), F.ceil))])
+    between = lambda n, h: (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (h - F.floor(h))).alias(n)
+    return ends.select(F.col("_g").alias(by), *[between(n, h) for n, h in place.items()])
+
+
+#: Groups whose statistics are broadcast; more are joined by shuffle.
+FEW_GROUPS = 100_000
+
+
+def _beside(stats: DataFrame, more: DataFrame, by: str) -> DataFrame:
+    """Two tables of one row a group side by side."""
+    return stats.join(more.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def with_statistics(rows: DataFrame, stats: DataFrame, by: str) -> DataFrame:
+    """rows with the statistics of their group, which are written already; rows stay where they are while groups are few."""
+    stats = stats.withColumnRenamed(by, "_by")
+    if stats.count() <= FEW_GROUPS:
+        stats = F.broadcast(stats)
+    return rows.join(stats, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
 def distribution(items: DataFrame, rate: str, by: str) -> DataFrame:
     """AG10: spread of the positive rates of each group; percentiles are interpolated (R-7)."""
-    x = items.where(F.col(rate) > 0).withColumn("x", F.col(rate).cast("double"))
-    pct = lambda q: F.round(F.percentile("x", F.lit(q)), 6).alias(f"p{int(q * 100)}")
-    return x.groupBy(by).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.median("x"), 6).alias("median"), F.round(F.avg(F.col(rate)).cast("double"), 4).alias("mean"), *map(pct, (0.1, 0.25, 0.75, 0.9)), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 4).alias("sd"))
+    x = items.where(F.col(rate) > 0).select(by, rate, F.col(rate).cast("double").alias("x"))
+    q = order_statistics(x, by, "x", {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    g = x.groupBy(by).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.avg(F.col(rate)).cast("double"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 4).alias("sd"))
+    return _beside(g, q, by).select(by, "n", "low", "high", F.round("median", 6).alias("median"), "mean", *[F.round(p, 6).alias(p) for p in ("p10", "p25", "p75", "p90")], "sd")
 
 
 def fx_sensitivity(pairs: DataFrame) -> DataFrame:
@@ -127,13 +167,15 @@ def fx_sensitivity(pairs: DataFrame) -> DataFrame:
 def rate_audit(items: DataFrame, by: Column | None = None) -> DataFrame:
     """AG18-AG20: modified z score, decimal shift and amount mismatch of priced items, within groups of at least four.
 
-    items: id, unit_rate, quantity, total_amount.  Group statistics come from partial aggregates and are joined back.
+    items: id, unit_rate, quantity, total_amount.  Medians are selected by rank; group statistics are broadcast while
+    the groups are few.
     """
-    p = items.where("unit_rate > 0").select("id", F.col("unit_rate").cast("double").alias("r"), "unit_rate", "quantity", "total_amount", (F.lit("all") if by is None else by).alias("grp"))
-    s = p.groupBy("grp").agg(F.count("*").alias("n"), F.median("r").alias("med"), F.avg("r").alias("mean"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sd"))
-    j = p.join(s, "grp")
-    mad = j.groupBy("grp").agg(F.median(F.abs(F.col("r") - F.col("med"))).alias("mad"))
-    j = j.join(mad, "grp").withColumn("enough", F.col("n") >= 4)
+    p = cut(items.where("unit_rate > 0").select("id", F.col("unit_rate").cast("double").alias("r"), "unit_rate", "quantity", "total_amount", (F.lit("all") if by is None else by).alias("grp")))
+    s = p.groupBy("grp").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sd"))
+    s = cut(_beside(s, order_statistics(p, "grp", "r", {"med": 0.5}), "grp"))
+    off_median = with_statistics(p.select("grp", "r"), s.select("grp", "med"), "grp").select("grp", F.abs(F.col("r") - F.col("med")).alias("d"))
+    s = cut(_beside(s, order_statistics(off_median, "grp", "d", {"mad": 0.5}), "grp"))
+    j = with_statistics(p, s, "grp").withColumn("enough", F.col("n") >= 4)
     z = F.when(F.col("mad") > 0.0001, 0.6745 * (F.col("r") - F.col("med")) / F.col("mad")).when(F.col("sd") > 0.0001, (F.col("r") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     ratio = F.col("r") / F.col("med")
     bands = [(9.5, 10.5), (95.0, 105.0), (950.0, 1050.0), (0.095, 0.105), (0.0095, 0.0105)]  # fixed values

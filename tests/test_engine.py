@@ -67,6 +67,19 @@ def test_outliers(spark):
     assert A.rate_audit(i.limit(3)).count() == 0
 
 
+def test_order_statistics(spark):
+    """Quantiles by rank against sorted lists: hot values, a null group, groups over many partitions and of one row."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), 7.0 if rng.random() < 0.3 else rng.randrange(400) / 4) for _ in range(5000)] + [("one", 3.5), ("none", None)]
+    got = A.order_statistics(spark.createDataFrame(rows, "g string, v double").repartition(6), "g", "v", {"low": 0.1, "mid": 0.5, "top": 1.0}, slices=9).collect()
+    want = {}
+    for g in ("a", "b", None, "one"):
+        v = sorted(x for k, x in rows if k == g)
+        cuts = [(len(v) - 1) * q for q in (0.1, 0.5, 1.0)]
+        want[g] = tuple(v[int(h)] + (v[min(int(h) + 1, len(v) - 1)] - v[int(h)]) * (h % 1) for h in cuts)
+    assert {r.g: (r.low, r.mid, r.top) for r in got} == {g: pytest.approx(w) for g, w in want.items()}
+
+
 def test_assignment_example():
     assert [(t, s) for t, s, _ in M.augmented([(0, 0, 0.90), (0, 1, 0.85), (1, 0, 0.95)])] == [(0, 1), (1, 0)]
 
