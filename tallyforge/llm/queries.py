@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import filter_audit, hard_negatives, license_scan, mixing, secrets
 from .common import table
 from .embed_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
@@ -60,9 +60,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_embedding_dedup, op3_quality, op4_sentencepiece, op5_substring_dedup, op6_exact_dedup, op7_toxicity, op8_secret_scan, op9_language_id, op10_simhash_dedup)
+    for f in (
+        op1_mix_sources, op2_embedding_dedup, op3_quality, op4_sentencepiece, op5_substring_dedup, op6_exact_dedup, op7_toxicity,
+        op8_secret_scan, op9_language_id, op10_simhash_dedup, op11_filter_audit, op12_hard_negatives, op13_license_scan,
+    )
 }
 
 #: All pairs by cosine and the closure of their links.
@@ -97,4 +112,7 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": _OP5,
     "op6_exact_dedup": _OP6,
     "op8_secret_scan": secrets.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
+    "op13_license_scan": license_scan.oracle(),
 }
