@@ -148,12 +148,12 @@ def oracle(templates: list[tuple[str, str]] = TEMPLATES, share: float = CONTAINM
     stride = max(len(_plain(t)) for _, t in templates)
     listed = ", ".join(f"('{lab}', [{', '.join(repr(w) for w in toks)}], {need})" for lab, toks, need in sets)
     every = " UNION ALL ".join(
-        f"SELECT doc_id, i AS at, '{lab}' AS label FROM (SELECT doc_id, w, unnest(range(len(w)::BIGINT)) AS i FROM d WHERE contains(t, '{p.split()[-1]}')) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) for p, lab in PHRASES.items()
+        f"SELECT doc_id, i AS p0, '{lab}' AS label FROM (SELECT doc_id, w, unnest(range(len(w)::BIGINT)) AS i FROM d WHERE contains(t, '{p.split()[-1]}')) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) for p, lab in PHRASES.items()
     )
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, t, list_filter(string_split_regex(t, '{GAP}'), lambda x: x <> '') AS w FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)),
 base AS ({every}),
-b AS (SELECT doc_id, count(*) AS n, min(at) AS lo, max(at) AS hi FROM base GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n, min(p0) AS lo, max(p0) AS hi FROM base GROUP BY doc_id),
 tpl(label, toks, need) AS (VALUES {listed}),
 blk AS MATERIALIZED (SELECT doc_id, list_distinct(w[i * {stride} + 1 : i * {stride} + {2 * stride}]) AS toks FROM (SELECT doc_id, w, unnest(range(greatest(1, ceil(len(w) / {stride}.0)::BIGINT - 1))) AS i FROM d)),
 hit AS (SELECT doc_id, label, len(list_intersect(blk.toks, tpl.toks)) / len(tpl.toks) AS score FROM blk, tpl WHERE len(list_intersect(blk.toks, tpl.toks)) >= need),
