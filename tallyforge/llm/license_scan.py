@@ -81,14 +81,14 @@ def similar_blocks(blocks: DataFrame, sets: list[tuple[str, list[str], int]], or
     blocks: tokens (array, distinct).  order: the templates' tokens, the rarest first; other tokens cannot be shared and
     take no part.  Exact: every pair above the threshold is found once.
     """
-    spark = blocks.sparkSession
     rank = {w: i for i, w in enumerate(order)}
     rows = []
-    for k, (label, toks, need) in enumerate(sets):
+    for label, toks, need in sets:
         mine = sorted(rank[w] for w in toks)
         # without need - 1 of its tokens a template cannot reach ``need``, so one of the first ones must be shared
-        rows += [(k, label, mine, need, r, i) for i, r in enumerate(mine[: len(mine) - need + 1])]
-    prefix = F.broadcast(spark.createDataFrame(rows, "k int, label string, t array<int>, need int, tok int, i int"))  # templates x their tokens at most
+        whole = F.array(*map(F.lit, mine))
+        rows += [F.struct(F.lit(label).alias("label"), whole.alias("t"), F.lit(need).alias("need"), F.lit(r).alias("tok"), F.lit(i).alias("i")) for i, r in enumerate(mine[: len(mine) - need + 1])]
+    prefix = F.broadcast(blocks.sparkSession.range(1).select(F.inline(F.array(*rows))))  # templates x their tokens at most
     numbers = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
     ranks = F.array_sort(F.array_compact(F.transform("tokens", lambda w: F.element_at(numbers, w))))
     least = min(need for _, _, need in sets)
