@@ -1,19 +1,20 @@
 """Entity matching of target items with priced source items.
 
-Candidates come from equi-joins (exact columns, tokens, bill keys), scores are column expressions, and the one-to-one
-assignment is repeated mutual-best selection, which equals greedy choice by descending weight for a strict order.
+Candidates come from equi-joins (exact columns, tokens, bill keys) and scores are column expressions; ``candidates`` holds
+the search by shared terms, ``assignment`` the one-to-one choices.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from . import assignment
+from .candidates import first_k, top_terms
 from .checkpoints import cut
 
 # Weights (code, description, unit, quantity, price) by profile of the targets.
@@ -36,46 +37,37 @@ def signature_join(targets: DataFrame, sources: DataFrame, keys: list[str], orde
 def token_candidates(targets: DataFrame, sources: DataFrame, k: int = TOP) -> DataFrame:
     """JN2, WN7: top k sources per target by shared tokens weighted by rarity, equal code and equal dimension.
 
-    targets: t, tokens, code, dim.  sources: s, tokens, code, dim.  Ties go to the smaller source.  A source with neither
-    a shared token nor the code does not count; a target without any takes the first k sources of its dimension, and of at
-    most k sources all are candidates.  Items that agree in tokens, code and dimension are one class on either side, and
-    only classes meet: a class of sources needs no more than its first k.
+    targets: t, tokens, code, dim.  sources: s, tokens, code, dim.  With a column scope on both sides every scope is a
+    search of its own, with its own rarity.  Ties go to the smaller source.  A source with neither a shared token nor the
+    code does not count; a target without any takes the first k sources of its dimension, and of at most k sources all
+    are candidates.  Returns (scope, if there is one,) t, s, hits, rank.
     """
-    n = sources.count()
-    if n <= k:  # k rows at most
-        return targets.select("t").join(F.broadcast(sources.select("s").withColumn("rank", F.row_number().over(Window.orderBy("s")))), F.lit(True)).select("t", "s", F.lit(0).cast("long").alias("hits"), "rank")
-    kind = ["tokens", "code", "dim"]
-    tc = targets.groupBy(*kind).agg(F.min("t").alias("tc"))
-    sc = sources.groupBy(*kind).agg(F.min("s").alias("sc"), F.count("*").alias("members"))
-    post = sc.select("sc", "members", F.explode("tokens").alias("tok"))
-    df = post.groupBy("tok").agg(F.sum("members").alias("df"))
-    w = F.when((F.lit(n) > 20) & (F.col("df") > int(n * COMMON_SHARE)), W_COMMON).when(F.col("df") <= RARE, W_RARE).otherwise(W_TOKEN)
-    shared = tc.select("tc", F.explode("tokens").alias("tok")).join(df.select("tok", w.cast("long").alias("w")), "tok").join(post.select("sc", "tok"), "tok").select("tc", "sc", "w")
-    coded = tc.where("code <> ''").select("tc", "code").join(sc.where("code <> ''").select("sc", "code"), "code").select("tc", "sc", F.lit(W_CODE).cast("long").alias("w"))
-    hits = shared.unionByName(coded).groupBy("tc", "sc").agg(F.sum("w").alias("w"))
-    hits = hits.join(tc.select("tc", F.col("dim").alias("td")), "tc").join(sc.select("sc", F.col("dim").alias("sd"), "members"), "sc")
-    hits = hits.select("tc", "sc", "members", (F.col("w") + F.when((F.col("td") != "Unknown") & (F.col("td") == F.col("sd")), W_DIMENSION).otherwise(0)).alias("hits"))
-    # classes in order until k members are reached: equal scores stay together, as their members mix by source
-    hits = hits.withColumn("_n", F.coalesce(F.sum("members").over(Window.partitionBy("tc").orderBy(-F.col("hits")).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_n") < k)
-    first = first_k(sources.withColumn("sc", F.min("s").over(Window.partitionBy(*kind))).select("sc", "s"), ["sc"], ["s"], k)
-    best = first_k(hits.join(first, "sc").select("tc", "s", "hits"), ["tc"], [F.desc("hits"), "s"], k)
-    members = targets.withColumn("tc", F.min("t").over(Window.partitionBy(*kind))).select("tc", "t", "dim")
-    found = members.join(best, "tc").select("t", "s", "hits", "rank")
-    free = members.where("dim <> 'Unknown'").join(best.select("tc").distinct(), "tc", "left_anti")
-    pool = first_k(sources.select("dim", "s"), ["dim"], ["s"], k)
-    return found.unionByName(free.join(pool, "dim").select("t", "s", F.lit(0).cast("long").alias("hits"), "rank"))
-
-
-def first_k(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    """The first k rows of each key and their ``rank``; Spark keeps no more than k of a key before the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    scoped = "scope" in targets.columns
+    put = lambda df: df.withColumnRenamed("dim", "kind") if scoped else df.withColumnRenamed("dim", "kind").withColumn("scope", F.lit(""))
+    tgt, src = put(targets), put(sources)
+    few = src.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") <= k).select("scope")
+    of_few = src.join(few, "scope").select("scope", "s", F.row_number().over(Window.partitionBy("scope").orderBy("s")).alias("rank"))
+    every = tgt.select("scope", "t").join(of_few, "scope").select("scope", "t", "s", F.lit(0).cast("long").alias("hits"), "rank")
+    many_t, many_s = tgt.join(few, "scope", "left_anti"), src.join(few, "scope", "left_anti")
+    weigh = lambda df, n: F.when((n > 20) & (df > F.floor(n * COMMON_SHARE)), W_COMMON).when(df <= RARE, W_RARE).otherwise(W_TOKEN)
+    bonus = lambda a, b: F.when((a != "Unknown") & (a == b), W_DIMENSION).otherwise(0)
+    found = cut(top_terms(many_t, many_s, k, weigh, [W_COMMON, W_TOKEN, W_RARE], W_CODE, bonus, W_DIMENSION, lambda hits, a, b: F.lit(True)))
+    free = many_t.where("kind <> 'Unknown'").join(found.select("scope", "t").distinct(), ["scope", "t"], "left_anti")
+    pool = first_k(many_s.select("scope", "kind", "s"), ["scope", "kind"], ["s"], k)
+    rest = free.join(pool, ["scope", "kind"]).select("scope", "t", "s", F.lit(0).cast("long").alias("hits"), "rank")
+    out = found.unionByName(rest).unionByName(every)
+    return out if scoped else out.drop("scope")
 
 
 def overlap_candidates(targets: DataFrame, sources: DataFrame, k: int = 60) -> DataFrame:
-    """JN3: by plain overlap; unlike units need at least two shared tokens."""
-    hits = targets.select("t", F.col("unit").alias("tu"), F.explode("tokens").alias("tok")).join(sources.select("s", F.col("unit").alias("su"), F.explode("tokens").alias("tok")), "tok").groupBy("t", "s", "tu", "su").agg(F.count("*").alias("hits"))
-    hits = hits.where(R.units_compatible(F.col("tu"), F.col("su")) | (F.col("hits") >= 2))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("hits"), "s"))).where(F.col("rank") <= k).select("t", "s", "hits", "rank")
+    """JN3: the first k sources by the number of shared tokens; unlike units need at least two.
+
+    targets: t, tokens, unit.  sources: s, tokens, unit.  A column scope and the result are as with token_candidates.
+    """
+    scoped = "scope" in targets.columns
+    put = lambda df: df.select(*[c for c in df.columns if c in ("scope", "t", "s", "tokens")], F.col("unit").alias("kind"))
+    out = top_terms(put(targets), put(sources), k, lambda df, n: F.lit(1), [1], 0, lambda a, b: F.lit(0), 0, lambda hits, a, b: R.units_compatible(a, b) | (hits >= 2))
+    return out if scoped else out.drop("scope")
 
 
 def adaptive_score(has_codes: Column, distinct_qty: Column) -> Column:
@@ -185,74 +177,23 @@ def mutual_best(edges: DataFrame) -> DataFrame:
 
 
 def assign_greedy(edges: DataFrame) -> DataFrame:
-    """JN8 without augmentation: greedy one-to-one choice by (weight desc, t, s), distributed.
-
-    Each round keeps the edges that are best at both ends and drops what touches them; there is one while edges are left.
-    The order must be one total order of edges, so both windows use (weight desc, t, s).
-    """
-    rank_t = Window.partitionBy("t").orderBy(F.desc("weight"), "t", "s")
-    rank_s = Window.partitionBy("s").orderBy(F.desc("weight"), "t", "s")
-    left, chosen = cut(edges.select("t", "s", "weight")), None
-    while not left.isEmpty():
-        won = cut(left.withColumns({"_a": F.row_number().over(rank_t), "_b": F.row_number().over(rank_s)}).where("_a = 1 and _b = 1").drop("_a", "_b"))
-        chosen = won if chosen is None else chosen.unionByName(won)
-        left = cut(left.join(won.select("t"), "t", "left_anti").join(won.select("s"), "s", "left_anti"))
-    return left if chosen is None else chosen
-
-
-def augmented(edges: list[tuple], gain: float = 0.05) -> list[tuple]:
-    """JN8 of one scope: greedy, then a free target may take a held source whose holder has a free alternative.
-
-    Both passes go edge by edge, the heaviest first (ties by target, then source).
-    """
-    order = sorted(edges, key=lambda e: (-e[2], e[0], e[1]))
-    options: dict = {}
-    for t, s, w in order:
-        options.setdefault(t, []).append((s, w))
-    chosen, holder = {}, {}
-    for t, s, w in order:
-        if t not in chosen and s not in holder:
-            chosen[t], holder[s] = (s, w), t
-    for t, s, w in order:
-        if t in chosen:
-            continue
-        h = holder[s]  # a source of a free target's edge is always held
-        spare = next(((s2, w2) for s2, w2 in options[h] if s2 not in holder), None)
-        if spare and w + spare[1] > chosen[h][1] + gain:
-            chosen[h], holder[spare[0]] = spare, h
-            chosen[t], holder[s] = (s, w), t
-    return sorted((t, s, w) for t, (s, w) in chosen.items())
+    """JN8 without augmentation: greedy one-to-one choice of edges (t, s, weight) by (weight desc, t, s)."""
+    return assignment.greedy(edges.withColumn("scope", F.lit(""))).drop("scope")
 
 
 def assign_scoped(edges: DataFrame) -> DataFrame:
     """JN8 with augmentation, per scope: edges (scope, t, s, weight)."""
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = augmented(list(zip(pdf["t"], pdf["s"], pdf["weight"])))
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0], "t": [r[0] for r in rows], "s": [r[1] for r in rows], "weight": [r[2] for r in rows]})
-
-    return edges.groupBy("scope").applyInPandas(one, f"scope {kinds['scope']}, t {kinds['t']}, s {kinds['s']}, weight double")
+    return assignment.augmented(edges)
 
 
 def assign_in_order(edges: DataFrame) -> DataFrame:
-    """JN9: per scope, targets in order take their fittest free source.
+    """JN9, WN5: per scope, targets in order take their fittest free source.
 
     edges: scope, t, s, weight, tpos, spos (relative positions); nearer positions add up to 15.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(fit=pdf["weight"] + (1 - (pdf["tpos"] - pdf["spos"]).abs()) * 15).sort_values(["tpos", "t", "fit", "spos", "s"], ascending=[True, True, False, True, True])
-        taken, out, done = set(), [], set()
-        for t, s, w in zip(pdf["t"], pdf["s"], pdf["fit"]):
-            if t not in done and s not in taken:
-                done.add(t)
-                taken.add(s)
-                out.append((t, s, w))
-        return pd.DataFrame({"scope": pdf["scope"].iloc[0], "t": [r[0] for r in out], "s": [r[1] for r in out], "fit": [r[2] for r in out]})
-
-    return edges.groupBy("scope").applyInPandas(one, f"scope {kinds['scope']}, t {kinds['t']}, s {kinds['s']}, fit double")
+    fit = F.col("weight") + (1 - F.abs(F.col("tpos") - F.col("spos"))) * 15
+    e = edges.select("scope", "t", F.struct("tpos", "t").alias("tpos"), "s", "spos", fit.alias("fit"), F.lit(True).alias("takes"), F.lit(0).alias("hits"), F.lit(False).alias("pooled"))
+    return assignment.in_order(e)[0].select("scope", "t", "s", "fit")
 
 
 def link_sheets(targets: DataFrame, sources: DataFrame) -> DataFrame:

@@ -80,8 +80,13 @@ def test_order_statistics(spark):
     assert {r.g: (r.low, r.mid, r.top) for r in got} == {g: pytest.approx(w) for g, w in want.items()}
 
 
-def test_assignment_example():
-    assert [(t, s) for t, s, _ in M.augmented([(0, 0, 0.90), (0, 1, 0.85), (1, 0, 0.95)])] == [(0, 1), (1, 0)]
+def augmented(spark, edges):
+    got = M.assign_scoped(spark.createDataFrame([("x", *e) for e in edges], "scope string, t int, s int, weight double")).collect()
+    return sorted(tuple(r)[1:] for r in got)
+
+
+def test_assignment_example(spark):
+    assert [(t, s) for t, s, _ in augmented(spark, [(0, 0, 0.90), (0, 1, 0.85), (1, 0, 0.95)])] == [(0, 1), (1, 0)]
 
 
 def plain_greedy(edges):
@@ -137,16 +142,16 @@ def plain_augmented(edges):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_augmented(seed):
+def test_augmented(spark, seed):
     rng = random.Random(seed)
     edges = list({(t, s): (t, s, rng.choice([0.6, 0.7, 0.8, 0.9])) for t in range(30) for s in rng.sample(range(24), 4)}.values())
-    assert M.augmented(edges) == plain_augmented(edges)
+    assert augmented(spark, edges) == plain_augmented(edges)
 
 
-def test_augmentation_goes_by_edges():
+def test_augmentation_goes_by_edges(spark):
     """One spare source, two free targets: the heavier edge is served first, whatever its target."""
     edges = [(0, 0, 0.90), (0, 2, 0.80), (1, 1, 0.95), (1, 2, 0.85), (2, 0, 0.70), (3, 1, 0.75)]
-    assert M.augmented(edges) == [(0, 0, 0.90), (1, 2, 0.85), (3, 1, 0.75)]
+    assert augmented(spark, edges) == [(0, 0, 0.90), (1, 2, 0.85), (3, 1, 0.75)]
 
 
 CELL_ROWS = "workbook string, sheet string, row int, col int, raw string, formula string"
