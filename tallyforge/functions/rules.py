@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank
+from .text import blank, let
 
 # Unit spellings and their canonical form.
 CANON = {
@@ -126,7 +126,7 @@ def unit_score(a: Column, b: Column) -> Column:
 def units_compatible(a: Column, b: Column) -> Column:
     """NR24: no unit goes with any."""
     x, y = F.lower(blank(a)), F.lower(blank(b))
-    p, q = (_lookup(u, GROUPS, F.lit(None).cast("string")) for u in (x, y))
+    p, q = (let(u, lambda v: _lookup(v, GROUPS, F.lit(None).cast("string"))) for u in (x, y))
     return (x == y) | (x == "") | (y == "") | F.coalesce(p == q, F.lit(False))
 
 
@@ -145,12 +145,16 @@ def _has(x: Column, words: list[str]) -> Column:
 def scope(text: Column) -> Column:
     """NR20."""
     raw = F.lower(blank(text))
-    t = reduce(lambda acc, m: F.replace(acc, F.lit(m[0]), F.lit(m[1])), MASK, raw)
-    s_only, i_only, s, i = _has(t, SUPPLY_ONLY), _has(t, INSTALL_ONLY), _has(t, SUPPLY), _has(t, INSTALL)
-    return (
-        F.when(F.trim(raw) == "", "Generic").when(_has(raw, DISMANTLE), "Dismantle").when(s_only & ~i_only, "SupplyOnly").when(i_only & ~s_only, "InstallOnly")
-        .when(_has(t, DUAL) | (s & i), "SupplyAndInstall").when(s, "SupplyOnly").when(i, "InstallOnly").otherwise("Generic")
-    )
+    masked = reduce(lambda acc, m: F.replace(acc, F.lit(m[0]), F.lit(m[1])), MASK, raw)
+
+    def of(t: Column) -> Column:
+        s_only, i_only, s, i = _has(t, SUPPLY_ONLY), _has(t, INSTALL_ONLY), _has(t, SUPPLY), _has(t, INSTALL)
+        return (
+            F.when(F.trim(raw) == "", "Generic").when(_has(raw, DISMANTLE), "Dismantle").when(s_only & ~i_only, "SupplyOnly").when(i_only & ~s_only, "InstallOnly")
+            .when(_has(t, DUAL) | (s & i), "SupplyAndInstall").when(s, "SupplyOnly").when(i, "InstallOnly").otherwise("Generic")
+        )
+
+    return let(masked, of)
 
 
 def scope_multiplier(a: Column, b: Column) -> Column:

@@ -49,6 +49,11 @@ def normalise_description(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\p{L}\p{Nd}\s]", ""), r"\s+", " "))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, where f uses x several times: x is worked out once a row, and the expression stays small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def clean_normalise(x: Column) -> Column:
     """NR5: runs of anything but letters and digits become one space."""
     return F.trim(F.regexp_replace(F.lower(blank(x)), r"[^\p{L}\p{Nd}]+", " "))
@@ -89,9 +94,13 @@ def bill_tag(key: Column) -> Column:
     t = blank(key)
     for p, n in TAG_ORDINALS:
         t = F.regexp_replace(t, p, n)
-    number = F.coalesce(_extract(t, TAG_BILL), F.when(F.length(F.regexp_extract(t, TAG_DIGITS, 1)) >= 2, F.regexp_extract(t, TAG_DIGITS, 1)))
-    word = F.coalesce(*[F.when(t.contains(w), F.lit(w)) for w in TAG_WORDS], F.lit(""))
-    return F.coalesce(F.regexp_replace(number, "^0+", ""), word)
+
+    def tag(t: Column) -> Column:
+        number = F.coalesce(_extract(t, TAG_BILL), F.when(F.length(F.regexp_extract(t, TAG_DIGITS, 1)) >= 2, F.regexp_extract(t, TAG_DIGITS, 1)))
+        word = F.coalesce(*[F.when(t.contains(w), F.lit(w)) for w in TAG_WORDS], F.lit(""))
+        return F.coalesce(F.regexp_replace(number, "^0+", ""), word)
+
+    return let(t, tag)
 
 
 def clean_code(x: Column) -> Column:
@@ -106,9 +115,12 @@ def plain_tokens(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(runs, lambda w: F.when((F.length(w) >= 4) & w.startswith("ال"), F.substring(w, 3, 1 << 20)).otherwise(w))))
 
 
-def _stem(w: Column) -> Column:
+def _without_article(w: Column) -> Column:
     n = F.length(w)
-    w = F.when(n < 4, w).when(w.startswith("ال"), F.regexp_replace(w, "^ال", "")).when((n >= 5) & w.rlike("^(وال|بال)"), F.regexp_replace(w, "^(وال|بال)", "")).when((n >= 5) & w.startswith("لل"), F.regexp_replace(w, "^لل", "")).otherwise(w)
+    return F.when(n < 4, w).when(w.startswith("ال"), F.regexp_replace(w, "^ال", "")).when((n >= 5) & w.rlike("^(وال|بال)"), F.regexp_replace(w, "^(وال|بال)", "")).when((n >= 5) & w.startswith("لل"), F.regexp_replace(w, "^لل", "")).otherwise(w)
+
+
+def _without_ending(w: Column) -> Column:
     n = F.length(w)
     return (
         F.when((n > 5) & w.endswith("ing"), F.regexp_replace(w, "ing$", ""))
@@ -123,7 +135,7 @@ def stemmed_tokens(x: Column) -> Column:
     """NR18: distinct sorted stems; ``16mm`` counts as ``16`` and ``mm``."""
     t = F.translate(F.regexp_replace(F.lower(blank(x)), MARKS, ""), "أإآةى", "اااهي")
     parts = F.split(F.regexp_replace(t, r"(\p{Nd})(\p{L})", "$1 $2"), DELIMITERS)
-    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda w: F.length(w) >= 2), _stem)))
+    return F.array_sort(F.array_distinct(F.transform(F.transform(F.filter(parts, lambda w: F.length(w) >= 2), _without_article), _without_ending)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -95,60 +95,71 @@ DISCIPLINES = [(["elec", "lf", "wir"], ["lighting"], "elect", 25), (["mech", "ir
 
 def hierarchy_bonus() -> Column:
     """JN7: points for a source filed under the target's sheet or workbook, or for the same discipline."""
-    low = lambda x: F.lower(F.coalesce(F.col(x), F.lit("")))
-    sheet, book, path, bill, other = map(low, ("t_sheet", "t_book", "s_path", "s_bill", "s_book"))
-    stem = F.regexp_replace(book, r"\.[^.]*$", "")
-    filed = F.when((path != "") & (F.trim(sheet) != "") & (path.contains(sheet) | bill.contains(sheet)), 30).otherwise(0)
-    filed = filed + F.when((path != "") & (F.trim(book) != "") & path.contains(stem), 20).otherwise(0)
-    kind = F
-    for sheets, books, source, points in DISCIPLINES:
-        ours = reduce(lambda a, b: a | b, [sheet.contains(w) for w in sheets] + [book.contains(w) for w in books])
-        kind = kind.when(ours & other.contains(source), points)
-    return filed + kind.otherwise(0)
-
-
-def hybrid_fitness() -> Column:
-    """JN7: struct (text, fitness, score, approved) over columns t_/s_ text, line, tokens, unit, quantity, rate, code, serial,
-    scope, and t_sheet, t_book, s_path, s_bill, s_book.  Pairs that cannot match have fitness and score 0.
+    names = F.struct(*[F.lower(F.coalesce(F.col(x), F.lit(""))).alias(x) for x in ("t_sheet", "t_book", "s_path", "s_bill", "s_book")])
+
+    def bonus(n: Column) -> Column:
+        sheet, book, path, bill, other = (n[x] for x in ("t_sheet", "t_book", "s_path", "s_bill", "s_book"))
+        stem = F.regexp_replace(book, r"\.[^.]*$", "")
+        filed = F.when((path != "") & (F.trim(sheet) != "") & (path.contains(sheet) | bill.contains(sheet)), 30).otherwise(0)
+        filed = filed + F.when((path != "") & (F.trim(book) != "") & path.contains(stem), 20).otherwise(0)
+        kind = F
+        for sheets, books, source, points in DISCIPLINES:
+            ours = reduce(lambda a, b: a | b, [sheet.contains(w) for w in sheets] + [book.contains(w) for w in books])
+            kind = kind.when(ours & other.contains(source), points)
+        return filed + kind.otherwise(0)
+
+    return T.let(names, bonus)
+
+
+def with_hybrid(pairs: DataFrame, every: bool = False) -> DataFrame:
+    """JN7: pairs with ``h``, a struct (text, fitness, score, approved), over columns t_/s_ text, line, tokens, unit, quantity,
+    rate, code, serial, scope, and t_sheet, t_book, s_path, s_bill, s_book.  Pairs that cannot match have fitness and score 0.
+
+    Step by step, as later steps use each value several times.  Edit distances are taken only of pairs that can match, as
+    the others' count for nothing but ``text``; of every pair with ``every``.
     """
     c = F.col
     blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
-    equal = lambda a, b: ~blank(c(a)) & ~blank(c(b)) & (F.lower(a) == F.lower(b))
-    a, b = c("t_tokens"), c("s_tokens")
-    cov, cos = T.coverage(a, b), T.cosine(a, b)
-    line = F.when(blank(c("s_line")), c("s_text")).otherwise(c("s_line"))
-    contained = ((F.length(line) >= 4) & c("t_text").contains(line)) | ((F.length("t_line") >= 4) & c("s_text").contains(c("t_line")))
-    contained = F.coalesce(contained, F.lit(False))
-    by_line = F.when(~blank(c("t_line")) & ~blank(line), T.lev_similarity(c("t_line"), line)).otherwise(0.0)
-    sim = F.greatest(T.lev_similarity(c("t_text"), c("s_text")), by_line, cos)
-    sim = F.when(contained, F.greatest(sim, F.lit(0.85))).otherwise(sim)
-    sim = F.when(cov >= 0.80, F.greatest(sim, F.lit(0.80))).when(cov >= 0.50, F.greatest(sim, F.lit(0.65))).otherwise(sim)
+    equal = lambda a, b: T.let(F.struct(c(a).alias("a"), c(b).alias("b")), lambda x: ~blank(x["a"]) & ~blank(x["b"]) & (F.lower(x["a"]) == F.lower(x["b"])))
     tr, sr = c("t_rate").cast("double"), c("s_rate").cast("double")
-    gap = F.when((tr > 0) & (sr > 0), F.abs(tr - sr) / F.greatest(tr, sr))
-    confirmed = F.coalesce(((tr == 0) & (sr == 0)) | (gap <= 0.005), F.lit(False))
-    price = F.when((tr == 0) & (sr == 0), 50).when(gap <= 0.005, 60).when(gap <= 0.02, 35).otherwise(0)
     tq, sq = c("t_quantity").cast("double"), c("s_quantity").cast("double")
-    dq = F.when((tq > 0) & (sq > 0), F.abs(tq - sq) / F.greatest(tq, sq))
-    qty = F.when((tq == 0) & (sq == 0), 20).when(dq == 0, 35).when(dq <= 0.02, 25).when(dq <= 0.05, 18).when(dq <= 0.20, 10).otherwise(0)
-    same_unit, fit_unit = F.lower("t_unit") == F.lower("s_unit"), R.units_compatible(c("t_unit"), c("s_unit"))
-    fit_unit = same_unit | fit_unit
-    code, serial = equal("t_code", "s_code"), equal("t_serial", "s_serial")
+    line = F.when(blank(c("s_line")), c("s_text")).otherwise(c("s_line"))
+    p = pairs.withColumns({
+        "_gap": F.when((tr > 0) & (sr > 0), F.abs(tr - sr) / F.greatest(tr, sr)), "_dq": F.when((tq > 0) & (sq > 0), F.abs(tq - sq) / F.greatest(tq, sq)),
+        "_same": F.lower("t_unit") == F.lower("s_unit"), "_fit": R.units_compatible(c("t_unit"), c("s_unit")), "_code": equal("t_code", "s_code"), "_serial": equal("t_serial", "s_serial"),
+        "_m": T.let(F.struct("t_scope", "s_scope"), lambda x: R.scope_multiplier(x["t_scope"], x["s_scope"])), "_line": line, "_shared": F.size(F.array_intersect("t_tokens", "s_tokens")), "_nt": F.size("t_tokens"), "_ns": F.size("s_tokens"),
+    })
+    p = p.withColumns({"_fit": c("_same") | c("_fit"), "_sure": F.coalesce(((tr == 0) & (sr == 0)) | (c("_gap") <= 0.005), F.lit(False))})
+    p = p.withColumn("_reject", (c("_m") == 0) | (~c("_fit") & ~c("_sure") & ~c("_code") & ~c("_serial")))
+    inside = ((F.length("_line") >= 4) & c("t_text").contains(c("_line"))) | ((F.length("t_line") >= 4) & c("s_text").contains(c("t_line")))
+    p = p.withColumns({
+        "_cov": F.when((c("_nt") > 0) & (c("_ns") > 0), c("_shared") / F.least("_nt", "_ns")).otherwise(0.0), "_cos": F.when((c("_nt") > 0) & (c("_ns") > 0), c("_shared") / F.sqrt(c("_nt") * c("_ns"))).otherwise(0.0),
+        "_in": F.coalesce(inside, F.lit(False)),
+    })
+    # where both lines are the whole texts their distance is the same
+    by_line = F.when(~blank(c("t_line")) & ~blank(c("_line")) & ~((c("t_line") == c("t_text")) & (c("_line") == c("s_text"))), T.lev_similarity(c("t_line"), c("_line"))).otherwise(0.0)
+    p = p.withColumn("_lev", F.when(F.lit(every) | ~c("_reject"), F.greatest(T.lev_similarity(c("t_text"), c("s_text")), by_line)).otherwise(0.0))
+    floor = F.when(c("_cov") >= 0.80, 0.80).when(c("_cov") >= 0.50, 0.65).otherwise(0.0)
+    p = p.withColumn("_sim", F.greatest("_lev", "_cos", F.when(c("_in"), 0.85).otherwise(0.0), floor))
+    price = F.when((tr == 0) & (sr == 0), 50).when(c("_gap") <= 0.005, 60).when(c("_gap") <= 0.02, 35).otherwise(0)
+    qty = F.when((tq == 0) & (sq == 0), 20).when(c("_dq") == 0, 35).when(c("_dq") <= 0.02, 25).when(c("_dq") <= 0.05, 18).when(c("_dq") <= 0.20, 10).otherwise(0)
+    unit = F.when(c("_same"), 20).when(c("_fit"), 10).when(~c("_sure") & ~c("_code"), -40).otherwise(0)
     cross = equal("t_code", "s_serial") | equal("t_serial", "s_code")
-    unit = F.when(same_unit, 20).when(fit_unit, 10).when(~confirmed & ~code, -40).otherwise(0)
-    points = F.when(code, 45).otherwise(0) + F.when(serial, 35).otherwise(0) + F.when(cross, 25).otherwise(0)
-    fit = 80 * sim + F.when(contained, 35).otherwise(0) + 30 * cov + 20 * cos + hierarchy_bonus() + qty + price + points + unit
+    points = F.when(c("_code"), 45).otherwise(0) + F.when(c("_serial"), 35).otherwise(0) + F.when(cross, 25).otherwise(0)
+    p = p.withColumn("_points", 80 * c("_sim") + F.when(c("_in"), 35).otherwise(0) + 30 * c("_cov") + 20 * c("_cos") + hierarchy_bonus() + qty + price + points + unit)
     # an equal code or serial needs the text or the quantity to agree a little
-    anchored = (code | serial) & ((sim >= 0.35) | contained | (cov >= 0.30) | F.coalesce((tq > 0) & (tq == sq), F.lit(False)))
-    score = F.when(confirmed, F.greatest(F.lit(0.95), sim)).when(anchored, F.least(F.lit(1.0), 0.75 + 0.25 * sim)).when(code | serial, sim).when(contained & fit_unit, F.least(F.lit(1.0), 0.80 + 0.20 * cov)).otherwise(sim)
-    ok = confirmed | anchored | (~(code | serial) & ((contained & fit_unit) | ((sim >= 0.65) & fit_unit & (fit >= 80))))
-    m = R.scope_multiplier(c("t_scope"), c("s_scope"))
-    reject = (m == 0) | (~fit_unit & ~confirmed & ~code & ~serial)
-    return F.struct(sim.alias("text"), F.when(reject, 0.0).otherwise(fit * m).alias("fitness"), F.when(reject, 0.0).otherwise(F.least(F.lit(1.0), score * m)).alias("score"), (ok & ~reject).alias("approved"))
-
-
-def bill_keys_match(a: Column, b: Column) -> Column:
-    """JN4: prefix, containment, equal tag or a similarity of .70."""
-    ta, tb = T.bill_tag(a), T.bill_tag(b)
+    either, sim = c("_code") | c("_serial"), c("_sim")
+    anchored = either & ((sim >= 0.35) | c("_in") | (c("_cov") >= 0.30) | F.coalesce((tq > 0) & (tq == sq), F.lit(False)))
+    p = p.withColumns({"_either": either, "_anchored": anchored})
+    score = F.when(c("_sure"), F.greatest(F.lit(0.95), sim)).when(c("_anchored"), F.least(F.lit(1.0), 0.75 + 0.25 * sim)).when(c("_either"), sim).when(c("_in") & c("_fit"), F.least(F.lit(1.0), 0.80 + 0.20 * c("_cov"))).otherwise(sim)
+    ok = c("_sure") | c("_anchored") | (~c("_either") & ((c("_in") & c("_fit")) | ((sim >= 0.65) & c("_fit") & (c("_points") >= 80))))
+    zero = lambda x: F.when(c("_reject"), 0.0).otherwise(x)
+    h = F.struct(sim.alias("text"), zero(c("_points") * c("_m")).alias("fitness"), zero(F.least(F.lit(1.0), score * c("_m"))).alias("score"), (ok & ~c("_reject")).alias("approved"))
+    return p.select(*pairs.columns, h.alias("h"))
+
+
+def bill_keys_match(a: Column, b: Column, ta: Column, tb: Column) -> Column:
+    """JN4: keys with tags ta and tb: prefix, containment, equal tag or a similarity of .70."""
     return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | ((ta != "") & (ta == tb)) | (T.lev_similarity(a, b) >= 0.70))
 
 
@@ -160,13 +171,14 @@ def bill_key_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     chars = lambda x: F.array_distinct(F.split(x, ""))
     grams = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - 1)), lambda i: F.substring(x, i, F.lit(2))))
-    tag = lambda x: F.filter(F.array(F.concat(F.lit("t:"), T.bill_tag(x))), lambda t: t != "t:")
+    tag = lambda x: F.filter(F.array(F.concat(F.lit("t:"), x)), lambda t: t != "t:")
     mark = lambda p, arr: F.transform(arr, lambda v: F.concat(F.lit(p), v))
     first = lambda x: F.array(F.substring(x, 1, 1))
     x, y = F.col("a"), F.col("b")
-    left = a.where("a <> ''").select("a", F.explode(F.concat(mark("x:", chars(x)), mark("y:", first(x)), mark("g:", grams(x)), tag(x))).alias("k"))
-    right = b.where("b <> ''").select("b", F.explode(F.concat(mark("x:", first(y)), mark("y:", chars(y)), mark("g:", grams(y)), tag(y))).alias("k"))
-    return left.join(right, "k").select("a", "b").distinct().where(bill_keys_match(x, y))
+    a, b = a.withColumn("ta", T.bill_tag(x)), b.withColumn("tb", T.bill_tag(y))
+    left = a.where("a <> ''").select("a", "ta", F.explode(F.concat(mark("x:", chars(x)), mark("y:", first(x)), mark("g:", grams(x)), tag(F.col("ta")))).alias("k"))
+    right = b.where("b <> ''").select("b", "tb", F.explode(F.concat(mark("x:", first(y)), mark("y:", chars(y)), mark("g:", grams(y)), tag(F.col("tb")))).alias("k"))
+    return left.join(right, "k").select("a", "b", "ta", "tb").distinct().where(bill_keys_match(x, y, F.col("ta"), F.col("tb"))).select("a", "b")
 
 
 def mutual_best(edges: DataFrame) -> DataFrame:
@@ -192,7 +204,7 @@ def assign_in_order(edges: DataFrame) -> DataFrame:
     edges: scope, t, s, weight, tpos, spos (relative positions); nearer positions add up to 15.
     """
     fit = F.col("weight") + (1 - F.abs(F.col("tpos") - F.col("spos"))) * 15
-    e = edges.select("scope", "t", F.struct("tpos", "t").alias("tpos"), "s", "spos", fit.alias("fit"), F.lit(True).alias("takes"), F.lit(0).alias("hits"), F.lit(False).alias("pooled"))
+    e = edges.select("scope", "t", F.struct("tpos", "t").alias("tpos"), "s", "spos", fit.alias("fit"), F.lit(True).alias("takes"), F.lit(0).alias("hits"), F.lit(False).alias("pooled"), F.lit(True).alias("counts"))
     return assignment.in_order(e)[0].select("scope", "t", "s", "fit")
 
 

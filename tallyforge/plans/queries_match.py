@@ -65,15 +65,19 @@ def scoped_edges(spark, d):
 
 
 D_PHRASE = "CASE WHEN {k} % 4 = 0 THEN 'Supply of ' WHEN {k} % 4 = 1 THEN 'Supply and install ' WHEN {k} % 4 = 2 THEN 'Installation of ' ELSE '' END || {t}"
-EDGES = f""", tt AS (SELECT code || '-' || size AS scope, part AS t, upper(regexp_replace(code, '[^A-Za-z0-9]', '', 'g')) AS t_code, unit AS t_unit, bill AS t_bill, sum(quantity)::DECIMAL(18,4) AS t_quantity, min(original_rate) AS t_rate, {D_PHRASE.format(k="part", t="description")} AS t_raw FROM target_items GROUP BY part, code, description, unit, size, bill),
-ss AS (SELECT s_code || '-' || p_size AS scope, s_id AS s, upper(regexp_replace(s_code, '[^A-Za-z0-9]', '', 'g')) AS s_code, s_unit, s_bill, s_quantity, s_rate, {D_PHRASE.format(k="s_id", t="s_description")} AS s_raw FROM source_items JOIN part ON s_id = p_partkey),
-tp AS (SELECT *, {stem_sql("t_raw")} AS t_tokens, {dim_sql("t_unit")} AS t_dim, {scope_sql("lower(t_raw)")} AS t_scope FROM tt), sp AS (SELECT *, {stem_sql("s_raw")} AS s_tokens, {dim_sql("s_unit")} AS s_dim, {scope_sql("lower(s_raw)")} AS s_scope FROM ss),
-e0 AS (SELECT *, len(list_intersect(t_tokens, s_tokens))::DOUBLE AS i, t_quantity AS a, s_quantity AS b FROM tp JOIN sp USING (scope)),
-e1 AS (SELECT *, i / least(len(t_tokens), len(s_tokens)) AS cov, i / (len(t_tokens) + len(s_tokens) - i) AS jac, {QTY_SQL} AS qs,
+ITEMS = f""", tt AS (SELECT code || '-' || size AS scope, part AS t, upper(regexp_replace(code, '[^A-Za-z0-9]', '', 'g')) AS t_code, unit AS t_unit, bill AS t_bill, sum(quantity)::DECIMAL(18,4) AS t_quantity, min(original_rate) AS t_rate, {D_PHRASE.format(k="part", t="description")} AS t_raw FROM target_items GROUP BY part, code, description, unit, size, bill),
+ss AS (SELECT s_code || '-' || p_size AS scope, s_id AS s, upper(regexp_replace(s_code, '[^A-Za-z0-9]', '', 'g')) AS s_code, s_unit, s_bill, s_quantity, s_rate, {D_PHRASE.format(k="s_id", t="s_description")} AS s_raw FROM source_items JOIN part ON s_id = p_partkey)"""
+PREP = f"""tp AS (SELECT *, {stem_sql("t_raw")} AS t_tokens, {dim_sql("t_unit")} AS t_dim, {scope_sql("lower(t_raw)")} AS t_scope FROM tt), sp AS (SELECT *, {stem_sql("s_raw")} AS s_tokens, {dim_sql("s_unit")} AS s_dim, {scope_sql("lower(s_raw)")} AS s_scope FROM ss)"""
+PAIR = """SELECT *, len(list_intersect(t_tokens, s_tokens))::DOUBLE AS i, t_quantity AS a, s_quantity AS b"""
+SCORES = f"""e1 AS (SELECT *, i / least(len(t_tokens), len(s_tokens)) AS cov, i / (len(t_tokens) + len(s_tokens) - i) AS jac, {QTY_SQL} AS qs,
   CASE WHEN t_rate > 0 AND s_rate > 0 THEN least(t_rate, s_rate)::DOUBLE / greatest(t_rate, s_rate)::DOUBLE WHEN t_rate = 0 AND s_rate = 0 THEN 1.0 ELSE 0.5 END AS ps,
   CASE WHEN t_code = s_code THEN 1.0 WHEN starts_with(t_code, s_code) OR starts_with(s_code, t_code) THEN 0.8 ELSE 0 END AS cs, CASE WHEN t_dim = s_dim AND t_dim <> 'Unknown' THEN 1.0 ELSE 0.4 END AS us,
   CASE WHEN t_scope = 'Generic' OR s_scope = 'Generic' THEN 1.0 WHEN t_scope = s_scope THEN 1.05 WHEN t_scope = 'Dismantle' OR s_scope = 'Dismantle' THEN 0 WHEN t_scope <> 'SupplyAndInstall' AND s_scope <> 'SupplyAndInstall' THEN 0 WHEN 'InstallOnly' IN (t_scope, s_scope) THEN 0.2 ELSE 0.5 END AS m FROM e0),
-e2 AS (SELECT *, CASE WHEN cov >= 0.8 THEN greatest(0.75 * cov + 0.25 * jac, 0.95 * cov) ELSE 0.75 * cov + 0.25 * jac END AS ds FROM e1),
+e2 AS (SELECT *, CASE WHEN cov >= 0.8 THEN greatest(0.75 * cov + 0.25 * jac, 0.95 * cov) ELSE 0.75 * cov + 0.25 * jac END AS ds FROM e1)"""
+EDGES = f"""{ITEMS},
+{PREP},
+e0 AS ({PAIR} FROM tp JOIN sp USING (scope)),
+{SCORES},
 edges AS (SELECT scope, t, s, round(least(1.0, (0.25 * cs + 0.35 * ds + 0.15 * us + 0.15 * qs + 0.10 * ps + CASE WHEN cs >= 0.95 AND ds >= 0.40 THEN 0.20 ELSE 0 END) * m)::DOUBLE, 8) AS weight FROM e2)"""
 
 
@@ -91,23 +95,13 @@ def jn8_round(spark, d):
     return M.mutual_best(edges(spark, d).where("weight >= 0.525")).select("t", "s", "weight")
 
 
-@query("jn8_greedy_assignment")
-def jn8(spark, d):
-    return M.assign_greedy(edges(spark, d).where("weight >= 0.525"))
-
-
-@query("jn8_scoped_assignment")
-def jn8_scoped(spark, d):
-    return M.assign_scoped(edges(spark, d).where("weight >= 0.525")).where("weight >= 0.75")
-
-
 def compat_sql(a, b):
     g, h = (case_in(f"lower({x})", R.GROUPS.items(), "NULL") for x in (a, b))
     return f"(lower({a}) = lower({b}) OR {a} = '' OR {b} = '' OR coalesce(({g}) = ({h}), false))"
 
 
 PLAIN_SQL = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
-HYBRID = EDGES + f""", h0 AS (SELECT *, {PLAIN_SQL.format(x="t_raw")} AS tt, {PLAIN_SQL.format(x="s_raw")} AS st, i / sqrt(len(t_tokens) * len(s_tokens)) AS cos, t_rate::DOUBLE AS tr, s_rate::DOUBLE AS sr, a::DOUBLE AS tq, b::DOUBLE AS sq, {compat_sql("t_unit", "s_unit")} AS fit_unit FROM e2),
+FITNESS = f"""h0 AS (SELECT *, {PLAIN_SQL.format(x="t_raw")} AS tt, {PLAIN_SQL.format(x="s_raw")} AS st, i / sqrt(len(t_tokens) * len(s_tokens)) AS cos, t_rate::DOUBLE AS tr, s_rate::DOUBLE AS sr, a::DOUBLE AS tq, b::DOUBLE AS sq, {compat_sql("t_unit", "s_unit")} AS fit_unit FROM e2),
 h1 AS (SELECT *, (length(st) >= 4 AND contains(tt, st)) OR (length(tt) >= 4 AND contains(st, tt)) AS inside, greatest(1 - levenshtein(tt, st)::DOUBLE / greatest(length(tt), length(st)), cos) AS s0, CASE WHEN tr > 0 AND sr > 0 THEN abs(tr - sr) / greatest(tr, sr) END AS gap,
   CASE WHEN tq > 0 AND sq > 0 THEN abs(tq - sq) / greatest(tq, sq) END AS dq, t_code = s_code AND t_code <> '' AS code, t % 50 = s % 50 AS serial, lower(t_unit) = lower(s_unit) AS same_unit,
   CASE WHEN contains(lower('Works W1/' || s_bill), lower(t_bill)) OR contains(lower(s_bill), lower(t_bill)) THEN 30 ELSE 0 END + CASE WHEN t % 3 = 1 THEN 20 ELSE 0 END AS filed FROM h0),
@@ -117,18 +111,12 @@ h3 AS (SELECT *, 80 * sim + CASE WHEN inside THEN 35 ELSE 0 END + 30 * cov + 20
   (code OR serial) AND (sim >= 0.35 OR inside OR cov >= 0.3 OR (tq > 0 AND tq = sq)) AS anchored, m = 0 OR NOT (fit_unit OR confirmed OR code OR serial) AS reject FROM h2),
 hybrid AS (SELECT scope, t, s, sim, CASE WHEN reject THEN 0 ELSE fit * m END AS fitness, CASE WHEN reject THEN 0 ELSE least(1.0, m * CASE WHEN confirmed THEN greatest(0.95, sim) WHEN anchored THEN least(1.0, 0.75 + 0.25 * sim) WHEN code OR serial THEN sim WHEN inside AND fit_unit THEN least(1.0, 0.8 + 0.2 * cov) ELSE sim END) END AS score,
   NOT reject AND (confirmed OR anchored OR (NOT (code OR serial) AND ((inside AND fit_unit) OR (sim >= 0.65 AND fit_unit AND fit >= 80)))) AS approved FROM h3)"""
+HYBRID = f"{EDGES}, {FITNESS}"
 
 
 @query("jn7_hybrid_scores", over_base(HYBRID + " SELECT t, s, round(sim, 6)::DOUBLE AS text, round(fitness, 6)::DOUBLE AS fitness, round(score, 6)::DOUBLE AS score, approved FROM hybrid"))
 def jn7(spark, d):
-    return scoped_edges(spark, d).withColumn("h", M.hybrid_fitness()).select("t", "s", *[F.round(f"h.{k}", 6).alias(k) for k in ("text", "fitness", "score")], "h.approved")
-
-
-@query("jn9_wn5_ordered_assignment")
-def jn9(spark, d):
-    e = scoped_edges(spark, d).withColumn("h", M.hybrid_fitness()).where("h.approved or h.score >= 0.6")
-    pos = lambda k: F.percent_rank().over(Window.partitionBy("scope").orderBy(k)).alias(f"{k}pos")
-    return M.assign_in_order(e.select("scope", "t", "s", F.col("h.fitness").alias("weight"), pos("t"), pos("s")))
+    return M.with_hybrid(scoped_edges(spark, d), every=True).select("t", "s", *[F.round(f"h.{k}", 6).alias(k) for k in ("text", "fitness", "score")], "h.approved")
 
 
 @query("jn10_jn12_jn16_reconcile")
@@ -139,16 +127,6 @@ def reconcile(spark, d):
     return C.reconcile(t, s, scoped=True)
 
 
-@query("jn10_unmatched_fallback", over_base(EDGES + """, got AS (SELECT DISTINCT t FROM edges WHERE weight >= 0.95), free AS (SELECT t, t_code, t_dim FROM tp WHERE t NOT IN (SELECT t FROM got)), best AS (SELECT s_code, s_dim, min(s) AS s FROM sp GROUP BY ALL)
-SELECT t, s AS fallback FROM free LEFT JOIN best ON t_code = s_code AND t_dim = s_dim"""))
-def jn10(spark, d):
-    e = scoped_edges(spark, d).withColumn("weight", F.round(M.adaptive_score(F.lit(True), F.lit(True)), 8))
-    every = target_items(spark, d).groupBy("part", "code", "unit").count().select(F.col("part").alias("t"), T.clean_code(F.col("code")).alias("code"), R.dimension(F.col("unit")).alias("dim"))
-    free = every.join(e.where("weight >= 0.95").select("t").distinct(), "t", "left_anti")
-    best = source_items(spark, d).groupBy(T.clean_code(F.col("s_code")).alias("code"), R.dimension(F.col("s_unit")).alias("dim")).agg(F.min("s_id").alias("fallback"))
-    return free.join(best, ["code", "dim"], "left").select("t", "fallback")
-
-
 def sheet_names(spark, d):
     """Every sheet name of the targets, every sheet name and bill of the sources."""
     t = sheets(spark, d).where("trim(s) <> ''").select(F.col("s").alias("t_sheet"), F.lower("s").contains("ps").alias("t_ps")).distinct()
@@ -178,25 +156,6 @@ def jn5(spark, d):
     return target_items(spark, d).select("id", F.explode(F.array_distinct(F.array(*[F.lower(c) for c in ("bill", "sheet", "workbook")]))).alias("key"))
 
 
-LINKS = ", link AS (SELECT sheet, CASE WHEN sheet LIKE '%44' THEN 'ShieldedPS' WHEN sheet LIKE '%33' THEN 'Excluded' WHEN sheet LIKE 'Bill 01%' THEN 'GlobalSearch' ELSE 'AutoMatched' END AS status FROM (SELECT DISTINCT sheet FROM target_items))"
-
-
-@query("jn12_jn13_scoped_fallback", over_base(LINKS + """ SELECT p.id, status, CASE WHEN status IN ('ShieldedPS', 'Excluded') THEN NULL WHEN status = 'AutoMatched' AND p.s_id IS NOT NULL THEN p.s_id ELSE f.s_id END AS source
-FROM pairs p JOIN link USING (sheet) LEFT JOIN (SELECT s_code, s_unit, min(s_id) AS s_id FROM source_items GROUP BY ALL) f ON p.code = f.s_code AND p.unit = f.s_unit"""))
-def jn12(spark, d):
-    p = pairs(spark, d)
-    status = F.when(F.col("sheet").endswith("44"), "ShieldedPS").when(F.col("sheet").endswith("33"), "Excluded").when(F.col("sheet").startswith("Bill 01"), "GlobalSearch").otherwise("AutoMatched")
-    link = p.select("sheet").distinct().withColumn("status", status)
-    f = source_items(spark, d).groupBy(F.col("s_code").alias("code"), F.col("s_unit").alias("unit")).agg(F.min("s_id").alias("f_id"))
-    own = F.when(F.col("status").isin("ShieldedPS", "Excluded"), None).when((F.col("status") == "AutoMatched") & F.col("s_id").isNotNull(), F.col("s_id")).otherwise(F.col("f_id"))
-    return p.select("id", "sheet", "code", "unit", "s_id").join(link, "sheet").join(f, ["code", "unit"], "left").select("id", "status", own.alias("source"))
-
-
-@query("jn16_multi_target", over_base("SELECT workbook, count(*) AS items, count(s_id) AS matched, count(DISTINCT s_id) AS sources FROM pairs GROUP BY workbook"))
-def jn16(spark, d):
-    return pairs(spark, d).groupBy("workbook").agg(F.count("*").alias("items"), F.count("s_id").alias("matched"), F.count_distinct("s_id").alias("sources"))
-
-
 @query("jn17_sk5_link_formulas", over_base("SELECT id, '=''[' || (dense_rank() OVER (ORDER BY workbook)) || ']' || sheet || '''!' || chr((65 + size % 26)::INT) || row AS formula FROM pairs WHERE approved AND injected_rate > 0 AND item_type <> 'ProvisionalSum' AND row > 0"))
 def jn17(spark, d):
     p = pairs(spark, d).where("approved and injected_rate > 0 and item_type <> 'ProvisionalSum' and row > 0")

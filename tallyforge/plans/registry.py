@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import queries_analytics, queries_match, queries_packages, queries_scalar, queries_store  # noqa: E402,F401
+from . import queries_analytics, queries_bills, queries_match, queries_packages, queries_scalar, queries_store  # noqa: E402,F401
