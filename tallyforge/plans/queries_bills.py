@@ -213,3 +213,14 @@ res AS (SELECT run AS workbook, t, s, {OUTCOME} FROM m)""")
 @query("jn16_workbooks", WORKBOOKS + " SELECT * FROM res")
 def jn16(spark, d):
     return C.reconcile_workbooks(workbook_targets(spark, d), adaptive_sources(spark, d)).drop("rate")
+
+
+@query("ag1_ag2_ag30_matched_workbooks", WORKBOOKS + """, r AS (SELECT workbook, t, s, confidence, item_type, approved FROM res),
+per AS (SELECT workbook, count(*) AS total, count(*) FILTER (confidence = 'Exact') AS exact, count(*) FILTER (confidence = 'HighFuzzy') AS high_fuzzy, count(*) FILTER (item_type = 'VariationOrder') AS vo, count(*) FILTER (item_type = 'ProvisionalSum') AS ps, count(s) AS matched, count(DISTINCT s) AS sources FROM r GROUP BY ROLLUP (workbook))
+SELECT coalesce(workbook, 'All workbooks') AS workbook, total, exact, high_fuzzy, vo, ps, matched, sources, round_even(matched * 100.0 / total, 1)::DOUBLE AS matched_pct FROM per""")
+def ag_matched(spark, d):
+    """The batch's report over real matches: a line for each workbook and the grand line."""
+    r = C.reconcile_workbooks(workbook_targets(spark, d), adaptive_sources(spark, d))
+    kind = lambda c, v: F.count_if(F.col(c) == v)
+    per = r.rollup("workbook").agg(F.count("*").alias("total"), kind("confidence", "Exact").alias("exact"), kind("confidence", "HighFuzzy").alias("high_fuzzy"), kind("item_type", "VariationOrder").alias("vo"), kind("item_type", "ProvisionalSum").alias("ps"), F.count("s").alias("matched"), F.count_distinct("s").alias("sources"))
+    return per.select(F.coalesce("workbook", F.lit("All workbooks")).alias("workbook"), "total", "exact", "high_fuzzy", "vo", "ps", "matched", "sources", F.bround((F.col("matched") * 100.0 / F.col("total")).cast("double"), 1).alias("matched_pct"))

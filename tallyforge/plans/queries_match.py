@@ -21,6 +21,17 @@ def jn1(spark, d):
     return M.signature_join(target_items(spark, d).select("id", "code", "unit", "bill"), s, ["code", "unit", "bill"], "s_id").select("id", F.col("s_id").alias("source"))
 
 
+@query("jn1_content_signature", over_base(f""", x AS (SELECT id, code, unit, quantity, {stem_sql("description")} AS tokens FROM target_items), s AS (SELECT s_code AS code, s_unit AS unit, s_quantity AS quantity, {stem_sql("s_description")} AS tokens, min(s_id) AS s_id FROM source_items GROUP BY ALL)
+SELECT id, s.s_id AS source FROM x LEFT JOIN s USING (code, unit, quantity, tokens)"""))
+def jn1_content(spark, d):
+    """Equal code, words, quantity, dimension and scope; in the tables units and scopes are equal just where dimension and words are."""
+    c = F.col
+    prep = lambda df, p: df.withColumns({"code": T.clean_code(c(f"{p}code")), "tokens": T.stemmed_tokens(c(f"{p}description")), "dim": R.dimension(c(f"{p}unit")), "scope": R.scope(c(f"{p}description")), "quantity": c(f"{p}quantity"), "unit": F.lower(f"{p}unit")})
+    key = ["code", "tokens", "quantity", "dim", "scope", "unit"]
+    t = prep(target_items(spark, d), "").select("id", *key)
+    return M.signature_join(t, prep(source_items(spark, d), "s_").select(*key, "s_id"), key, "s_id").select("id", c("s_id").alias("source"))
+
+
 def passages(spark, d):
     """Passages as targets, pages as sources; code and dimension follow from the id."""
     more = lambda k: [F.concat(F.lit("C"), (F.col(k) % 50).cast("string")).alias("code"), F.when(F.col(k) % 3 == 0, "Area").when(F.col(k) % 3 == 1, "Weight").otherwise("Unknown").alias("dim")]
@@ -142,13 +153,14 @@ def jn11(spark, d):
 KEYS = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
-@query("jn4_bill_keys", f"""WITH {D_S}, k AS (SELECT s, {fold_sql("s", T.TAG_ORDINALS)} AS t FROM (SELECT DISTINCT {KEYS.format(x="s")} AS s FROM s)), a AS (SELECT s AS a, {TAG_SQL} AS ta FROM k),
-c AS (SELECT s, {fold_sql("s", T.TAG_ORDINALS)} AS t FROM (SELECT DISTINCT {KEYS.format(x="sheet")} AS s FROM (SELECT 'Bill ' || lpad((l_suppkey % 12)::VARCHAR, 2, '0') || ' - ' || p_brand AS sheet FROM lineitem JOIN part ON l_partkey = p_partkey))), b AS (SELECT s AS b, {TAG_SQL} AS tb FROM c)
-SELECT a, b FROM a, b WHERE a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a) OR (ta <> '' AND ta = tb) OR 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.7)""")
+@query("jn4_bill_keys", over_base(f""", k AS (SELECT s, {fold_sql("s", T.TAG_ORDINALS)} AS t FROM (SELECT DISTINCT {KEYS.format(x="s_bill || ' ' || s_code")} AS s FROM source_items)), a AS (SELECT s AS a, {TAG_SQL} AS ta FROM k),
+c AS (SELECT s, {fold_sql("s", T.TAG_ORDINALS)} AS t FROM (SELECT DISTINCT {KEYS.format(x="s")} AS s FROM (SELECT sheet AS s FROM target_items UNION SELECT bill || ' works ' || code FROM target_items WHERE part % 7 = 0 UNION SELECT code FROM target_items))), b AS (SELECT s AS b, {TAG_SQL} AS tb FROM c)
+SELECT a, b FROM a, b WHERE a <> '' AND b <> '' AND (a = b OR contains(a, b) OR contains(b, a) OR (ta <> '' AND ta = tb) OR 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) >= 0.7)"""))
 def jn4(spark, d):
-    a = sheets(spark, d).select(T.bill_key(F.col("s")).alias("a")).distinct()
-    b = target_items(spark, d).select("sheet").distinct().select(T.bill_key(F.col("sheet")).alias("b")).distinct()
-    return M.bill_key_pairs(a, b)
+    t = target_items(spark, d)
+    a = source_items(spark, d).select(T.bill_key(F.concat_ws(" ", "s_bill", "s_code")).alias("a")).distinct()
+    b = t.select(F.col("sheet").alias("s")).union(t.where("part % 7 = 0").select(F.concat_ws(" ", "bill", F.lit("works"), "code"))).union(t.select("code")).distinct()
+    return M.bill_key_pairs(a, b.select(T.bill_key(F.col("s")).alias("b")).distinct())
 
 
 @query("jn5_partition_keys", over_base("SELECT id, key FROM (SELECT id, unnest(list_distinct([lower(bill), lower(sheet), lower(workbook)])) AS key FROM target_items)"))
