@@ -237,17 +237,6 @@ def nr32(spark, d):
     return p.select(F.col("p_partkey").alias("k"), T.column_letter(n).alias("letter"), F.split_part("p_brand", F.lit("#"), F.lit(1)).alias("short_name"), F.substring(F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), r"\s+", " "), 1, 55).alias("clean"), T.natural_key(F.concat_ws("-", "p_brand", F.col("p_size").cast("string"))).alias("natural"))
 
 
-HEADER_CELLS = ["Item", "Item No", "Description", "Unit", "Qty", "Supply Rate", "Install Rate", "Total Unit Rate", "Total Amount", "الوصف", "الكمية", "سعر الوحدة", "Section", "Bill No.", "S.N.", "Level 2", "u.o.m", "Remarks"]
-#: Patterns that both engines read alike (no word boundary next to Arabic letters).
-ROLES = ["serial", "code", "hierarchy", "description", "quantity", "composite", "partial", "amount", "bill", "section"]
-
-
-@query("nr7_header_roles", "WITH h AS (SELECT unnest([" + ",".join(map(q, HEADER_CELLS)) + "]) AS cell) SELECT cell, " + ", ".join(f"regexp_matches(cell, {q('(?i)' + R.HEADERS[r])}) AS is_{r}" for r in ROLES) + " FROM h")
-def nr7(spark, d):
-    h = spark.createDataFrame([(c,) for c in HEADER_CELLS], "cell string")
-    return h.select("cell", *[F.col("cell").rlike("(?i)" + R.HEADERS[r]).alias(f"is_{r}") for r in ROLES])
-
-
 @query("fl4_metadata_rows", f"WITH {D_S} SELECT k, regexp_matches(lower(trim(CASE k % 3 WHEN 0 THEN 'Employer' WHEN 1 THEN 'Tender No.' ELSE 'A1' END)), {q(R.METADATA_CODE)}) OR regexp_matches(lower(trim(s)), {q(R.METADATA_TEXT)}) AS metadata FROM s")
 def fl4(spark, d):
     return sheets(spark, d).select("k", R.metadata_row(F.expr("case k % 3 when 0 then 'Employer' when 1 then 'Tender No.' else 'A1' end"), F.col("s")).alias("metadata"))

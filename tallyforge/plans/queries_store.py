@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..operators import store as S
 from ..sources import sheets as X
 from .adapters import over_base, pairs, source_items, table, target_items
-from .queries_scalar import DRIFT_SQL, FL1_SQL, RATE_SQL, norm_sql
+from .queries_scalar import DRIFT_SQL, FL1_SQL, RATE_SQL, norm_sql, q
 from .registry import query
 
 
@@ -212,10 +212,60 @@ BOOK = "'W' || (p_partkey % 3) AS workbook, p_type AS sheet"
 @query("sc1_sc3_flat_items", f"""WITH p AS (SELECT {BOOK}, (p_partkey + 2)::INT AS row, p_brand AS code, p_name AS description, {norm_sql("p_name")} AS normalised, p_size::DECIMAL(18,4) AS quantity, p_retailprice::DECIMAL(18,2)::DECIMAL(18,4) AS rate, p_type AS s FROM part WHERE p_type IS NOT NULL)
 SELECT workbook, sheet, row, code, description, normalised, 'm2' AS unit, quantity::DOUBLE AS quantity, rate::DOUBLE AS rate, (rate * quantity)::DECIMAL(28,4)::DOUBLE AS amount, 'U_' || workbook || '_' || sheet || '_' || row || '_' || code AS id FROM p WHERE NOT ({FL1_SQL}) AND (quantity > 0 OR rate > 0)""")
 def sc1(spark, d):
-    rows = X.flat_items(X.demo_cells(table(spark, d, "part"), hierarchical=False))
+    rows = X.flat_items(X.demo_cells(table(spark, d, "part"), hierarchical=False)).select("workbook", "sheet", "row", "code", "description", "normalised", "unit", "quantity", "rate", "amount", "id")
     return rows.withColumns({c: F.col(c).cast("double") for c in ("quantity", "rate", "amount")})
 
 
+ALL_ROLES = list(R.HEADERS)
+
+
+def role_sql(role):
+    """The pattern of a role for DuckDB, whose word boundaries know ASCII letters only."""
+    edge = "[^\\p{L}\\p{N}_]"
+    return q("(?i)" + R.HEADERS[role].replace("(^|\\b)", f"(^|{edge})").replace("($|\\b)", f"($|{edge})"))
+
+
+#: Every cell text of the demo ledger, once.
+LEDGER_CELLS = """SELECT DISTINCT unnest(v) AS cell FROM (SELECT CASE WHEN p_type = 'STANDARD' THEN {levelled} WHEN p_type = 'PROMO' THEN {arabic} ELSE {listed} END || CASE WHEN p_type <> 'STANDARD' THEN [CASE WHEN k % 5 = 0 THEN 'Bill ' || (k % 7) END, CASE WHEN k % 8 = 0 THEN 'Class ' || (k % 4) END]
+  ELSE [CASE WHEN k % 2 = 0 THEN 'Works' END, CASE WHEN k % 10 = 0 THEN 'WORKS' WHEN k % 3 <> 0 THEN 'Zone ' || (k % 3) END, CASE WHEN k % 4 = 0 THEN 'Part ' || (k % 5) END] END
+  || [CASE WHEN k % 6 <> 0 THEN p_brand END, CASE WHEN k % 37 = 0 THEN 'Description' WHEN k % 11 = 0 THEN 'Provisional sum for ' || p_name ELSE p_name END, 'm2', CASE WHEN k % 13 <> 0 THEN p_size::VARCHAR END, CASE WHEN k % 17 <> 0 THEN p_retailprice::DECIMAL(18,2)::VARCHAR END, CASE WHEN k % 19 = 0 THEN '123.45' END,
+    CASE WHEN p_size % 4 = 1 THEN 'Note ' || p_name END, CASE WHEN p_size % 9 = 0 THEN 'SECTION ' || p_brand END] AS v FROM (SELECT *, p_partkey AS k FROM part))""".format(**{n: "[" + ",".join(map(q, v)) + "]" for n, v in (("levelled", X.LEVELLED), ("arabic", X.ARABIC), ("listed", X.LISTED))})
+
+
+@query("nr7_header_roles", f"SELECT cell, {', '.join(f'regexp_matches(cell, {role_sql(r)}) AS is_{r}' for r in ALL_ROLES)} FROM ({LEDGER_CELLS}) WHERE cell IS NOT NULL")
+def nr7(spark, d):
+    """All twelve roles over every cell of the demo ledger."""
+    h = X.demo_ledger(table(spark, d, "part")).select(F.col("raw").alias("cell")).distinct()
+    return h.select("cell", *[F.col("cell").rlike("(?i)" + R.HEADERS[r]).alias(f"is_{r}") for r in ALL_ROLES])
+
+
+#: The rows of the demo ledger by what they are, from the parts themselves.
+LEDGER = f"""WITH p AS (SELECT *, 'W' || (p_partkey % 3) AS workbook, p_type AS sheet, p_type = 'STANDARD' AS lv, p_partkey AS k FROM part),
+l AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'Works' END AS l1, CASE WHEN k % 10 = 0 THEN NULL WHEN k % 3 <> 0 THEN 'Zone ' || (k % 3) END AS l2, CASE WHEN k % 4 = 0 THEN 'Part ' || (k % 5) END AS l3 FROM p),
+i AS (SELECT workbook, sheet, (3 * k + 7)::INT AS row, CASE WHEN k % 37 = 0 THEN 'Description' WHEN k % 11 = 0 THEN 'Provisional sum for ' || p_name ELSE p_name END AS line, CASE WHEN k % 6 <> 0 THEN p_brand ELSE '' END AS code, CASE WHEN k % 13 <> 0 THEN p_size ELSE 0 END::DECIMAL(18,4) AS q, CASE WHEN k % 17 <> 0 THEN p_retailprice ELSE 0 END::DECIMAL(18,2)::DECIMAL(18,4) AS r, CASE WHEN k % 19 = 0 THEN 123.45 ELSE 0 END::DECIMAL(28,4) AS a,
+  CASE WHEN lv THEN list_filter([l1, l2, l3], lambda x: x IS NOT NULL) ELSE [] END AS levels, CASE WHEN NOT lv AND k % 5 = 0 THEN 'Bill ' || (k % 7) END AS bc, CASE WHEN NOT lv AND k % 8 = 0 THEN 'Class ' || (k % 4) END AS sc FROM l
+  UNION ALL SELECT workbook, sheet, (3 * k + 5)::INT, 'Note ' || p_name, '', 0, 0, 0, [], NULL, NULL FROM p WHERE p_size % 4 = 1 UNION ALL SELECT workbook, sheet, (3 * k + 6)::INT, 'SECTION ' || p_brand, '', 0, 0, 0, [], NULL, NULL FROM p WHERE p_size % 9 = 0),
+t AS (SELECT *, line <> 'Description' AND (q <> 0 OR r <> 0 OR a <> 0) AS item, line LIKE 'SECTION %' AS names FROM i),
+c AS (SELECT *, coalesce(last_value(coalesce(bc, levels[-1]) IGNORE NULLS) OVER w, sheet) AS bill, coalesce(last_value(CASE WHEN names THEN line ELSE coalesce(sc, CASE WHEN len(levels) >= 3 THEN levels[-2] WHEN len(levels) = 2 THEN levels[1] END) END IGNORE NULLS) OVER w, '') AS section,
+  coalesce(sum((item OR names)::INT) OVER (PARTITION BY workbook, sheet ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM t WINDOW w AS (PARTITION BY workbook, sheet ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+x AS (SELECT workbook, sheet, block, string_agg(line, ' ' ORDER BY row) FILTER (NOT item AND NOT names AND line <> 'Description') AS texts FROM c GROUP BY ALL)
+SELECT workbook, sheet, row, bill, section, array_to_string(levels, ' / ') AS path, code, line, concat_ws(' ', texts, line) AS description, q::DOUBLE AS quantity, r::DOUBLE AS rate, (CASE WHEN a = 0 AND r > 0 AND q > 0 THEN r * q ELSE a END)::DECIMAL(28,4)::DOUBLE AS amount,
+  CASE WHEN q = 0 AND r > 0 THEN 'RateOnly' WHEN line LIKE 'Provisional sum%' THEN 'ProvisionalSum' ELSE 'Normal' END AS item_type FROM c JOIN x USING (workbook, sheet, block) WHERE item"""
+
+
+@query("sc1_nr13_wn3_wn4_ledger_items", LEDGER)
+def sc1_ledger(spark, d):
+    rows = X.flat_items(X.demo_ledger(table(spark, d, "part"))).select("workbook", "sheet", "row", "bill", "section", "path", "code", "line", "description", "quantity", "rate", "amount", "item_type")
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("quantity", "rate", "amount")})
+
+
+@query("nr6_nr7_sc5_ledger_headers", f"SELECT DISTINCT {BOOK}, 3 AS header, true AS found, lv + 3 AS code, lv + 4 AS description, lv + 5 AS unit, lv + 6 AS quantity, lv + 7 AS rate, lv + 8 AS amount, CASE WHEN lv = 0 THEN 1 END AS bill, CASE WHEN lv = 0 THEN 2 END AS section, CASE WHEN lv = 1 THEN '1,2,3' ELSE '' END AS hierarchy FROM (SELECT *, (p_type = 'STANDARD')::INT AS lv FROM part)")
+def nr6_ledger(spark, d):
+    """Headings over two rows, with levels, and Arabic ones."""
+    h = X.resolve_headers(X.demo_ledger(table(spark, d, "part")))
+    return h.select("workbook", "sheet", "header", "found", "code", "description", "unit", "quantity", "rate", "amount", "bill", "section", F.array_join(F.col("hierarchy").cast("array<string>"), ",").alias("hierarchy"))
+
+
 @query("nr6_sc5_wn9_header_columns", f"SELECT DISTINCT {BOOK}, 1 AS header, true AS found, 'EGP' AS currency, 1 AS code, 1 AS serial, 2 AS description, 3 AS unit, 4 AS quantity, 5 AS rate, 6 AS amount, NULL::INT AS bill, NULL::INT AS section, '' AS hierarchy FROM part")
 def nr6(spark, d):
     h = X.resolve_headers(X.demo_cells(table(spark, d, "part"), hierarchical=False))

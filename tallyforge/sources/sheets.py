@@ -88,6 +88,39 @@ def demo_cells(part: DataFrame, hierarchical: bool) -> DataFrame:
     return out.select("workbook", "sheet", "row", (F.col("col") + 1).alias("col"), "c.raw", "c.formula")
 
 
+#: Headings of the three kinds of demo sheets: bill and section columns, levels, Arabic.
+LISTED = ["Bill No", "Section", "Item", "Description", "Unit", "Qty", "Unit Rate", "Amount"]
+LEVELLED = ["Level 1", "Level 2", "Level 3", "Item", "Description", "Unit", "Qty", "Unit Rate", "Amount"]
+ARABIC = ["الباب", "مجموعة", "رقم البند", "الوصف", "الوحدة", "الكمية", "سعر الوحدة", "الإجمالي"]
+
+
+def demo_ledger(part: DataFrame) -> DataFrame:
+    """Parts as cells of flat sheets of three kinds, with texts and section rows between the items.
+
+    A part k takes rows 3 k + 5 (a text), + 6 (a section) and + 7 (the item); headings are in row 3, with levels the rate
+    and the amount have theirs in row 4.
+    """
+    c, k = F.col, F.col("p_partkey")
+    kind = F.when(c("p_type") == "STANDARD", "levels").when(c("p_type") == "PROMO", "arabic").otherwise("listed")
+    p = part.select("*", F.concat(F.lit("W"), (k % 3).cast("string")).alias("workbook"), c("p_type").alias("sheet"), kind.alias("kind"))
+    text = lambda cond, v: F.when(cond, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in v]))
+    listed = [text(k % 5 == 0, ["Bill ", k % 7]), text(k % 8 == 0, ["Class ", k % 4])]
+    levels = [text(k % 2 == 0, ["Works"]), F.when(k % 10 == 0, "WORKS").otherwise(text(k % 3 != 0, ["Zone ", k % 3])), text(k % 4 == 0, ["Part ", k % 5])]
+    description = F.when(k % 37 == 0, "Description").when(k % 11 == 0, F.concat(F.lit("Provisional sum for "), c("p_name"))).otherwise(c("p_name"))
+    figures = [F.when(k % 6 != 0, c("p_brand")), description, F.lit("m2"), F.when(k % 13 != 0, c("p_size").cast("string")), F.when(k % 17 != 0, c("p_retailprice").cast("decimal(18,2)").cast("string")), F.when(k % 19 == 0, "123.45")]
+    put = lambda front, shown: F.when(c("kind") == "levels", F.array(*front[1], *shown)).otherwise(F.array(*front[0], *shown))
+    null = F.lit(None).cast("string")
+    alone = lambda v: put(([null] * 2, [null] * 3), [null, v])
+    rows = [(3 * k + 5, c("p_size") % 4 == 1, alone(F.concat(F.lit("Note "), c("p_name")))), (3 * k + 6, c("p_size") % 9 == 0, alone(F.concat(F.lit("SECTION "), c("p_brand")))), (3 * k + 7, F.lit(True), put((listed, levels), figures))]
+    body = [p.where(when).select("workbook", "sheet", row.cast("int").alias("row"), v.alias("v")) for row, when, v in rows]
+    words = lambda ws: F.array(*[F.lit(w) if w else null for w in ws])
+    head = p.select("workbook", "sheet", "kind").distinct()
+    first = F.when(c("kind") == "levels", words([*LEVELLED[:-2], None, None])).when(c("kind") == "arabic", words(ARABIC)).otherwise(words(LISTED))
+    heads = [head.select("workbook", "sheet", F.lit(3).alias("row"), first.alias("v")), head.where("kind = 'levels'").select("workbook", "sheet", F.lit(4).alias("row"), words([None] * 7 + LEVELLED[-2:]).alias("v"))]
+    every = reduce(DataFrame.unionByName, [*body, *heads])
+    return every.select("workbook", "sheet", "row", F.posexplode("v").alias("col", "raw")).where("raw is not null").select("workbook", "sheet", "row", (c("col") + 1).alias("col"), "raw", null.alias("formula"))
+
+
 def header_roles(x: Column) -> Column:
     """NR7: roles whose pattern the cell fits, as an array."""
     t = F.trim(F.coalesce(x, F.lit("")))
@@ -199,20 +232,76 @@ def resolve_headers(cells: DataFrame, rows: int = FLAT_ROWS) -> DataFrame:
     return cells.where((F.col("row") <= rows) & F.col("raw").isNotNull()).select("workbook", "sheet", "row", "col", "raw").groupBy("workbook", "sheet").applyInPandas(one, HEADERS)
 
 
+# Beginnings of a text that names a section, texts that repeat a heading, words that tell an item's type.
+SECTION_STARTS = ["section", "bill no", "part ", "division", "باب", "قسم"]
+HEADING_TEXTS = ["description", "الوصف", "البيان", "bill item description"]
+RATE_ONLY, PROVISIONAL, LUMP = ["rate only", "سعر فقط"], ["provisional sum", "مبلغ احتياطي"], "مقطوعية"
+VALUES = ["code", "serial", "description", "unit", "quantity", "rate", "amount", "bill", "section", "number_off", "note"]
+
+
 def _wide(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per sheet row below its header, roles as columns."""
-    roles = ["code", "description", "unit", "quantity", "rate", "amount"]
+    """One row per sheet row below its header: each role's text, and the texts of the hierarchy columns from left to right."""
     j = cells.join(headers, ["workbook", "sheet"]).where(F.col("row") > F.when(F.col("found"), F.col("header")).otherwise(0))
-    return j.groupBy("workbook", "sheet", "row").agg(*[F.max(F.when(F.col("col") == F.col(r), F.col("raw"))).alias(f"v_{r}") for r in roles]).selectExpr("workbook", "sheet", "row", *[f"v_{r} as {r}" for r in roles])
+    level = F.when(F.array_contains("hierarchy", F.col("col")) & (F.trim("raw") != ""), F.struct("col", F.trim("raw").alias("raw")))
+    known = [r for r in VALUES if r in headers.columns]
+    roles = [F.max(F.when(F.col("col") == F.col(r), F.col("raw"))).alias(f"v_{r}") for r in known]
+    w = j.groupBy("workbook", "sheet", "row").agg(*roles, F.array_sort(F.collect_list(level)).alias("levels"), F.first("currency").alias("currency"))
+    return w.select("workbook", "sheet", "row", "currency", F.transform("levels", lambda x: x["raw"]).alias("levels"), *[F.col(f"v_{r}").alias(r) for r in known])
 
 
-def flat_items(cells: DataFrame) -> DataFrame:
-    """SC1, SC3: priced lines of flat sheets; non-bill sheets and metadata rows go, a missing amount is rate x quantity."""
-    w = _wide(cells.where(~R.non_bill(F.col("sheet"))), resolve_headers(cells)).where(~R.metadata_row(F.col("code"), F.col("description")))
-    q, r, a = (T.parse_decimal(F.col(c)).cast("decimal(18,4)") for c in ("quantity", "rate", "amount"))
-    out = w.select("workbook", "sheet", "row", F.coalesce("code", F.lit("")).alias("code"), "description", T.normalise_description(F.col("description")).alias("normalised"), R.canonical_unit(F.col("unit")).alias("unit"), q.alias("quantity"), r.alias("rate"), a.alias("amount"))
-    out = out.withColumn("amount", F.when(F.col("amount") == 0, (F.col("rate") * F.col("quantity")).cast("decimal(28,4)")).otherwise(F.col("amount").cast("decimal(28,4)")))
-    return out.where("quantity > 0 or rate > 0").withColumn("id", F.concat_ws("_", F.lit("U"), "workbook", "sheet", "row", "code"))
+def _once(levels: Column) -> Column:
+    """The levels without repetitions, whatever their case."""
+    low = F.transform(levels, F.lower)
+    return F.filter(levels, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def flat_items(cells: DataFrame, columns: dict[str, int] | None = None) -> DataFrame:
+    """SC1, SC3, NR13, WN3, WN4: the items of flat sheets, whose rows are read in order.
+
+    Bill and section are carried down: a bill from its column or the last hierarchy level, a section from its column, the
+    level above or a row that names one.  Texts without figures gather in front of the next item of their section.  A
+    missing amount is rate x quantity x number off.  Non-bill sheets, metadata rows and repeated headings are no items.
+    columns: column numbers (from 1) by role that replace what the headings say; number_off and note are known this way only.
+
+    All by columns: what is carried down runs along a sheet, which the format limits to 1,048,576 rows, and texts meet
+    their item in a grouping by block.
+    """
+    c = F.col
+    none = F.lit(None).cast("int")
+    headers = resolve_headers(cells).withColumns({r: F.lit(k) for r, k in {**{r: none for r in VALUES if r not in COLUMNS}, **(columns or {})}.items()})
+    w = _wide(cells.where(~R.non_bill(c("sheet"))), headers)
+    text = lambda x: F.trim(F.coalesce(c(x), F.lit("")))
+    number = lambda x: F.coalesce(T.parse_decimal(c(x)).cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
+    w = w.select(
+        "workbook", "sheet", "row", "currency", _once(c("levels")).alias("levels"), F.coalesce(F.nullif(text("code"), F.lit("")), text("serial")).alias("code"), text("serial").alias("serial"), text("description").alias("description"), R.canonical_unit(c("unit")).alias("unit"),
+        number("quantity").alias("quantity"), number("rate").alias("rate"), number("amount").alias("amount"), text("bill").alias("bill"), text("section").alias("section"), F.greatest(F.bround(T.parse_decimal(c("number_off"))).cast("int"), F.lit(0)).alias("off"), F.lower(text("note")).alias("note"),
+    )
+    w = w.withColumn("number_off", F.when(c("off") > 0, c("off")).otherwise(1)).drop("off")
+    low, n = F.lower("description"), F.size("levels")
+    blank = (c("description") == "") & (c("rate") == 0) & (c("quantity") == 0)
+    read = ~(blank | low.isin(HEADING_TEXTS) | R.metadata_row(c("code"), c("description")))
+    words = read & (c("quantity") == 0) & (c("rate") == 0) & (c("amount") == 0) & (c("description") != "")
+    names = words & low.rlike("^(" + "|".join(SECTION_STARTS) + ")")
+    w = w.withColumns({"_item": read & ~words, "_names": names, "_words": words & ~names})
+    level = lambda k: F.element_at("levels", k)
+    w = w.withColumns({
+        "_bill": F.coalesce(F.nullif("bill", F.lit("")), F.when(n > 0, F.get("levels", n - 1))), "_section": F.coalesce(F.when(c("_names"), c("description")), F.nullif("section", F.lit("")), F.when(n >= 3, F.get("levels", n - 2)).when(n == 2, level(1))),
+        "path": F.array_join("levels", " / "),
+    })
+    down = Window.partitionBy("workbook", "sheet").orderBy("row")
+    so_far, before = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    w = w.withColumns({"bill": F.coalesce(F.last("_bill", ignorenulls=True).over(so_far), c("sheet")), "section": F.coalesce(F.last("_section", ignorenulls=True).over(so_far), F.lit("")), "block": F.coalesce(F.sum((c("_item") | c("_names")).cast("int")).over(before), F.lit(0))})
+    item = F.struct("row", "bill", "section", "path", "code", "serial", c("description").alias("line"), "unit", "quantity", "rate", "amount", "number_off", "note", "currency")
+    g = w.groupBy("workbook", "sheet", "block").agg(F.array_sort(F.collect_list(F.when(c("_words"), F.struct("row", "description")))).alias("texts"), F.max(F.when(c("_item"), item)).alias("i")).where("i is not null").select("workbook", "sheet", "texts", "i.*")
+    full = F.trim(F.concat_ws(" ", F.transform("texts", lambda x: x["description"]), F.array("line")))
+    has = lambda x, words: reduce(lambda p, q: p | q, [x.contains(v) for v in words])
+    line = F.lower("line")
+    kind = F.when(has(c("note"), RATE_ONLY) | ((c("quantity") == 0) & (c("rate") > 0)), "RateOnly").when(has(line, PROVISIONAL) | (line.contains(LUMP) & (c("rate") == 0)), "ProvisionalSum").otherwise("Normal")
+    amount = F.when((c("amount") == 0) & (c("rate") > 0) & (c("quantity") > 0), (c("rate") * c("quantity") * c("number_off")).cast("decimal(28,4)")).otherwise(c("amount").cast("decimal(28,4)"))
+    kept = lambda x: F.when(c(x) >= 0, c(x)).alias(x)
+    return g.withColumns({"description": full, "amount": amount}).select(
+        F.concat_ws("_", F.lit("U"), "workbook", "sheet", "row", "code").alias("id"), "workbook", "sheet", "row", "bill", "section", "path", "code", "serial", "line", "description", T.normalise_description(c("description")).alias("normalised"), "unit", "quantity", kept("rate"), kept("amount"), "number_off", "currency", kind.alias("item_type"),
+    )
 
 
 def carried_blocks(rows: DataFrame, sheet: list[str], order: list[str], priced: Column, heading: Column) -> DataFrame:
