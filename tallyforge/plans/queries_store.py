@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import store as S
+from ..operators import versions as V
+from ..operators.checkpoints import shared_folder
 from ..sources import sheets as X
 from .adapters import over_base, pairs, source_items, table, target_items
 from .queries_scalar import DRIFT_SQL, FL1_SQL, RATE_SQL, norm_sql, q
@@ -159,6 +161,37 @@ def db5(spark, d):
     return S.upserted(e, "key", "version").select("key", "value")
 
 
+def kept_store(spark, d):
+    """A store after a row of commits: two snapshots in the first layout, rates replaced, the layout raised, an audit trail in two parts."""
+    st = V.Store(spark, shared_folder(spark, "store"), buckets=16)
+    st.migrate(1)
+    part = table(spark, d, "part").selectExpr("cast(p_partkey as string) as Id", "p_type as BillNumber", "p_brand as ItemCode", "p_name as Description", "cast(p_retailprice as double) as UnitRate", "p_size", "p_partkey")
+    header = lambda code: spark.range(1).select(F.lit(code).alias("ProjectCode"), F.lit("R0").alias("RevisionCode"))
+    V.save_snapshot(st, header("A"), part.drop("p_size", "p_partkey"))
+    V.save_snapshot(st, header("B"), part.where("p_size % 2 = 0").drop("p_size", "p_partkey"))
+    # each third item of the first snapshot twice, the later rate stays; some that were not there
+    newer = lambda by, n: part.where("p_partkey % 3 = 0").selectExpr("concat(case when p_partkey % 9 = 0 then '3_' else '1_' end, Id) as Id", "cast(1 as bigint) as RevisionId", "BillNumber", f"UnitRate * {by} as UnitRate", f"{n} as n")
+    st.run(lambda t: t.replace("SnapshotItems", newer(2, 1).unionByName(newer(3, 2)), "n"))
+    st.run(lambda t: t.delete("SnapshotItems", part.where("p_partkey % 7 = 0").select(F.concat(F.lit("2_"), "Id").alias("Id"))))
+    st.migrate()
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("ItemId"), F.col("event_type").alias("Action"), F.col("event_id").cast("string").alias("Reason"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("Timestamp"))
+    for odd in (0, 1):
+        st.run(lambda t: t.add("ItemAuditTrail", log.where(F.col("Reason").cast("bigint") % 2 == odd), "Timestamp"))  # noqa: B023
+    return st
+
+
+@query("db1_db5_sk10_store_items", """WITH p AS (SELECT p_partkey AS k, p_retailprice AS r, p_size, p_type FROM part), a AS (SELECT '1_' || k AS Id, 1::BIGINT AS RevisionId, p_type, r FROM p UNION ALL SELECT '2_' || k, 2, p_type, r FROM p WHERE p_size % 2 = 0 AND k % 7 <> 0),
+n AS (SELECT CASE WHEN k % 9 = 0 THEN '3_' ELSE '1_' END || k AS Id, 1::BIGINT AS RevisionId, p_type, r * 3 AS r FROM p WHERE k % 3 = 0)
+SELECT Id, RevisionId, p_type AS BillNumber, r::DOUBLE AS UnitRate FROM n UNION ALL SELECT Id, RevisionId, p_type, r::DOUBLE FROM a WHERE Id NOT IN (SELECT Id FROM n)""")
+def db1_store(spark, d):
+    return kept_store(spark, d).read("SnapshotItems").select("Id", "RevisionId", "BillNumber", "UnitRate")
+
+
+@query("db12_sk10_store_audit", "SELECT row_number() OVER (ORDER BY event_id % 2, event_id) AS AuditId, user_id::VARCHAR AS ItemId, event_type AS Action, NULL::DOUBLE AS NewRate FROM events")
+def db12_store(spark, d):
+    return kept_store(spark, d).read("ItemAuditTrail").select("AuditId", "ItemId", "Action", "NewRate")
+
+
 @query("db11_preset_upsert", "WITH o AS (SELECT c_custkey AS name, c_acctbal AS v FROM customer), n AS (SELECT s_suppkey AS name, s_acctbal AS v FROM supplier) SELECT * FROM n UNION ALL SELECT * FROM o WHERE name NOT IN (SELECT name FROM n)")
 def db11(spark, d):
     old, new = table(spark, d, "customer").selectExpr("c_custkey as name", "c_acctbal as v"), table(spark, d, "supplier").selectExpr("s_suppkey as name", "s_acctbal as v")
