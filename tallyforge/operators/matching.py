@@ -51,7 +51,7 @@ def token_candidates(targets: DataFrame, sources: DataFrame, k: int = TOP) -> Da
     many_t, many_s = tgt.join(few, "scope", "left_anti"), src.join(few, "scope", "left_anti")
     weigh = lambda df, n: F.when((n > 20) & (df > F.floor(n * COMMON_SHARE)), W_COMMON).when(df <= RARE, W_RARE).otherwise(W_TOKEN)
     bonus = lambda a, b: F.when((a != "Unknown") & (a == b), W_DIMENSION).otherwise(0)
-    found = cut(top_terms(many_t, many_s, k, weigh, [W_COMMON, W_TOKEN, W_RARE], W_CODE, bonus, W_DIMENSION, lambda hits, a, b: F.lit(True)))
+    found = cut(top_terms(many_t, many_s, k, weigh, [W_COMMON, W_TOKEN, W_RARE], W_CODE, bonus, W_DIMENSION, lambda hits, a, b: F.lit(True), True))
     free = many_t.where("kind <> 'Unknown'").join(found.select("scope", "t").distinct(), ["scope", "t"], "left_anti")
     pool = first_k(many_s.select("scope", "kind", "s"), ["scope", "kind"], ["s"], k)
     rest = free.join(pool, ["scope", "kind"]).select("scope", "t", "s", F.lit(0).cast("long").alias("hits"), "rank")
@@ -66,7 +66,7 @@ def overlap_candidates(targets: DataFrame, sources: DataFrame, k: int = 60) -> D
     """
     scoped = "scope" in targets.columns
     put = lambda df: df.select(*[c for c in df.columns if c in ("scope", "t", "s", "tokens")], F.col("unit").alias("kind"))
-    out = top_terms(put(targets), put(sources), k, lambda df, n: F.lit(1), [1], 0, lambda a, b: F.lit(0), 0, lambda hits, a, b: R.units_compatible(a, b) | (hits >= 2))
+    out = top_terms(put(targets), put(sources), k, lambda df, n: F.lit(1), [1], 0, lambda a, b: F.lit(0), 0, lambda hits, a, b: R.units_compatible(a, b) | (hits >= 2), False)
     return out if scoped else out.drop("scope")
 
 
@@ -204,7 +204,7 @@ def assign_in_order(edges: DataFrame) -> DataFrame:
     edges: scope, t, s, weight, tpos, spos (relative positions); nearer positions add up to 15.
     """
     fit = F.col("weight") + (1 - F.abs(F.col("tpos") - F.col("spos"))) * 15
-    e = edges.select("scope", "t", F.struct("tpos", "t").alias("tpos"), "s", "spos", fit.alias("fit"), F.lit(True).alias("takes"), F.lit(0).alias("hits"), F.lit(False).alias("pooled"), F.lit(True).alias("counts"))
+    e = edges.select("scope", "t", F.struct("tpos", "t").alias("tpos"), "s", "spos", fit.alias("fit"), F.lit(True).alias("takes"))
     return assignment.in_order(e)[0].select("scope", "t", "s", "fit")
 
 
