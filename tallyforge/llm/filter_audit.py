@@ -25,9 +25,8 @@ def text_fails(text: Column) -> Column:
     """Bits 1, 2, 4, 8: whether a text fails A, B, C, D."""
     bit = lambda cond, v: F.when(cond, v).otherwise(0)
     words = F.filter(F.split(text, SPACE_RUN, -1), lambda w: w != "")
-    few = F.size(words) < MIN_WORDS
-    dull = 100 * F.size(F.array_distinct(words)) < DISTINCT_PERCENT * F.size(words)
-    loud = 100 * F.regexp_count(text, F.lit("[A-Z]")) > CAPITALS_PERCENT * F.char_length(text)
+    n, different, capitals, length = (x.cast("bigint") for x in (F.size(words), F.size(F.array_distinct(words)), F.regexp_count(text, F.lit("[A-Z]")), F.char_length(text)))
+    few, dull, loud = n < MIN_WORDS, 100 * different < DISTINCT_PERCENT * n, 100 * capitals > CAPITALS_PERCENT * length
     return bit(few, 1) + bit(dull, 2) + bit(loud, 4) + bit(text.rlike(MARKS), 8)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, hot_join
 
 #: Components are whole numbers up to this size, so that no score of up to 128 dimensions leaves 64 bits.
-LARGEST = 1 << 28
+LARGEST = (1 << 28) - 1
 #: Cells of a dimension, and the most vectors its bounds between cells are taken from (every row is coded).
 CELLS, SAMPLE = 64, 20_000
 #: Anchors and rows of a tile; of a label's tile.
@@ -173,8 +173,8 @@ def first_in_windows(pairs: DataFrame, windows: DataFrame, anchors: DataFrame, r
 def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = POSITIVES, negatives: int = NEGATIVES, tile: tuple[int, int] = TILE, cells: int = CELLS) -> DataFrame:
     """Per (anchor_id, positive_id, rank): negative_id, positive_score, negative_score.
 
-    Rows with a null id, label or vector or a component that is null or not finite take no part.  Components beyond
-    2**28 after scaling count as that.  Repeated rows are one; of rows that share an id the one with the least label and
+    Rows with a null id, label or vector or a component that is null or not finite take no part.  Components of
+    2**28 and more after scaling count as one less.  Repeated rows are one; of rows that share an id the one with the least label and
     vector takes part.  Vectors of different lengths have no score with each other.  Of equal scores the smaller id comes
     first.  Anchors without positives, or positives without a row in their window, give no row; so does an empty table.
     Of equal vectors of one label only the first ids that can be wanted enter the tiles, which is exact: they tie
@@ -197,7 +197,7 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = POSITIV
 
     # 50 p <= 100 n <= 95 p in whole numbers
     pos = cut(pos.select("anchor", F.col("rank").alias("window"), F.col("row").alias("positive"), F.col("score").alias("ps")))
-    half, most_ = F.expr("(ps + pmod(ps, 2)) div 2"), F.expr("(19 * ps - pmod(19 * ps, 20)) div 20")
+    half, most_ = F.expr("cast(ceil(cast(ps as decimal(20,0)) / 2) as bigint)"), F.expr("cast(floor(cast(ps as decimal(20,0)) * 19 / 20) as bigint)")
     w = cut(pos.select("anchor", "window", "positive", "ps", half.alias("least"), most_.alias("most")).where("least <= most"))
     a = anchors.join(w.groupBy(F.col("anchor").alias("id")).agg(F.collect_list(F.struct("least", "most")).alias("windows")), "id")  # at most ``positives`` a row
     neg = first_in_windows(candidates(a, codes, bounds, False, negatives, tile), w.select("anchor", "window", "least", "most"), anchors, rows, negatives)

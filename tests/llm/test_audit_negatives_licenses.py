@@ -79,7 +79,7 @@ def plain_negatives(rows, every=50, positives=5, negatives=3):
     for i, v, label in rows:
         if i is None or v is None or label is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        c = ((label + 1) % 10 if i % 7 == 0 else label, [min(1 << 28, max(-(1 << 28), math.floor(256 * min(1 << 28, max(-(1 << 28), x))))) for x in v])
+        c = ((label + 1) % 10 if i % 7 == 0 else label, [min(hard_negatives.LARGEST, max(-hard_negatives.LARGEST, math.floor(256 * min(1 << 28, max(-(1 << 28), x))))) for x in v])
         ok[i] = min(ok.get(i, c), c)
     out = []
     for a in (i for i in ok if i % every == 0):
@@ -104,7 +104,7 @@ def vectors():
         elif i % 5 == 0:
             v = [c + rng.uniform(-0.01, 0.01) for c in centre]
         rows.append((i, v, i % 4))
-    rows += [(1000, None, 1), (1050, [0.1] * 6, None), (1100, [0.1, None, 0.1, 0.1, 0.1, 0.1], 1), (1150, [float("nan")] * 6, 1), (1200, [float("inf")] * 6, 2), (None, copy, 1), (1250, [0.0] * 6, 1), (1300, [0.5] * 3, 1), (1301, [0.4] * 3, 1), (1303, [0.3] * 3, 2), (1350, [], 1), (1351, [], 1), (1400, [3e30] * 6, 2), (1401, [2e30] * 6, 2)]
+    rows += [(1000, None, 1), (1050, [0.1] * 6, None), (1100, [0.1, None, 0.1, 0.1, 0.1, 0.1], 1), (1150, [float("nan")] * 6, 1), (1200, [float("inf")] * 6, 2), (None, copy, 1), (1250, [0.0] * 6, 1), (1300, [0.5] * 3, 1), (1301, [0.4] * 3, 1), (1303, [0.3] * 3, 2), (1350, [], 1), (1351, [], 1), (1400, [3e30] * 6, 2), (1401, [2e30] * 6, 2), (1450, [3e30] * 100, 3), (1451, [1e30] * 100, 3), (1453, [1e30] * 50 + [0.0] * 50, 1)]
     rows += [rows[50], rows[50], (100, [0.9] * 6, 0), (51, [0.2] * 6, 3)]
     return [(i, v, label, "v", "i", 0.5, "c") for i, v, label in rows]
 
