@@ -42,9 +42,13 @@ def audit_report(pairs: DataFrame) -> DataFrame:
 
 
 def linkage_map(pairs: DataFrame, rows: int = SHEET_ROWS) -> DataFrame:
-    """SK3, SO2."""
-    p = pairs.orderBy(F.col("s_id").isNotNull().desc(), (F.col("confidence") == "Exact").desc(), "bill", "row", "id").limit(rows)
-    return p.select("id", F.col("s_id").alias("source"), F.substring("s_description", 1, 100).alias("source_text"), "confidence")
+    """SK3, SO2: the first ``rows`` links, matched and exact ones first; ranked per range partition, not in one task."""
+    from .analytics import running
+
+    first = lambda cond: F.when(cond, 0).otherwise(1)
+    key = F.struct(first(F.col("s_id").isNotNull()).alias("a"), first(F.col("confidence") == "Exact").alias("b"), "bill", "row", "id")
+    p = pairs.select("id", F.col("s_id").alias("source"), F.substring("s_description", 1, 100).alias("source_text"), "confidence", key.alias("_k"), F.lit(1).alias("_one"))
+    return running(p, "_one", "_k").where(F.col("rank") <= rows).select("id", "source", "source_text", "confidence")
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 100) -> DataFrame:
