@@ -190,7 +190,7 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = POSITIV
     firsts = rows.withColumn("_n", F.row_number().over(Window.partitionBy("label", "v").orderBy("id"))).where(F.col("_n") <= most).drop("_n")
     codes = cut(approximations(firsts, bounds[0]))
 
-    everything = F.struct(F.lit(-(1 << 62)).alias("least"), F.lit(1 << 62).alias("most"))
+    everything = F.struct(F.lit(1 - (1 << 63)).alias("least"), F.lit((1 << 63) - 1).alias("most"))
     a = anchors.withColumn("windows", F.array(everything))
     one = anchors.select(F.col("id").alias("anchor"), F.lit(0).alias("window"), everything.alias("w")).select("anchor", "window", "w.*")
     pos = first_in_windows(candidates(a, codes, bounds, True, positives, (4 * tile[0], 4 * tile[1])), one, anchors, rows, positives)
