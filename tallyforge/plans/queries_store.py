@@ -234,12 +234,37 @@ def nr13(spark, d):
     return X.carried_blocks(c, ["conv_id"], ["turn", "role", "text"], priced, heading).groupBy("conv_id", "block").agg(F.max("heading").alias("heading"), F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.bool_or(priced).alias("priced"))
 
 
-@query("nr12_sc2_hierarchical_items")
-def nr12(spark, d):
-    return X.hierarchical_items(X.demo_cells(table(spark, d, "part"), hierarchical=True))
+BOOK = "'W' || (p_partkey % 3) AS workbook, p_type AS sheet"
 
 
-BOOK = "'W' || (p_partkey % 3) AS workbook, p_type AS sheet"
+@query("nr12_sc2_hierarchical_items", f"""SELECT 'B_' || p_type || '_' || (p_partkey + 2) || '_' || p_brand AS id, {BOOK}, (p_partkey + 2)::INT AS row, p_brand AS code, p_name AS description, 'm2' AS unit, p_size::DOUBLE AS quantity, p_retailprice::DOUBLE AS rate, round(p_size * p_retailprice, 2)::DOUBLE AS amount, 'Normal' AS item_type
+FROM part WHERE p_type IS NOT NULL AND p_size % 5 <> 0""")
+def nr12(spark, d):
+    i = X.hierarchical_items(X.demo_cells(table(spark, d, "part"), hierarchical=True))
+    return i.select("id", "workbook", "sheet", "row", "code", "description", "unit", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("quantity", "rate", "amount")], "item_type")
+
+
+#: The row machine over the rows of the demo tree, row by row.
+TREE = """WITH RECURSIVE p AS (SELECT *, p_partkey AS k, 'W' || (p_partkey % 3) AS workbook, CASE p_type WHEN 'PROMO' THEN 'Provisional Sums' ELSE p_type END AS sheet, CASE p_type WHEN 'LARGE' THEN 'EUR' ELSE 'EGP' END AS currency FROM part WHERE p_type NOT IN ('ECONOMY', 'SMALL')),
+c AS (SELECT workbook, sheet, currency, 4 * k + 5 AS row, CASE WHEN k % 18 = 0 THEN 'S' || (k % 4) ELSE '' END AS sn, '' AS cd, 'SECTION ' || p_brand AS tx, '' AS unit, 0 AS q, NULL::DOUBLE AS r, NULL::DOUBLE AS a, false AS ro, false AS ig FROM p WHERE k % 9 = 0
+  UNION ALL SELECT workbook, sheet, currency, 4 * k + 6, '', CASE WHEN k % 15 = 1 THEN 'much too long ' || p_brand ELSE p_brand END, 'Supply of', '', 0, NULL, NULL, false, false FROM p WHERE k % 3 <> 0
+  UNION ALL SELECT workbook, sheet, currency, 4 * k + 7, CASE WHEN k % 20 = 1 THEN (k % 100)::VARCHAR ELSE '' END, '', 'Note ' || p_name, '', 0, NULL, NULL, false, false FROM p WHERE k % 4 = 1
+  UNION ALL SELECT workbook, sheet, currency, 4 * k + 8, CASE WHEN k % 5 = 0 THEN (k % 50)::VARCHAR ELSE '' END, '', CASE WHEN k % 10 <> 7 THEN p_name ELSE '' END, CASE WHEN k % 7 <> 0 THEN 'm2' ELSE '' END, CASE WHEN k % 6 <> 0 THEN p_size ELSE 0 END, CASE WHEN k % 22 = 0 THEN 0 WHEN k % 11 <> 0 THEN round(p_retailprice, 2) END, CASE WHEN k % 13 <> 0 AND k % 33 = 11 THEN p_size * 2.5 END, k % 13 = 0, k % 12 = 0 FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY workbook, sheet ORDER BY row) AS i FROM c),
+w AS (SELECT DISTINCT workbook, sheet, 0::BIGINT AS i, '' AS section, '' AS code, '' AS serial, '' AS txt, 0::BIGINT AS start, false AS item, '' AS o_code, '' AS o_serial, '' AS o_text, 0::BIGINT AS o_start FROM n
+  UNION ALL SELECT workbook, sheet, i, section, CASE WHEN item THEN '' ELSE c1 END, CASE WHEN item THEN '' ELSE s1 END, CASE WHEN item THEN '' ELSE t1 END, CASE WHEN item THEN 0 ELSE st1 END, item, c1, CASE WHEN s1 <> '' THEN s1 ELSE c1 END, t1, st1
+  FROM (SELECT *, NOT sec AND ((q > 0 AND unit <> '') OR (unit <> '' AND (c1 <> '' OR ro)) OR (q > 0 AND c1 <> '')) AS item FROM (SELECT *, CASE WHEN sec THEN code WHEN coded THEN cd WHEN code = '' THEN s1 ELSE code END AS c1, CASE WHEN sec THEN txt WHEN coded THEN tx ELSE trim(txt || ' ' || tx) END AS t1, CASE WHEN sec THEN start WHEN coded OR (start = 0 AND tx <> '') THEN row ELSE start END AS st1
+    FROM (SELECT w.workbook, w.sheet, n.i, n.row, w.code, w.txt, w.start, n.cd, n.tx, n.unit, n.q, n.ro, CASE WHEN n.sn <> '' THEN n.sn ELSE w.serial END AS s1, n.cd = '' AND n.q = 0 AND n.unit = '' AND n.tx LIKE 'SECTION %' AS sec, n.cd <> '' AND length(n.cd) <= 12 AS coded, CASE WHEN sec THEN n.tx ELSE w.section END AS section FROM w JOIN n ON n.workbook = w.workbook AND n.sheet = w.sheet AND n.i = w.i + 1)))),
+o AS (SELECT n.*, w.section, o_code AS code, o_serial AS serial, CASE WHEN o_text = '' THEN tx ELSE o_text END AS description, CASE WHEN o_start = 0 THEN row ELSE o_start END AS start_row, CASE WHEN r > 0 THEN r WHEN r = 0 THEN 0 WHEN a > 0 AND q > 0 THEN a / q WHEN a IS NOT NULL OR ig THEN 0 END AS rate FROM w JOIN n USING (workbook, sheet, i) WHERE item)
+SELECT workbook, sheet, row::INT AS row, start_row::INT AS start_row, section, code, serial, description, unit, q::DOUBLE AS quantity, rate::DOUBLE AS rate, round(CASE WHEN rate IS NOT NULL THEN rate * q WHEN a > 0 THEN a WHEN ro THEN 0 END, 2)::DOUBLE AS amount, currency,
+  CASE WHEN sheet = 'Provisional Sums' THEN 'ProvisionalSum' WHEN ro OR (q = 0 AND NOT ig) THEN 'RateOnly' ELSE 'Normal' END AS item_type FROM o"""
+
+
+@query("nr12_sc2_tree_items", TREE)
+def nr12_tree(spark, d):
+    """Items whose descriptions run over rows, on sheets with Arabic and English headings, without headings, of provisional sums and of no bill."""
+    i = X.hierarchical_items(X.demo_tree(table(spark, d, "part")))
+    return i.select("workbook", "sheet", "row", "start_row", "section", "code", "serial", "description", "unit", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("quantity", "rate", "amount")], "currency", "item_type")
 
 
 @query("sc1_sc3_flat_items", f"""WITH p AS (SELECT {BOOK}, (p_partkey + 2)::INT AS row, p_brand AS code, p_name AS description, {norm_sql("p_name")} AS normalised, p_size::DECIMAL(18,4) AS quantity, p_retailprice::DECIMAL(18,2)::DECIMAL(18,4) AS rate, p_type AS s FROM part WHERE p_type IS NOT NULL)

@@ -1,7 +1,7 @@
 """Workbooks as cells, headers, items and profiles.
 
 A workbook file is read whole by one task (``binaryFile``, so any path Spark can read) and becomes rows (workbook,
-sheet, row, col, raw).  Only the sequential parts, per sheet, are Python.
+sheet, row, col, raw).  Only parsing and the resolution of flat headers, per file and sheet, are Python.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 
+SHEET = ["workbook", "sheet"]
 CELLS = "workbook string, sheet string, row int, col int, raw string, formula string"
 #: Rows in which a header is looked for.
 FLAT_ROWS, TREE_ROWS = 40, 60
@@ -74,7 +75,7 @@ def demo_cells(part: DataFrame, hierarchical: bool) -> DataFrame:
 
     Some quantities are in Arabic digits, some amounts formulas or broken cells.
     """
-    heads = ["Item", "Description", "Unit", "Qty", "Unit Rate", "Amount"]
+    heads = ["Item", "Description", "Unit", "Qty", "Rate" if hierarchical else "Unit Rate", "Amount"]
     size, gap = F.col("p_size"), (F.col("p_size") % 5 == 0) if hierarchical else F.lit(False)
     quantity = F.when(size % 6 == 0, F.translate(size.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(size.cast("string"))
     row = (F.col("p_partkey") + 2).cast("int")
@@ -121,6 +122,34 @@ def demo_ledger(part: DataFrame) -> DataFrame:
     return every.select("workbook", "sheet", "row", F.posexplode("v").alias("col", "raw")).where("raw is not null").select("workbook", "sheet", "row", (c("col") + 1).alias("col"), "raw", null.alias("formula"))
 
 
+def demo_tree(part: DataFrame) -> DataFrame:
+    """Parts as cells of hierarchical sheets: sections, code rows, notes and sums between the rows with figures.
+
+    A part k takes rows 4 k + 5 (a section), + 6 (its code), + 7 (a note or a sum) and + 8 (its figures); a title is in row 1,
+    headings are in row 3.  One type's sheets hold provisional sums, one's have no headings, one's are no bills.
+    """
+    c, k = F.col, F.col("p_partkey")
+    sheet = F.when(c("p_type") == "PROMO", "Provisional Sums").when(c("p_type") == "SMALL", "Cover").otherwise(c("p_type"))
+    p = part.where("p_type is not null").select("*", F.concat(F.lit("W"), (k % 3).cast("string")).alias("workbook"), sheet.alias("sheet"))
+    null = F.lit(None).cast("string")
+    figure = lambda x: F.format_string("%.2f", x)
+    section = [F.when(k % 18 == 0, F.concat(F.lit("S"), (k % 4).cast("string"))), null, F.concat(F.lit("SECTION "), c("p_brand")), null, null, null, null]
+    coded = [null, F.when(k % 15 == 1, F.concat(F.lit("much too long "), c("p_brand"))).otherwise(c("p_brand")), F.lit("Supply of"), null, null, null, null]
+    note = [F.when(k % 20 == 1, (k % 100).cast("string")), null, F.when(k % 4 == 1, F.concat(F.lit("Note "), c("p_name"))).otherwise("Total of works"), null, null, null, null]
+    quantity = F.when(k % 12 == 0, "Ignored").when(k % 6 != 0, c("p_size").cast("string"))
+    rate = F.when(k % 22 == 0, "0").when(k % 11 != 0, figure(c("p_retailprice")))
+    amount = F.when(k % 13 == 0, "Rate only").when(k % 33 == 11, figure(c("p_size") * F.lit(2.5)))
+    figures = [F.when(k % 5 == 0, (k % 50).cast("string")), null, F.when(k % 10 != 7, c("p_name")), F.when(k % 7 != 0, "m2"), quantity, rate, amount]
+    rows = [(5, k % 9 == 0, section), (6, k % 3 != 0, coded), (7, k % 4 % 2 == 1, note), (8, F.lit(True), figures)]
+    body = [p.where(when).select(*SHEET, (4 * k + n).cast("int").alias("row"), F.array(*v).alias("v")) for n, when, v in rows]
+    names = p.select(*SHEET, "p_type").distinct()
+    words = lambda ws: F.array(*[F.lit(w) if w else null for w in ws])
+    heads = F.when(c("p_type") == "LARGE", words(["S/N", "Item No.", "Description of works", "UOM", "Quantity", "Rate (EUR)", "Total"])).otherwise(words(["م", "كود", "البيان", "الوحدة", "الكمية", "سعر", "جملة"]))
+    body += [names.select(*SHEET, F.lit(1).alias("row"), words(["Project", "Description"]).alias("v")), names.where("p_type <> 'ECONOMY'").select(*SHEET, F.lit(3).alias("row"), heads.alias("v"))]
+    every = reduce(DataFrame.unionByName, body)
+    return every.select(*SHEET, "row", F.posexplode("v").alias("col", "raw")).where("raw is not null").select(*SHEET, "row", (c("col") + 1).alias("col"), "raw", null.alias("formula"))
+
+
 def header_roles(x: Column) -> Column:
     """NR7: roles whose pattern the cell fits, as an array."""
     t = F.trim(F.coalesce(x, F.lit("")))
@@ -310,61 +339,122 @@ def carried_blocks(rows: DataFrame, sheet: list[str], order: list[str], priced:
     return rows.withColumns({"heading": F.last(heading, ignorenulls=True).over(w), "block": (F.sum(priced.cast("int")).over(w) - priced.cast("int")).cast("long")})
 
 
-SECTION = re.compile(r"(?i)^(section|part|division|القسم|الجزء)\b")
-SUMMARY = re.compile(r"(?i)^(summary of|total of|grand total|vat|إجمالي)")
-
-
-def walk_rows(rows: Iterator[dict]) -> Iterator[dict]:
-    """NR12: the row machine of hierarchical sheets.
-
-    Text gathers until an anchor row (quantity with unit or code, or unit with code) emits an item; then code, text
-    and start are forgotten, the section is not.  rows: dicts with row, code, description, unit, quantity, rate, amount.
+# Headings of hierarchical sheets by role, in the order in which a cell is tried, and how a cell must meet them.
+TREE_HEADS = [
+    ("serial", "is", ["SN", "S/N", "S.N.", "S.N", "S.NO", "S.NO.", "مسلسل", "م"]),
+    ("code", "is", ["ITEM", "ITEM NO.", "ITEM NO", "ITEM CODE", "رقم", "كود", "بند"]),
+    ("description", "holds", ["DESCRIPTION", "PARTICULAR", "الوصف", "البيان", "تفاصيل", "المواصفات"]),
+    ("quantity", "starts", ["QTY", "QUANTITY", "الكمية", "الكميات"]),
+    ("unit", "is", ["UNIT", "UOM", "الوحدة", "وحدة", "وحدة القياس"]),
+    ("rate", "starts", ["RATE", "PRICE", "السعر", "الفئة", "سعر", "فئة"]),
+    ("amount", "starts", ["AMOUNT", "TOTAL", "الإجمالي", "القيمة", "المبلغ", "جملة"]),
+]
+# Beginnings of section rows; beginnings, parts and whole texts of rows that sum up; texts that repeat a heading.
+TREE_SECTIONS = ["SECTION", "BILL NO", "PART ", "CLASS ", "DIVISION", "قسم", "باب", "بند رئيسي", "أعمال", "مجموعة"]
+SUM_STARTS, SUM_PARTS, SUM_WHOLE = ["SUMMARY OF", "TOTAL OF", "إجمالي ", "GRAND TOTAL", "VAT "], ["EXCLUDING VAT", "INCLUDING VAT", "ضريبة"], ["VAT"]
+NO_SERIAL, NO_CODE, NO_TEXT, NO_UNIT = ["SN", "م"], ["ITEM", "م", "بند"], ["DESCRIPTION", "الوصف", "البيان"], ["unit", "الوحدة"]
+#: Longest serial number and code; sheet names and texts of provisional sums.
+SERIAL_LENGTH, CODE_LENGTH = 10, 12
+PS_NAMES, PS_TEXTS = ["provisional", "contingenc", "الاحتياطية", "احتياطي"], ["provisional sum", "مبلغ احتياطي", "مبالغ احتياطية"]
+
+
+def _meets(x: Column, how: str, words: list[str]) -> Column:
+    """Whether an upper-case text is, starts with or holds one of the words."""
+    if how == "is":
+        return x.isin(words)
+    one = {"starts": lambda w: x.startswith(w), "holds": lambda w: x.contains(w)}[how]
+    return reduce(lambda a, b: a | b, map(one, words))
+
+
+def tree_headers(cells: DataFrame) -> DataFrame:
+    """SC2: the header row, columns and currency of each hierarchical sheet; sheets without a header in 60 rows have no row.
+
+    The first row with a unit and a quantity or description, or with a description, a quantity and a rate or amount; of two
+    cells of a role in it the last counts.  The currency is the last one that a cell down to that row names.
     """
-    section, code, start, text = "", "", None, []
-    for r in rows:
-        c, d, u, qty = (r["code"] or "").strip(), (r["description"] or "").strip(), (r["unit"] or "").strip(), r["quantity"]
-        if SUMMARY.match(d):
-            continue
-        if not c and not u and not qty and SECTION.match(d):
-            section = d
-            continue
-        if c and len(c) <= 12:
-            code, text, start = c, [], r["row"]
-        if d:
-            text.append(d)
-            start = start or r["row"]
-        rate_only = "rate only" in f"{r['raw_rate']} {d}".lower()
-        if not ((qty > 0 and u) or (u and (code or rate_only)) or (qty > 0 and code)):
-            continue
-        ignored = "ignored" in str(r["raw_rate"]).lower()
-        zero = str(r["raw_rate"]).strip() in ("0", "0.0", "0.00")
-        rate = r["rate"] if r["rate"] > 0 else 0.0 if zero or ignored else r["amount"] / qty if r["amount"] > 0 and qty > 0 else None
-        whole = " ".join(text)
-        kind = "ProvisionalSum" if re.search(r"(?i)provisional|مبلغ احتياطي", whole) else "RateOnly" if rate_only or (qty == 0 and not ignored) else "Normal"
-        yield {"row": r["row"], "start_row": start or r["row"], "section": section, "code": code, "description": whole, "unit": u, "quantity": float(qty), "rate": rate, "item_type": kind}
-        code, text, start = "", [], None
+    c, roles = F.col, [r for r, _, _ in TREE_HEADS]
+    t = F.upper(F.trim("raw"))
+    role = F.coalesce(*[F.when(_meets(t, how, words), F.lit(r)) for r, how, words in TREE_HEADS])
+    money = F.when((t == "USD") | t.contains("(USD)"), "USD").when((t == "EUR") | t.contains("(EUR)") | t.contains("€"), "EUR")
+    top = cells.where((c("row") <= TREE_ROWS) & (F.trim("raw") != "")).select(*SHEET, "row", "col", role.alias("role"), money.alias("money"))
+    at = top.groupBy(*SHEET, "row").agg(*[F.max(F.when(c("role") == r, c("col"))).alias(r) for r in roles], F.max_by("money", F.when(c("money").isNotNull(), c("col"))).alias("money"))
+    has = {r: c(r).isNotNull() for r in roles}
+    whole = (has["unit"] & (has["quantity"] | has["description"])) | (has["description"] & has["quantity"] & (has["rate"] | has["amount"]))
+    # at most 60 rows a sheet
+    rows = at.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row", whole.alias("whole"), "money", *roles))).alias("rows"))
+    h = rows.withColumn("h", F.get(F.filter("rows", lambda r: r["whole"]), F.lit(0))).where("h is not null")
+    named = F.filter("rows", lambda r: (r["row"] <= c("h.row")) & r["money"].isNotNull())
+    h = h.select(*SHEET, c("h.row").alias("header"), F.lit(True).alias("found"), F.coalesce(F.try_element_at(named, F.lit(-1))["money"], F.lit("EGP")).alias("currency"), *[c(f"h.{r}").alias(r) for r in roles])
+    code = F.coalesce("code", "serial", F.lit(1))
+    serial = F.coalesce("serial", F.when(c("code") > 1, 1))
+    return h.select(*SHEET, "header", "found", "currency", code.alias("code"), serial.alias("serial"), *[F.coalesce(r, F.lit(DEFAULTS[r])).alias(r) for r in ("description", "quantity", "unit", "rate", "amount")], F.array().cast("array<int>").alias("hierarchy"))
 
 
 def hierarchical_items(cells: DataFrame) -> DataFrame:
-    """SC2: items of hierarchical sheets, one sheet a group (a sheet has at most a million rows)."""
-    w = _wide(cells.where(~R.non_bill(F.col("sheet"))), resolve_headers(cells, TREE_ROWS)).where(~R.metadata_row(F.col("code"), F.col("description")))
-    w = w.select("workbook", "sheet", "row", "code", "description", R.canonical_unit(F.col("unit")).alias("unit"), F.coalesce("rate", F.lit("")).alias("raw_rate"), *[T.parse_decimal(F.col(c)).cast("double").alias(c) for c in ("quantity", "rate", "amount")])
-    schema = "workbook string, sheet string, row int, start_row int, section string, code string, description string, unit string, quantity double, rate double, item_type string"
+    """SC2, NR12: items of hierarchical sheets, whose descriptions run over rows.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(walk_rows(pdf.sort_values("row").to_dict("records"))), columns=["row", "start_row", "section", "code", "description", "unit", "quantity", "rate", "item_type"])
-        out.insert(0, "sheet", pdf["sheet"].iloc[0])
-        out.insert(0, "workbook", pdf["workbook"].iloc[0])
-        return out
+    Text gathers until a row with a quantity or a unit closes an item: it needs both, or one of them and a code or serial
+    number seen since the last item, or a unit and the words rate only.  A new code forgets the text before it; an item
+    forgets code, serial number and text, but not the section.  Rows that sum up and rows of a tender's data are passed over.
+    Non-bill sheets are skipped unless they are their workbook's only sheet (of those with cells).
 
-    return w.groupBy("workbook", "sheet").applyInPandas(one, schema)
+    No machine runs over the rows.  A row with a quantity or unit ends what is known of codes and serial numbers whether it
+    closes an item or not (it fails only if nothing is known), so blocks between such rows are counted first; then which of
+    them are items follows, and texts meet their item by the number of items before and of codes so far.  All of it are
+    running windows along a sheet, which the format limits to 1,048,576 rows, over one shuffle.
+    """
+    c = F.col
+    sheets = cells.select(*SHEET).distinct().groupBy("workbook").agg(F.count("*").alias("_sheets"))
+    bills = cells.select(*SHEET).distinct().join(sheets, "workbook").where(~R.non_bill(c("sheet")) | (c("_sheets") == 1)).select(*SHEET)
+    w = _wide(cells, tree_headers(cells).join(bills, SHEET))
+    text = lambda x: F.trim(F.coalesce(c(x), F.lit("")))
+    raw = {x: text(x).alias(f"raw_{x}") for x in ("unit", "quantity", "rate", "amount")}
+    w = w.select(*SHEET, "row", "currency", text("serial").alias("serial"), text("code").alias("code"), text("description").alias("text"), R.canonical_unit(c("unit")).alias("unit"), *raw.values(), *[T.parse_decimal(c(x)).alias(x) for x in ("quantity", "rate", "amount")])
+    up = F.upper("text")
+    sums = _meets(up, "starts", SUM_STARTS) | _meets(up, "holds", SUM_PARTS) | _meets(up, "is", SUM_WHOLE)
+    w = w.where(~(R.metadata_row(c("code"), c("text")) | sums))
+    holds = lambda x, word: F.lower(x).contains(word)
+    w = w.withColumns({"_rate_only": holds("raw_amount", "rate only") | holds("raw_unit", "rate only"), "_unit": (c("unit") != "") & ~c("unit").isin(NO_UNIT), "_section": (c("code") == "") & (c("quantity") == 0) & (c("unit") == "") & _meets(up, "starts", TREE_SECTIONS)})
+    w = w.withColumns({
+        "_serial": F.when((c("serial") != "") & ~F.upper("serial").isin(NO_SERIAL) & (F.length("serial") <= SERIAL_LENGTH), c("serial")),
+        "_code": F.when(~c("_section") & (c("code") != "") & (F.length("code") <= CODE_LENGTH) & ~F.upper("code").isin(NO_CODE), c("code")),
+        "_text": F.when(~c("_section") & (c("text") != "") & ~up.isin(NO_TEXT), c("text")), "_closes": c("_unit") | (c("quantity") > 0),
+    })
+    down = Window.partitionBy(*SHEET).orderBy("row")
+    so_far, before = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda x, over: F.coalesce(F.sum(x.cast("int")).over(over), F.lit(0))
+    w = w.withColumns({"section": F.coalesce(F.last(F.when(c("_section"), c("text")), ignorenulls=True).over(so_far), F.lit("")), "_block": count(c("_closes"), before)})
+    within = Window.partitionBy(*SHEET, "_block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    w = w.withColumns({"_last_code": F.last("_code", ignorenulls=True).over(within), "_last_serial": F.last("_serial", ignorenulls=True).over(within)})
+    # without a code the serial number known at the first row that is no section stands for it
+    w = w.withColumn("item_code", F.coalesce("_last_code", F.first(F.when(~c("_section"), c("_last_serial")), ignorenulls=True).over(within)))
+    w = w.withColumn("_item", c("_closes") & ((c("_unit") & (c("quantity") > 0)) | (c("_unit") & c("_rate_only")) | c("item_code").isNotNull()))
+    w = w.withColumn("_piece", count(c("_item"), before) + count(c("_code").isNotNull(), so_far))
+    item = F.struct("row", "section", "item_code", F.coalesce("_last_serial", "item_code").alias("serial"), c("text").alias("line"), "unit", "quantity", "rate", "amount", "raw_quantity", "raw_rate", "raw_amount", "_rate_only", "currency")
+    g = w.groupBy(*SHEET, "_piece").agg(
+        F.array_sort(F.collect_list(F.when(c("_text").isNotNull(), F.struct("row", "_text")))).alias("texts"),
+        F.min(F.when(c("_code").isNotNull() | c("_text").isNotNull(), c("row"))).alias("start"), F.max(F.when(c("_item"), item)).alias("i"),
+    ).where("i is not null").select(*SHEET, "texts", "start", "i.*")
+    whole = F.array_join(F.transform("texts", lambda x: x["_text"]), " ")
+    g = g.withColumns({"description": F.when(whole == "", c("line")).otherwise(whole), "code": F.coalesce("item_code", F.lit("")), "ignored": holds("raw_rate", "ignored") | holds("raw_amount", "ignored") | holds("raw_quantity", "ignored")})
+    number = lambda x: c(x).rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$")
+    money = lambda x: x.cast("decimal(28,8)")
+    nought = money(F.lit(0))
+    rate = F.when(c("rate") > 0, c("rate")).when(number("raw_rate"), nought).when((c("amount") > 0) & (c("quantity") > 0), money(c("amount") / c("quantity"))).when(number("raw_amount") | c("ignored"), nought)
+    any_of = lambda x, words: reduce(lambda a, b: a | b, [F.lower(x).contains(v) for v in words])
+    kind = F.when(any_of("sheet", PS_NAMES) | any_of("description", PS_TEXTS), "ProvisionalSum").when(c("_rate_only") | ((c("quantity") == 0) & ~c("ignored")), "RateOnly").otherwise("Normal")
+    g = g.withColumns({"_read": rate, "item_type": kind})
+    total = F.when(c("_read").isNotNull(), money(c("_read") * c("quantity"))).when(c("amount") > 0, c("amount")).when(c("raw_amount") != "", nought)
+    return g.select(
+        F.concat_ws("_", F.lit("B"), "sheet", "row", "code").alias("id"), *SHEET, "row", F.coalesce("start", "row").alias("start_row"), c("sheet").alias("bill"), "section", F.concat_ws(" / ", F.regexp_replace("workbook", r"\.[^.]*$", ""), "sheet").alias("path"),
+        "code", F.coalesce("serial", "code").alias("serial"), "line", "description", T.normalise_description(c("description")).alias("normalised"), "unit", "quantity", c("_read").alias("rate"), total.alias("amount"), "currency", "item_type",
+    )
 
 
 #: Words above a header that tell a tender; column names and beginnings of sheet names of the pre-flight check.
 TENDER_WORDS = ["employer", "tender no", "tender title", "project", "engineer", "consultant", "owner", "client", "المالك", "الاستشاري", "المناقصة"]
 REQUIRED = ["Bill", "Section", "Description", "Unit", "Qty", "Rate", "Total"]
 PS_SHEETS = ["provisional sum", "مبلغ احتياطي", "مبالغ احتياطية"]
-SHEET = ["workbook", "sheet"]
 
 
 def profile(cells: DataFrame) -> DataFrame:

@@ -257,11 +257,59 @@ def test_header_prefers_composite_rate(spark):
     assert (h.code, h.description, h.unit, h.quantity, h.rate, h.amount) == (1, 2, 3, 4, 7, 8)
 
 
-def test_row_machine():
-    row = lambda r, **k: {"row": r, "code": "", "description": "", "unit": "", "quantity": 0.0, "rate": 0.0, "amount": 0.0, "raw_rate": "", **k}
-    rows = [row(1, description="Section A"), row(2, code="1.1", description="Concrete"), row(3, description="grade C35"), row(4, unit="m3", quantity=5.0, rate=10.0), row(5, description="Grand total"), row(6, code="1.2", description="Provisional sum", unit="sum", quantity=1.0, amount=500.0), row(7, code="1.3", description="Rate only item", unit="m", raw_rate="0")]
-    got = [(x["code"], x["description"], x["rate"], x["item_type"], x["start_row"], x["section"]) for x in X.walk_rows(rows)]
-    assert got == [("1.1", "Concrete grade C35", 10.0, "Normal", 2, "Section A"), ("1.2", "Provisional sum", 500.0, "ProvisionalSum", 6, "Section A"), ("1.3", "Rate only item", 0.0, "RateOnly", 7, "Section A")]
+def walked(rows):
+    """Row machine of one sheet, row by row: (row, start, section, code, serial, description)."""
+    section = code = serial = ""
+    text, start, out = [], 0, []
+    for r, sn, cd, tx, unit, q, note in rows:
+        if tx.startswith("Grand total"):
+            continue
+        serial = sn if sn and len(sn) <= 10 else serial
+        if not cd and not unit and not q and tx.lower().startswith("section"):
+            section = tx
+            continue
+        if cd and len(cd) <= 12:
+            code, text, start = cd, [], r
+        elif not code:
+            code = serial
+        if tx:
+            text.append(tx)
+            start = start or r
+        if (q and unit) or (unit and (code or note)) or (q and code):
+            out.append((r, start or r, section, code, serial or code, " ".join(text) or tx))
+            code, serial, text, start = "", "", [], 0
+    return out
+
+
+def test_row_machine(spark):
+    rng, sheets = random.Random(5), {}
+    for s in range(12):
+        sheets[f"S{s}"] = [(r, rng.choice(["", "", "", f"n{r}", "a serial too long"]), rng.choice(["", "", f"c{r}", "a code that is too long"]), rng.choice(["", "Section A", "Grand total", f"text {r}", f"text {r}"]), rng.choice(["", "", "m3"]), rng.choice([0, 0, 5]), rng.choice(["", "", "Rate only"])) for r in range(4, 4 + 12 * s)]
+    heads = ["S/N", "Item", "Description", "Unit", "Qty", "Rate", "Amount"]
+    cells = [("b.xlsx", s, 2, c, h) for s in sheets for c, h in enumerate(heads, 1)]
+    for s, rows in sheets.items():
+        for r, sn, cd, tx, unit, q, note in rows:
+            cells += [("b.xlsx", s, r, c, v) for c, v in ((1, sn), (2, cd), (3, tx), (4, unit), (5, str(q) if q else ""), (7, note)) if v]
+    df = spark.createDataFrame(cells, "workbook string, sheet string, row int, col int, raw string").withColumn("formula", F.lit(None).cast("string"))
+    got = {}
+    for x in X.hierarchical_items(df).collect():
+        got.setdefault(x["sheet"], []).append((x["row"], x["start_row"], x["section"], x["code"], x["serial"], x["description"]))
+    for s, rows in sheets.items():
+        assert sorted(got.get(s, [])) == walked(rows)
+    assert sum(map(len, got.values())) > 100
+
+
+def test_tree_rates_and_headers(spark):
+    rows = [("1.1", "Concrete", "m3", "5", "10", ""), ("1.2", "Provisional sum", "sum", "1", "", "500"), ("1.3", "Pipe", "m", "", "0", "Rate only"), ("1.4", "Pump", "no", "2", "Ignored", ""), ("1.5", "Cable", "m", "4", "", "10"), ("1.6", "Lamp", "no", "3", "", ""), ("1.7", "Duct", "m", "3", "-4", "")]
+    cells = [("b.xlsx", "Cover", 3, c, h) for c, h in enumerate(["Item", "Description", "Unit", "Qty", "Rate ($)", "Amount (EUR)"], 1)]
+    cells += [("b.xlsx", "Cover", 4 + r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row, 1) if v]
+    schema = "workbook string, sheet string, row int, col int, raw string"
+    df = spark.createDataFrame(cells, schema).withColumn("formula", F.lit(None).cast("string"))
+    # a sheet that is no bill is read where it is the only one
+    got = {x["code"]: (None if x["rate"] is None else float(x["rate"]), None if x["amount"] is None else float(x["amount"]), x["item_type"], x["currency"]) for x in X.hierarchical_items(df).collect()}
+    assert got == {"1.1": (10, 50, "Normal", "EUR"), "1.2": (500, 500, "ProvisionalSum", "EUR"), "1.3": (0, 0, "RateOnly", "EUR"), "1.4": (0, 0, "Normal", "EUR"), "1.5": (2.5, 10, "Normal", "EUR"), "1.6": (None, None, "Normal", "EUR"), "1.7": (0, 0, "Normal", "EUR")}
+    more = df.unionByName(spark.createDataFrame([("b.xlsx", "Bill 1", 70, 1, "Item"), ("b.xlsx", "Bill 1", 70, 2, "Description"), ("b.xlsx", "Bill 1", 70, 3, "Unit")], schema).withColumn("formula", F.lit(None).cast("string")))
+    assert X.hierarchical_items(more).count() == 0
 
 
 def test_history_search(spark):
