@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Fixed value: rows a worksheet can show below its headings.
 SHEET_ROWS = 1_048_490
 
@@ -29,26 +31,135 @@ def rate_cell_action() -> Column:
 def status() -> Column:
     """NR37."""
     c = F.col
-    return F.when(c("item_type") == "ProvisionalSum", "Shielded (PS)").when(c("is_vo"), "New Scope (VO)").when(c("approved") & c("injected_rate").isNotNull(), "Injected & Approved").otherwise("Unpriced / Note")
+    return F.when(c("item_type") == "ProvisionalSum", "Shielded (PS)").when(c("is_vo"), "New Scope (VO)").when(c("approved") & (c("injected_rate") > 0), "Injected & Approved").otherwise("Unpriced / Note")
+
+
+#: Rate columns where none is known, longest texts of the two reports, the row of their headings, a sheet's name.
+TARGET_RATE, SOURCE_RATE, AUDIT_TEXT, LINK_TEXT, HEAD_ROW, NO_SHEET = 7, 18, 120, 100, 7, "Sheet1"
+#: What the links of the reports say, and the mark of a copied source file.
+SAYS_PRICED, SAYS_SHIELDED, SAYS_LOOK, SAYS_SOURCE, SAYS_OPEN = "المقايسة", "محمي", "معاينة", "عرض سعر المقاول", "فتح وتحديد سعر المقاول"
+COPIED = "[Source_Priced]_"
+
+
+def shortened(x: Column, n: int) -> Column:
+    """A text of at most n characters, the last three of a longer one are dots."""
+    return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n - 3), F.lit("..."))).otherwise(x)
+
 
+def _linked(pairs: DataFrame, source_file: str) -> DataFrame:
+    """Pairs with the texts that both reports share: the rate cells of either side and references to them.
 
-def audit_report(pairs: DataFrame) -> DataFrame:
-    """SK2, SO1, LM3: numbered audit lines, priced first; numbering runs per range partition, not in one task."""
+    Columns used where present: rate_column, s_workbook, s_sheet, s_row, s_rate_column, s_code, rationale; without them a
+    source has no place that can be linked.
+    """
+    absent = {"rate_column": "int", "s_workbook": "string", "s_sheet": "string", "s_row": "int", "s_rate_column": "int", "s_code": "string", "rationale": "string"}
+    p = pairs.withColumns({k: F.lit(None).cast(t) for k, t in absent.items() if k not in pairs.columns})
+    c = F.col
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
+    file = lambda x: F.element_at(F.split(x, r"[/\\]"), -1)
+    quoted = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
+    place = lambda letter, row: F.concat(letter, row.cast("string"))
+    column = lambda x, default: T.column_letter(F.when(c(x) > 0, c(x)).otherwise(default))
+    target = filled(file(c("workbook")))
+    target = F.when(F.lower(target).endswith("_reconciled.xlsx"), target).otherwise(F.concat(F.regexp_replace(target, r"\.[^.]*$", ""), F.lit("_Reconciled.xlsx")))
+    source = F.coalesce(filled(file(c("s_workbook"))), F.lit(source_file))
+    p = p.withColumns({
+        "_sheet": F.coalesce(filled(c("sheet")), c("bill")), "_at": place(column("rate_column", TARGET_RATE), c("row")), "_has_source": c("s_id").isNotNull(), "_linked": c("s_id").isNotNull() & F.coalesce(c("s_row") > 0, F.lit(False)),
+        "_file": F.when(F.lower(source).startswith(COPIED.lower()), F.substr(source, F.lit(len(COPIED) + 1))).otherwise(source), "_s_at": place(column("s_rate_column", SOURCE_RATE), c("s_row")),
+    })
+    return p.withColumns({
+        "_ref": F.concat(F.coalesce(target, F.lit("")), F.lit("#"), quoted(c("_sheet")), F.lit("!"), c("_at")),
+        "_s_ref": F.concat(c("_file"), F.lit("#"), quoted(F.coalesce(filled(c("s_sheet")), F.lit(NO_SHEET))), F.lit("!"), c("_s_at")),
+    })
+
+
+def _jump(ref: str, shown: Column) -> Column:
+    """A cell that leads to a reference."""
+    return F.concat(F.lit('=HYPERLINK("'), F.col(ref), F.lit('", "'), shown, F.lit('")'))
+
+
+def _says(at: str, *words: Column) -> Column:
+    return F.concat(F.lit("[ "), F.col(at), F.lit(" ] "), *words)
+
+
+def audit_report(pairs: DataFrame, source_file: str = "Contractor_Priced_BOQ.xlsx") -> DataFrame:
+    """SK2, SO1, LM3: the fifteen columns of the audit report with each line's number and row in its sheet.
+
+    Approved prices first, then the rest behind one separating row, provisional sums last.  Links are formulas as text; an
+    amount that follows from a price is the product of the cells of its row.  Numbering runs per range partition.
+    """
     from .analytics import running
 
-    key = F.struct(F.when(F.col("injected_rate") > 0, 0).otherwise(1).alias("a"), (F.col("item_type") == "ProvisionalSum").cast("int").alias("b"), "bill", "row", "id")
-    rows = pairs.select("id", "sheet", "code", F.substring("description", 1, 120).alias("description"), F.col("quantity").cast("double"), F.col("injected_rate").cast("double").alias("rate"), (F.col("injected_rate") * F.col("quantity")).cast("double").alias("amount"), status().alias("status"), key.alias("_k"), F.lit(1).alias("_one"))
-    return running(rows, "_one", "_k").where(F.col("rank") <= SHEET_ROWS).select(F.col("rank").cast("long").alias("line"), "id", "sheet", "code", "description", "quantity", "rate", "amount", "status")
+    c = F.col
+    priced = F.coalesce(c("approved") & (c("injected_rate") > 0), F.lit(False))
+    p = _linked(pairs, source_file).withColumn("_priced", priced)
+    key = F.struct(F.when(priced, 0).otherwise(1).alias("a"), (c("item_type") == "ProvisionalSum").cast("int").alias("b"), "bill", "row", "id", "quantity")
+    dash = F.lit("-")
+    said = F.when(c("_priced"), SAYS_PRICED).when(c("item_type") == "ProvisionalSum", SAYS_SHIELDED).otherwise(SAYS_LOOK)
+    rate = c("injected_rate").cast("double")
+    rows = p.select(
+        "id", _jump("_ref", _says("_at", said)).alias("jump"), F.when(c("_linked"), _jump("_s_ref", _says("_s_at", F.lit(SAYS_SOURCE)))).otherwise(dash).alias("source_jump"), _jump("_ref", c("_sheet")).alias("sheet"), _jump("_ref", c("row").cast("string")).alias("row"),
+        "code", shortened(c("description"), AUDIT_TEXT).alias("description"), F.when(c("_has_source"), F.coalesce("s_sheet", dash)).otherwise(dash).alias("source_sheet"), F.when(c("_linked"), c("s_row").cast("string")).otherwise(dash).alias("source_row"), "unit", c("quantity").cast("double").alias("quantity"), "currency",
+        F.when(rate > 0, rate).alias("rate"), F.when(rate > 0, (c("injected_rate") * c("quantity")).cast("double")).alias("amount"), "confidence", status().alias("status"), "_priced", key.alias("_k"), F.lit(1).alias("_one"),
+    )
+    ranked = running(rows, "_one", "_k").where(c("rank") <= SHEET_ROWS)
+    at = (c("rank") + HEAD_ROW + F.when(c("_priced"), 0).otherwise(1)).cast("long")
+    cell = F.when(c("rate").isNotNull(), F.concat(F.lit("=J"), at.cast("string"), F.lit("*L"), at.cast("string"))).otherwise(dash)
+    shown = [x for x in rows.columns if not x.startswith("_")]
+    return ranked.select(c("rank").cast("long").alias("line"), at.alias("sheet_row"), *shown[:-2], cell.alias("amount_cell"), *shown[-2:])
 
 
-def linkage_map(pairs: DataFrame, rows: int = SHEET_ROWS) -> DataFrame:
-    """SK3, SO2: the first ``rows`` links, matched and exact ones first; ranked per range partition, not in one task."""
+def linkage_map(pairs: DataFrame, rows: int = SHEET_ROWS, source_file: str = "Contractor_Priced_BOQ.xlsx") -> DataFrame:
+    """SK3, SO2: the sixteen columns of the first ``rows`` links, matched and exact ones first; ranked per range partition."""
     from .analytics import running
 
+    c = F.col
     first = lambda cond: F.when(cond, 0).otherwise(1)
-    key = F.struct(first(F.col("s_id").isNotNull()).alias("a"), first(F.col("confidence") == "Exact").alias("b"), "bill", "row", "id")
-    p = pairs.select("id", F.col("s_id").alias("source"), F.substring("s_description", 1, 100).alias("source_text"), "confidence", key.alias("_k"), F.lit(1).alias("_one"))
-    return running(p, "_one", "_k").where(F.col("rank") <= rows).select("id", "source", "source_text", "confidence")
+    key = F.struct(first(c("s_id").isNotNull()).alias("a"), first(c("confidence") == "Exact").alias("b"), "bill", "row", "id", "quantity")
+    dash = F.lit("-")
+    known, linked = (c("row") > 0), lambda x: F.when(c("_linked"), x).otherwise(dash)
+    of_source = lambda x: F.when(c("_has_source"), F.coalesce(x, dash)).otherwise(dash)
+    why = F.nullif(F.trim("rationale"), F.lit(""))
+    p = _linked(pairs, source_file).select(
+        "id", F.when(known, _jump("_ref", _says("_at", F.lit(SAYS_PRICED)))).otherwise(dash).alias("jump"), linked(_jump("_s_ref", _says("_s_at", F.lit(SAYS_OPEN)))).alias("source_jump"), F.when(known, _jump("_ref", c("_sheet"))).otherwise(c("_sheet")).alias("sheet"), F.when(known, _jump("_ref", c("row").cast("string"))).otherwise(dash).alias("row"),
+        "code", shortened(c("description"), LINK_TEXT).alias("description"), "unit", c("quantity").cast("double").alias("quantity"), linked(c("_file")).alias("source_file"), of_source(c("s_sheet")).alias("source_sheet"), linked(c("s_row").cast("string")).alias("source_row"), linked(_jump("_s_ref", c("_s_at"))).alias("source_cell"),
+        of_source(c("s_code")).alias("source_code"), of_source(shortened(c("s_description"), LINK_TEXT)).alias("source_text"), F.when(c("injected_rate") > 0, c("injected_rate").cast("double")).alias("rate"), F.when(why.isNotNull(), F.concat("confidence", F.lit(" ("), "rationale", F.lit(")"))).otherwise(c("confidence")).alias("match"),
+        key.alias("_k"), F.lit(1).alias("_one"),
+    )
+    return running(p, "_one", "_k").where(c("rank") <= rows).select(c("rank").cast("long").alias("line"), *[x for x in p.columns if not x.startswith("_")])
+
+
+def pair_display(pairs: DataFrame) -> DataFrame:
+    """NR35: pairs with the texts that a grid shows: rate, confidence with its similarity, source table and source code."""
+    c = F.col
+    ps, new = c("item_type") == "ProvisionalSum", "بند مستحدث (VO)"
+    percent = F.concat(F.round(c("similarity") * 100).cast("int").cast("string"), F.lit("%)"))
+    confidence = F.when(ps, "مبلغ احتياطي محمي").when(c("confidence") == "Exact", "تطابق تام (100%)").when(c("confidence") == "HighFuzzy", F.concat(F.lit("تطابق ذكي ("), percent)).when(c("confidence") == "ManualReviewNeeded", "مراجعة فنية")
+    return pairs.withColumns({
+        "rate_text": F.when(c("injected_rate").isNotNull(), F.format_number(F.round("injected_rate", 2), 2)).when(ps, "محمي (PS)").otherwise(new), "confidence_text": confidence.when(c("is_vo"), new).otherwise("غير مطابق"),
+        "source_table": F.when(ps, "محمي تلقائياً (PS)").when(c("s_id").isNotNull(), F.coalesce(F.nullif(F.trim("s_bill"), F.lit("")), "s_sheet")).when(c("is_vo"), new).otherwise("-"), "source_code": F.coalesce("s_code", F.lit("-")),
+    })
+
+
+def diagnostics(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """SK9: the figures of the diagnostic report as rows (section, name, items, percent, base, remeasured, variance).
+
+    Sections: metrics (counts, and of the four grades of confidence their share of all pairs), status (WARNING if a pair
+    needs review, with their number) and currency (values of either side, never added over currencies).  Without pairs the
+    shares are 0.  Timings and file data are the caller's.
+    """
+    from .analytics import currency_summary
+
+    c = F.col
+    grades = {"exact": "Exact", "high": "HighFuzzy", "review": "ManualReviewNeeded", "unmatched": "Unmatched"}
+    counts = pairs.agg(F.count("*").alias("total"), F.count_distinct("sheet").alias("sheets"), *[F.count_if(c("confidence") == v).alias(k) for k, v in grades.items()], F.count_if(c("item_type") == "ProvisionalSum").alias("shielded"), F.count_if("is_vo").alias("variation"), F.count_if("approved").alias("approved"))
+    none = F.lit(None).cast("double")
+    share = lambda k: F.round(F.when(c("total") > 0, c(k) * 100.0 / c("total")).otherwise(0.0), 6) if k in grades else none
+    row = lambda section, name, items, percent: F.struct(F.lit(section).alias("section"), name.alias("name"), items.alias("items"), percent.cast("double").alias("percent"))
+    rows = [row("metrics", F.lit(k), c(k), share(k)) for k in counts.columns] + [row("status", F.when(c("review") > 0, "WARNING").otherwise("SUCCESS"), c("review"), none)]
+    figures = counts.select(F.inline(F.array(*rows))).unionByName(sources.agg(F.count("*").alias("items")).select(F.lit("metrics").alias("section"), F.lit("sources").alias("name"), "items", none.alias("percent")))
+    money = currency_summary(sources, pairs).select(F.lit("currency").alias("section"), c("currency").alias("name"), "items", F.when(c("base") > 0, c("variance_pct")).otherwise(0.0).alias("percent"), "base", "remeasured", "variance")
+    return figures.unionByName(money, allowMissingColumns=True)
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 100) -> DataFrame:

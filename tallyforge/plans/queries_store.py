@@ -47,18 +47,43 @@ def sk1(spark, d):
     return pairs(spark, d).withColumn("has_formula", F.col("size") % 9 == 0).select("id", S.rate_cell_action().alias("action"))
 
 
-STATUS = "CASE WHEN item_type = 'ProvisionalSum' THEN 'Shielded (PS)' WHEN is_vo THEN 'New Scope (VO)' WHEN approved AND injected_rate IS NOT NULL THEN 'Injected & Approved' ELSE 'Unpriced / Note' END"
+STATUS = "CASE WHEN item_type = 'ProvisionalSum' THEN 'Shielded (PS)' WHEN is_vo THEN 'New Scope (VO)' WHEN approved AND injected_rate > 0 THEN 'Injected & Approved' ELSE 'Unpriced / Note' END"
 
 
-@query("sk2_so1_lm3_nr37_audit_report", over_base(f"""SELECT row_number() OVER (ORDER BY injected_rate > 0 DESC NULLS LAST, item_type = 'ProvisionalSum', bill, row, id) AS line, id, sheet, code, substr(description, 1, 120) AS description, quantity::DOUBLE AS quantity, injected_rate::DOUBLE AS rate, (injected_rate * quantity)::DOUBLE AS amount, {STATUS} AS status
-FROM pairs QUALIFY line <= 1048490"""))
+def letter_sql(n):
+    """The letters of a column's number up to 52."""
+    return f"CASE WHEN {n} > 26 THEN 'A' || chr((38 + {n})::INT) ELSE chr((64 + {n})::INT) END"
+
+
+#: Pairs with the places of both sides: some rate columns and source rows unknown, some sources in copied files.
+PLACED = f""", z AS (SELECT *, CASE WHEN size % 6 > 0 THEN size % 40 + 1 ELSE 7 END AS rc, CASE WHEN size % 5 > 0 THEN size % 45 + 1 ELSE 18 END AS sc, s_id % 97 AS s_row FROM pairs),
+g AS (SELECT *, {letter_sql('rc')} || row AS spot, {letter_sql('sc')} || s_row AS s_spot, 'Rates ' || s_id % 2 || '.xlsx' AS file, s_bill || '''s' AS s_sheet, coalesce(s_row > 0, false) AS linked FROM z),
+f AS (SELECT *, workbook || '_Reconciled.xlsx#''' || sheet || '''!' || spot AS ref, file || '#''' || replace(s_sheet, '''', '''''') || '''!' || s_spot AS s_ref, coalesce(approved AND injected_rate > 0, false) AS priced FROM g),
+l AS (SELECT *, '=HYPERLINK("' || ref || '", "' AS go, '=HYPERLINK("' || s_ref || '", "' AS s_go FROM f)"""
+
+
+def placed(spark, d):
+    p = pairs(spark, d)
+    return p.selectExpr("*", "size % 40 + 1 as _rc", "size % 45 + 1 as _sc").withColumns({
+        "workbook": F.concat(F.lit("in/"), "workbook", F.lit(".xlsx")), "rate_column": F.expr("case when size % 6 > 0 then _rc end"), "s_rate_column": F.expr("case when size % 5 > 0 then _sc end"), "s_row": F.expr("s_id % 97"),
+        "s_workbook": F.expr("concat(case when s_id % 3 = 0 then '[Source_Priced]_' else '' end, 'Rates ', s_id % 2, '.xlsx')"), "s_sheet": F.expr("concat(s_bill, \"'s\")"), "rationale": F.expr("case when size % 4 = 1 then concat('code ', code) end"),
+    }).drop("_rc", "_sc")
+
+
+@query("sk2_so1_lm3_nr37_audit_report", over_base(PLACED + f""", n AS (SELECT *, row_number() OVER (ORDER BY priced DESC, item_type = 'ProvisionalSum', bill, row, id, quantity) AS line FROM l), r AS (SELECT *, line + CASE WHEN priced THEN 7 ELSE 8 END AS sheet_row FROM n)
+SELECT line, sheet_row, id, go || '[ ' || spot || ' ] ' || CASE WHEN priced THEN '{S.SAYS_PRICED}' WHEN item_type = 'ProvisionalSum' THEN '{S.SAYS_SHIELDED}' ELSE '{S.SAYS_LOOK}' END || '")' AS jump, CASE WHEN linked THEN s_go || '[ ' || s_spot || ' ] {S.SAYS_SOURCE}")' ELSE '-' END AS source_jump, go || sheet || '")' AS sheet, go || row || '")' AS row,
+  code, CASE WHEN length(description) > 120 THEN substr(description, 1, 117) || '...' ELSE description END AS description, coalesce(s_sheet, '-') AS source_sheet, CASE WHEN linked THEN s_row::VARCHAR ELSE '-' END AS source_row, unit, quantity::DOUBLE AS quantity, currency, injected_rate::DOUBLE AS rate, (injected_rate * quantity)::DOUBLE AS amount,
+  CASE WHEN injected_rate > 0 THEN '=J' || sheet_row || '*L' || sheet_row ELSE '-' END AS amount_cell, confidence, {STATUS} AS status FROM r WHERE line <= 1048490"""))
 def sk2(spark, d):
-    return S.audit_report(pairs(spark, d))
+    return S.audit_report(placed(spark, d))
 
 
-@query("sk3_so2_linkage_map", over_base("SELECT id, s_id AS source, substr(s_description, 1, 100) AS source_text, confidence FROM pairs ORDER BY s_id IS NOT NULL DESC, confidence = 'Exact' DESC, bill, row, id LIMIT 1048490"))
+@query("sk3_so2_linkage_map", over_base(PLACED + f""", n AS (SELECT *, row_number() OVER (ORDER BY s_id IS NOT NULL DESC, confidence = 'Exact' DESC, bill, row, id, quantity) AS line FROM l)
+SELECT line, id, CASE WHEN row > 0 THEN go || '[ ' || spot || ' ] {S.SAYS_PRICED}")' ELSE '-' END AS jump, CASE WHEN linked THEN s_go || '[ ' || s_spot || ' ] {S.SAYS_OPEN}")' ELSE '-' END AS source_jump, CASE WHEN row > 0 THEN go || sheet || '")' ELSE sheet END AS sheet, CASE WHEN row > 0 THEN go || row || '")' ELSE '-' END AS row,
+  code, CASE WHEN length(description) > 100 THEN substr(description, 1, 97) || '...' ELSE description END AS description, unit, quantity::DOUBLE AS quantity, CASE WHEN linked THEN file ELSE '-' END AS source_file, coalesce(s_sheet, '-') AS source_sheet, CASE WHEN linked THEN s_row::VARCHAR ELSE '-' END AS source_row,
+  CASE WHEN linked THEN s_go || s_spot || '")' ELSE '-' END AS source_cell, coalesce(s_code, '-') AS source_code, coalesce(CASE WHEN length(s_description) > 100 THEN substr(s_description, 1, 97) || '...' ELSE s_description END, '-') AS source_text, injected_rate::DOUBLE AS rate, confidence || CASE WHEN size % 4 = 1 THEN ' (code ' || code || ')' ELSE '' END AS match FROM n WHERE line <= 1048490"""))
 def sk3(spark, d):
-    return S.linkage_map(pairs(spark, d))
+    return S.linkage_map(placed(spark, d))
 
 
 @query("so3_lm4_page", over_base("SELECT id, workbook, bill FROM pairs ORDER BY coalesce(injected_rate > 0, false) DESC, item_type = 'ProvisionalSum', workbook, bill, row, id LIMIT 100 OFFSET 200"))
@@ -209,15 +234,22 @@ def db12(spark, d):
     return table(spark, d, "events").select("event_id", F.col("user_id").alias("item"), F.col("event_type").alias("action"), F.row_number().over(w).cast("long").alias("newest"))
 
 
-@query("sk9_diagnostics", over_base("SELECT count(*) AS items, count(DISTINCT sheet) AS sheets, count(DISTINCT currency) AS currencies, round_even(count(*) FILTER (confidence = 'Exact') * 100.0 / count(*), 2)::DOUBLE AS exact_pct, round_even(count(*) FILTER (confidence = 'HighFuzzy') * 100.0 / count(*), 2)::DOUBLE AS fuzzy_pct FROM pairs"))
+@query("sk9_diagnostics", over_base(""", n AS (SELECT count(*) AS total FROM pairs), m AS (SELECT unnest(['total', 'sheets', 'exact', 'high', 'review', 'unmatched', 'shielded', 'variation', 'approved']) AS name, unnest([count(*), count(DISTINCT sheet), count(*) FILTER (confidence = 'Exact'), count(*) FILTER (confidence = 'HighFuzzy'), count(*) FILTER (confidence = 'ManualReviewNeeded'), count(*) FILTER (confidence = 'Unmatched'),
+  count(*) FILTER (item_type = 'ProvisionalSum'), count(*) FILTER (is_vo), count(*) FILTER (approved)]) AS items FROM pairs)
+SELECT 'metrics' AS section, name, items, CASE WHEN name IN ('exact', 'high', 'review', 'unmatched') THEN round(items * 100.0::DOUBLE / total, 6) END AS percent, NULL::DOUBLE AS base, NULL::DOUBLE AS remeasured, NULL::DOUBLE AS variance FROM m, n
+UNION ALL SELECT 'metrics', 'sources', count(*), NULL, NULL, NULL, NULL FROM source_items UNION ALL SELECT 'status', CASE WHEN count(*) FILTER (confidence = 'ManualReviewNeeded') > 0 THEN 'WARNING' ELSE 'SUCCESS' END, count(*) FILTER (confidence = 'ManualReviewNeeded'), NULL, NULL, NULL, NULL FROM pairs
+UNION ALL SELECT 'currency', currency, coalesce(items, 0), round(CASE WHEN base > 0 THEN (coalesce(r, 0) - base)::DOUBLE / base::DOUBLE * 100 ELSE 0 END, 6), coalesce(base, 0)::DOUBLE, coalesce(r, 0)::DOUBLE, (coalesce(r, 0) - coalesce(base, 0))::DOUBLE
+  FROM (SELECT s_currency AS currency, sum(s_rate * s_quantity) AS base FROM source_items GROUP BY ALL) FULL JOIN (SELECT currency, sum(injected_rate * quantity) FILTER (approved) AS r, count(*) AS items FROM pairs GROUP BY ALL) USING (currency)"""))
 def sk9(spark, d):
-    pct = lambda c: F.bround((F.count_if(F.col("confidence") == c) * 100.0 / F.count("*")).cast("double"), 2)
-    return pairs(spark, d).agg(F.count("*").alias("items"), F.count_distinct("sheet").alias("sheets"), F.count_distinct("currency").alias("currencies"), pct("Exact").alias("exact_pct"), pct("HighFuzzy").alias("fuzzy_pct"))
+    return S.diagnostics(source_items(spark, d), pairs(spark, d))
 
 
-@query("nr35_pair_display", over_base("SELECT id, CASE WHEN item_type = 'ProvisionalSum' THEN 'PS' WHEN injected_rate IS NULL THEN '-' ELSE 'priced' END AS rate_text, CASE confidence WHEN 'Exact' THEN '100%' WHEN 'HighFuzzy' THEN 'fuzzy' WHEN 'ManualReviewNeeded' THEN 'review' ELSE '-' END AS confidence_text, coalesce(s_bill, '-') AS source_table FROM pairs"))
+@query("nr35_pair_display", over_base("""SELECT id, CASE WHEN injected_rate IS NOT NULL THEN format('{:,.2f}', injected_rate::DOUBLE) WHEN item_type = 'ProvisionalSum' THEN 'محمي (PS)' ELSE 'بند مستحدث (VO)' END AS rate_text,
+  CASE WHEN item_type = 'ProvisionalSum' THEN 'مبلغ احتياطي محمي' WHEN confidence = 'Exact' THEN 'تطابق تام (100%)' WHEN confidence = 'HighFuzzy' THEN 'تطابق ذكي (' || (50 + size) || '%)' WHEN confidence = 'ManualReviewNeeded' THEN 'مراجعة فنية' WHEN is_vo THEN 'بند مستحدث (VO)' ELSE 'غير مطابق' END AS confidence_text,
+  CASE WHEN item_type = 'ProvisionalSum' THEN 'محمي تلقائياً (PS)' WHEN s_id IS NOT NULL THEN CASE WHEN size % 4 = 0 THEN 'sheet ' || s_code ELSE s_bill END WHEN is_vo THEN 'بند مستحدث (VO)' ELSE '-' END AS source_table, coalesce(s_code, '-') AS source_code FROM pairs"""))
 def nr35(spark, d):
-    return pairs(spark, d).selectExpr("id", "case when item_type = 'ProvisionalSum' then 'PS' when injected_rate is null then '-' else 'priced' end as rate_text", "case confidence when 'Exact' then '100%' when 'HighFuzzy' then 'fuzzy' when 'ManualReviewNeeded' then 'review' else '-' end as confidence_text", "coalesce(s_bill, '-') as source_table")
+    p = pairs(spark, d).withColumns({"similarity": (F.col("size") + 50) / 100, "s_sheet": F.concat(F.lit("sheet "), "s_code"), "s_bill": F.when(F.col("size") % 4 != 0, F.col("s_bill")).otherwise(" ")})
+    return S.pair_display(p).select("id", "rate_text", "confidence_text", "source_table", "source_code")
 
 
 @query("nr31_anchor_row", over_base("SELECT sheet, bill, row FROM (SELECT *, row_number() OVER (PARTITION BY sheet, bill ORDER BY CASE WHEN size % 2 = 0 AND size % 3 = 0 THEN 0 WHEN size % 2 = 0 THEN 1 WHEN size % 3 = 0 THEN 2 ELSE 3 END, row DESC, id) AS n FROM target_items) WHERE n = 1"))

@@ -322,3 +322,26 @@ def test_history_search(spark):
     assert [(r.id, round(r.score, 3)) for r in S.fuzzy_search(h, "plonc-zz", ["description"]).collect()] == [("b", 0.6)]
     assert [(r.id, r.score) for r in S.fuzzy_search(h, "oak_beam", ["description"]).collect()] == [("a", 1.0)]
     assert [r.id for r in S.fuzzy_search(h, "oak beams", ["description"]).collect()] == ["a"]
+
+
+def test_reports(spark):
+    p = spark.createDataFrame([("a", "in/Tower's.xlsx", "Bill 'A'", "B1", 12, 3, "[source_priced]_rates.xlsx", "S'1", 9, 28, "1", "c1", True, Decimal(2), "Exact", "Normal", False, "x" * 121, "y" * 101, "by code"), ("b", "T_RECONCILED.XLSX", " ", "B2", 5, None, None, None, None, None, None, "c2", False, None, "Unmatched", "ProvisionalSum", False, "x" * 120, None, None), ("c", "t.xlsx", "S", "B3", 0, 0, None, None, 0, 0, "2", "c3", False, Decimal(0), "ManualReviewNeeded", "Normal", True, "z", "w" * 100, " ")],
+        "id string, workbook string, sheet string, bill string, row int, rate_column int, s_workbook string, s_sheet string, s_row int, s_rate_column int, s_id string, code string, approved boolean, injected_rate decimal(18,4), confidence string, item_type string, is_vo boolean, description string, s_description string, rationale string").withColumns({"quantity": F.lit(4).cast("decimal(18,4)"), "unit": F.lit("m"), "currency": F.lit("EGP"), "s_code": F.when(F.col("s_id").isNotNull(), "sc")})
+    a = {r["id"]: r for r in S.audit_report(p).collect()}
+    assert [(a[k]["line"], a[k]["sheet_row"]) for k in "acb"] == [(1, 8), (2, 10), (3, 11)]
+    assert a["a"]["jump"] == "=HYPERLINK(\"Tower's_Reconciled.xlsx#'Bill ''A'''!C12\", \"[ C12 ] المقايسة\")"
+    assert a["a"]["source_jump"] == "=HYPERLINK(\"rates.xlsx#'S''1'!AB9\", \"[ AB9 ] عرض سعر المقاول\")"
+    assert a["b"]["sheet"] == "=HYPERLINK(\"T_RECONCILED.XLSX#'B2'!G5\", \"B2\")" and "محمي" in a["b"]["jump"] and "معاينة" in a["c"]["jump"]
+    assert (a["a"]["amount_cell"], a["a"]["amount"], a["b"]["amount_cell"], a["c"]["rate"]) == ("=J8*L8", 8.0, "-", None)
+    assert [a[k]["status"] for k in "abc"] == ["Injected & Approved", "Shielded (PS)", "New Scope (VO)"] and a["a"]["description"] == "x" * 117 + "..." and a["b"]["description"] == "x" * 120
+    m = {r["id"]: r for r in S.linkage_map(p).collect()}
+    assert [m[k]["line"] for k in "acb"] == [1, 2, 3]
+    assert (m["a"]["source_file"], m["a"]["source_row"], m["a"]["match"], m["a"]["source_text"]) == ("rates.xlsx", "9", "Exact (by code)", "y" * 97 + "...")
+    assert (m["c"]["jump"], m["c"]["sheet"], m["c"]["source_file"], m["c"]["source_sheet"], m["c"]["source_code"], m["c"]["match"]) == ("-", "S", "-", "-", "sc", "ManualReviewNeeded")
+    # pairs without the sources' places
+    assert {r["source_jump"] for r in S.audit_report(p.drop("s_workbook", "s_sheet", "s_row", "s_rate_column", "s_code", "rationale", "rate_column")).collect()} == {"-"}
+    assert S.audit_report(p.limit(0)).count() == 0
+    d = {(r["section"], r["name"]): r["items"] for r in S.diagnostics(p.selectExpr("currency as s_currency", "injected_rate as s_rate", "quantity as s_quantity"), p).collect()}
+    assert (d["metrics", "total"], d["status", "WARNING"], d["metrics", "sources"], d["currency", "EGP"]) == (3, 1, 3, 3)
+    t = {r["id"]: (r["rate_text"], r["source_table"]) for r in S.pair_display(p.withColumns({"similarity": F.lit(0.876), "s_bill": F.lit(" ")})).collect()}
+    assert t == {"a": ("2.00", "S'1"), "b": ("محمي (PS)", "محمي تلقائياً (PS)"), "c": ("0.00", None)}
