@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import analytics as A
 from .store import rate_cell_action
 
@@ -74,6 +76,64 @@ def dashboard(pairs: DataFrame, top: int = 10) -> dict[str, DataFrame]:
     return {"bills": bills, "counts": A.match_counts(pairs), "trades": A.trade_breakdown(pairs), "drivers": lines.withColumn("amount", F.col("amount").cast("double"))}
 
 
+# Marks of sheets that hold no bill and of provisional sums, the longest code that a name without one gives.
+NO_BILLS, PS_PARTS, PS_END, CODE_LENGTH = ["audit", "dashboard"], ["provisional", " ps"], "ps", 12
+# Categories of bills: name, parts of codes, parts of descriptions, codes shown, class.
+TRADE_CATEGORIES = [
+    ("Civil Infrastructure Networks", ["05"], ["infra", "civil", "network"], 3, "Class A (Core Driver)"),
+    ("Residential Townhouses", ["03"], ["townhouse", "plex", "th"], 5, "Class A (Core Driver)"),
+    ("Residential Villas", ["02"], ["villa"], 5, "Class B (Secondary Scope)"),
+    ("Commercial Retail Center", ["04"], ["retail", "commercial"], 3, "Class C (Operational Scope)"),
+]
+OTHER_WORKS, OTHER_CODES, OTHER_CLASS = "General & Other Measured Works", 4, "Class C (Operational Scope)"
+PROTECTED, PROTECTED_CLASS = "Provisional Sums (Protected Scope)", "Contingency Reserve"
+#: Categories whose name tells the number of their bills.
+COUNTED = ["Residential Townhouses", "Residential Villas", OTHER_WORKS]
+
+
+def structured_bills(pairs: DataFrame, key: str = "bill") -> DataFrame:
+    """AG13, AG15: one row a bill with code, description, items, priced total, status and whether it holds provisional sums.
+
+    The code is what stands before the first dash, else Bill and its number, else the name's beginning.
+    """
+    c, k = F.col, F.coalesce(F.col(key), F.lit(""))
+    low = F.lower(k)
+    g = pairs.where(~reduce(lambda a, b: a | b, [low.contains(w) for w in NO_BILLS])).groupBy(k.alias("bill")).agg(F.count("*").alias("items"), F.count_if(c("injected_rate") > 0).alias("priced"), A.total(A.amount(), c("injected_rate") > 0).alias("total"))
+    name, dash = F.lower("bill"), F.instr("bill", "-")
+    numbered = F.trim(F.regexp_extract("bill", r"(?i)^(Bill\s*[0-9]+(?:\.[0-9]+)?[A-Za-z]*)", 1))
+    rest = F.trim(F.expr("substring(bill, length(_n) + 1)"))
+    ps = reduce(lambda a, b: a | b, [name.contains(w) for w in PS_PARTS]) | name.endswith(PS_END)
+    g = g.withColumns({"_n": numbered, "is_ps": ps})
+    code = F.when(dash > 1, F.trim(F.expr("left(bill, instr(bill, '-') - 1)"))).when(c("_n") != "", c("_n")).when(F.length("bill") > CODE_LENGTH, F.trim(F.left("bill", F.lit(CODE_LENGTH)))).otherwise(c("bill"))
+    described = F.when(dash > 1, F.trim(F.expr("substring(bill, instr(bill, '-') + 1)"))).when(c("_n") != "", F.when(rest == "", c("_n")).otherwise(rest)).otherwise(c("bill"))
+    status = F.when(c("is_ps"), "Provisional Sum (Shielded)").when(c("priced") > 0, "Priced & Approved").otherwise("Tender Scope (Manual)")
+    return g.select("bill", code.alias("code"), described.alias("description"), "items", "total", status.alias("status"), "is_ps")
+
+
+def trade_categories(bills: DataFrame, categories: list[tuple] | None = None) -> DataFrame:
+    """AG15: bills by category, each with the number of its bills, its first codes in natural order, total and class.
+
+    categories: like TRADE_CATEGORIES.  A bill may be in several of them; what is in none is other works, provisional sums
+    are a category of their own, and a category without bills has no row.  A sole bill of other works names them.
+    """
+    c, categories = F.col, categories or TRADE_CATEGORIES
+    any_of = lambda x, words: reduce(lambda a, b: a | b, [F.lower(x).contains(w.lower()) for w in words])
+    found = F.filter(F.array(*[F.when(any_of("code", codes) | any_of("description", words), F.lit(n)) for n, codes, words, _, _ in categories]), lambda x: x.isNotNull())
+    place = F.when(c("is_ps"), F.array(F.lit(PROTECTED))).when(F.size(found) == 0, F.array(F.lit(OTHER_WORKS))).otherwise(found)
+    b = bills.withColumn("category", F.explode(place))
+    sums = b.groupBy("category").agg(F.count("*").alias("bills"), F.sum("items").alias("items"), A.total(c("total")).cast("double").alias("total"), F.min("description").alias("_one"))
+    shown = {n: k for n, _, _, k, _ in categories} | {OTHER_WORKS: OTHER_CODES, PROTECTED: 0}
+    classes = {n: k for n, _, _, _, k in categories} | {OTHER_WORKS: OTHER_CLASS, PROTECTED: PROTECTED_CLASS}
+    of = lambda table: F.coalesce(*[F.when(c("category") == n, F.lit(v)) for n, v in table.items()])
+    # the rank lets each task keep its first few rows of a category only
+    order = Window.partitionBy("category").orderBy(T.natural_key(c("code")), "bill")
+    first = b.withColumn("_n", F.row_number().over(order)).where(c("_n") <= max(shown.values())).where(c("_n") <= of(shown))
+    codes = first.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "code"))), lambda x: x["code"]), ", ").alias("codes"))
+    name = F.when((c("category") == OTHER_WORKS) & (c("bills") == 1), c("_one")).when(c("category").isin(COUNTED), F.concat("category", F.lit(" ("), c("bills").cast("string"), F.lit(" Bills)"))).otherwise(c("category"))
+    packages = F.concat(c("bills").cast("string"), F.lit(" Shielded Packages"))
+    return sums.join(codes, "category", "left").select("category", name.alias("name"), "bills", "items", "total", F.when(c("category") == PROTECTED, packages).otherwise(c("codes")).alias("codes"), of(classes).alias("class"))
+
+
 def reconciled_name(workbook: Column) -> Column:
     """SK7: file name of a target's priced workbook."""
     return F.concat(F.regexp_replace(F.element_at(F.split(workbook, r"[/\\]"), -1), r"\.[^.]*$", ""), F.lit("_Reconciled.xlsx"))

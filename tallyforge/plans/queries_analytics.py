@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import analytics as A
+from ..operators import packages as P
 from .adapters import over_base, pairs, source_items, table, target_items
 from .queries_scalar import RATE_SQL, dim_sql, q
 from .registry import query
@@ -121,20 +122,20 @@ def ag14(spark, d):
     return pairs(spark, d).agg(A.total(A.amount(), F.col("approved")).cast("double").alias("priced"), A.total(A.amount("original_rate"), F.col("item_type") == "ProvisionalSum").cast("double").alias("shielded"), F.bround((F.count_if(F.col("confidence") == "Exact") * 100.0 / F.count("*")).cast("double"), 2).alias("exact_pct"), F.count("*").alias("items"))
 
 
-CATEGORIES = [("bolt", "bolt"), ("gear", "gear"), ("anvil", "anvil"), ("any", ".")]
+#: Sheets as bills: some named for villas, infrastructure or provisional sums, some without a dash.
+NAMED = """CASE WHEN size % 11 = 0 THEN 'Provisional works ' || code WHEN size % 11 = 1 THEN 'Bill ' || (size % 6) || '.2b Villa ' || code WHEN size % 11 = 2 THEN 'INFRA ' || code || ' retail' WHEN size % 11 = 3 THEN 'Audit ' || code ELSE sheet END"""
+NATURAL = "array_to_string(list_transform(regexp_extract_all(code, '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 6, '0') ELSE x END), '')"
 
 
-@query("ag15_trade_categories", over_base(" UNION ALL ".join(f"SELECT '{n}' AS category, count(*) AS items, coalesce(sum({AMT}), 0)::DOUBLE AS total FROM pairs WHERE regexp_matches(lower(bill || ' ' || description), '{w}')" for n, w in CATEGORIES)))
+@query("ag15_trade_categories", over_base(f""", k AS (SELECT *, {NAMED} AS name FROM pairs), g AS (SELECT name, count(*) AS items, coalesce(sum({AMT}) FILTER (injected_rate > 0), 0) AS total, regexp_extract(name, '(?i)^(Bill\\s*[0-9]+(?:\\.[0-9]+)?[A-Za-z]*)') AS n FROM k WHERE name NOT ILIKE '%audit%' AND name NOT ILIKE '%dashboard%' GROUP BY name),
+b AS (SELECT name, items, total, trim(CASE WHEN instr(name, '-') > 1 THEN split_part(name, '-', 1) WHEN n <> '' THEN n ELSE left(name, 12) END) AS code, trim(CASE WHEN instr(name, '-') > 1 THEN substr(name, instr(name, '-') + 1) WHEN n <> '' THEN CASE WHEN trim(substr(name, length(n) + 1)) = '' THEN n ELSE substr(name, length(n) + 1) END ELSE name END) AS d, regexp_matches(lower(name), 'provisional| ps|ps$') AS ps FROM g),
+p AS (SELECT *, CASE WHEN ps THEN ['{P.PROTECTED}'] ELSE list_filter([""" + ", ".join(f"CASE WHEN regexp_matches(code, '{'|'.join(codes)}') OR regexp_matches(lower(d), '{'|'.join(words)}') THEN '{n}' END" for n, codes, words, _, _ in P.TRADE_CATEGORIES) + f"""], lambda x: x IS NOT NULL) END AS found FROM b),
+c AS (SELECT *, unnest(CASE WHEN len(found) = 0 THEN ['{P.OTHER_WORKS}'] ELSE found END) AS category FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {NATURAL}, name) AS place FROM c)
+SELECT category, CASE WHEN category = '{P.OTHER_WORKS}' AND count(*) = 1 THEN min(d) WHEN category LIKE 'Residential%' OR category = '{P.OTHER_WORKS}' THEN category || ' (' || count(*) || ' Bills)' ELSE category END AS name, count(*) AS bills, sum(items)::BIGINT AS items, sum(total)::DOUBLE AS total,
+  CASE WHEN category = '{P.PROTECTED}' THEN count(*) || ' Shielded Packages' ELSE string_agg(code, ', ' ORDER BY place) FILTER (place <= CASE category {" ".join(f"WHEN '{n}' THEN {k}" for n, _, _, k, _ in P.TRADE_CATEGORIES)} ELSE {P.OTHER_CODES} END) END AS codes,
+  CASE category {" ".join(f"WHEN '{n}' THEN '{k}'" for n, _, _, _, k in P.TRADE_CATEGORIES)} WHEN '{P.PROTECTED}' THEN '{P.PROTECTED_CLASS}' ELSE '{P.OTHER_CLASS}' END AS class FROM r GROUP BY category"""))
 def ag15(spark, d):
-    p = pairs(spark, d).withColumn("t", F.lower(F.concat_ws(" ", "bill", "description")))
-    kinds = F.filter(F.array(*[F.when(F.col("t").rlike(w), F.lit(n)) for n, w in CATEGORIES]), lambda x: x.isNotNull())
-    found = p.select(F.explode(kinds).alias("category"), A.amount().alias("a")).groupBy("category").agg(F.count("*").alias("items"), A.total(F.col("a")).cast("double").alias("total"))
-    names = spark_names(p, [n for n, _ in CATEGORIES])
-    return names.join(found, "category", "left").fillna(0, ["items", "total"])
-
-
-def spark_names(df, names):
-    return df.sparkSession.createDataFrame([(n,) for n in names], "category string")
+    return P.trade_categories(P.structured_bills(pairs(spark, d).withColumn("name", F.expr(NAMED)), "name"))
 
 
 @query("ag16_top_cost_drivers", over_base(f""", g AS (SELECT substr(description, 1, 55) AS item, unit, injected_rate AS rate, sum(quantity) AS quantity, sum({AMT}) AS amount FROM pairs WHERE injected_rate > 0 GROUP BY ALL ORDER BY amount DESC, item, unit, rate LIMIT 15),

@@ -377,6 +377,17 @@ def sc7(spark, d):
     return X.preflight(X.demo_cells(table(spark, d, "part"), hierarchical=False))
 
 
+@query("sc7_ag23_verdicts", """WITH p AS (SELECT *, p_partkey AS k, 'S' || (p_partkey % 3) AS source, 'T' || (p_partkey % 2) AS target FROM part), r AS (SELECT DISTINCT CASE WHEN k % 7 = 0 THEN 'S9' ELSE source END AS source, target FROM p),
+a AS (SELECT source, source <> 'S2' AS header, count(*) FILTER (k % 3 <> 1 AND k % 4 <> 0) AS n FROM p GROUP BY source), b AS (SELECT target, count(DISTINCT sheet) AS sheets, count(DISTINCT sheet) FILTER (sheet LIKE '%Provisional Sum') AS ps FROM (SELECT target, CASE WHEN k % 2 = 1 THEN 'Bill ' || (k % 3) WHEN k % 24 = 6 THEN 'Bill 6 Provisional Sum' ELSE 'Bill ' || (k % 24) END AS sheet FROM p) GROUP BY target)
+SELECT source, target, CASE WHEN n > 0 THEN 'Passed' ELSE 'FailedCorrupted' END AS status, concat_ws('; ', CASE WHEN header IS NOT NULL THEN 'source opened' END, CASE WHEN header THEN 'source headings' END, CASE WHEN n > 0 THEN n || ' rows of bills' END, 'target opened', CASE WHEN sheets >= 10 THEN sheets || ' bill sheets' END, CASE WHEN ps > 0 THEN ps || ' sheets of provisional sums' END) AS passed,
+  concat_ws('; ', CASE WHEN NOT header THEN 'source headings not met' END, CASE WHEN sheets < 10 THEN 'only ' || sheets || ' bill sheets' END, CASE WHEN ps = 0 THEN 'no sheet of provisional sums' END) AS warnings, CASE WHEN header IS NULL THEN 'source not found' WHEN n = 0 THEN 'source without rows of bills' ELSE '' END AS errors, coalesce(n, 0) AS source_rows, sheets AS target_sheets FROM r LEFT JOIN a USING (source) JOIN b USING (target)""")
+def sc7_verdicts(spark, d):
+    """Sources that pass, lack bills, lack headings or are not there, against targets with many and few bill sheets."""
+    cells, runs = X.demo_runs(table(spark, d, "part"))
+    v = X.preflight_verdict(runs, X.preflight(cells))
+    return v.withColumns({k: F.array_join(k, "; ") for k in ("passed", "warnings", "errors")})
+
+
 @query("ag29_output_audit", PROFILE + " SELECT workbook, sheet, p::BIGINT AS rates, value, formulas, broken, arabic AS arabic_digits FROM s")
 def ag29(spark, d):
     return X.output_audit(X.demo_cells(table(spark, d, "part"), hierarchical=False)).withColumn("value", F.round("value", 2))

@@ -150,6 +150,24 @@ def demo_tree(part: DataFrame) -> DataFrame:
     return every.select(*SHEET, "row", F.posexplode("v").alias("col", "raw")).where("raw is not null").select(*SHEET, "row", (c("col") + 1).alias("col"), "raw", null.alias("formula"))
 
 
+def demo_runs(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts as cells of source workbooks (bills in the third column, one without bills, one without headings) and of target
+    workbooks (one with many bill sheets, one with few), and runs over them, some with a source that is not there."""
+    c, k = F.col, F.col("p_partkey")
+    p = part.select("*", F.concat(F.lit("S"), (k % 3).cast("string")).alias("source"), F.concat(F.lit("T"), (k % 2).cast("string")).alias("target"))
+    bill = F.when((k % 3 == 1) | (k % 4 == 0), "Class").otherwise(F.concat(F.lit(" bill "), (k % 5).cast("string")))
+    line = F.array(k.cast("string"), c("p_brand"), bill, c("p_type"), c("p_name"))
+    head = F.array(*[F.lit(x) for x in ("No", "Class", "Bill", "Section", "Description", "Unit", "Qty", "Rate", "Total")])
+    rows = p.select(c("source").alias("workbook"), F.lit("Rates").alias("sheet"), (k + 4).cast("int").alias("row"), line.alias("v"))
+    heads = p.where("source <> 'S2'").select(c("source").alias("workbook")).distinct().select("workbook", F.lit("Rates").alias("sheet"), F.lit(2).alias("row"), head.alias("v"))
+    number = F.concat(F.lit("Bill "), (k % 24).cast("string"))
+    sheet = F.when(k % 2 == 1, F.concat(F.lit("Bill "), (k % 3).cast("string"))).when(k % 24 == 6, F.concat(number, F.lit(" Provisional Sum"))).otherwise(number)
+    names = p.select(c("target").alias("workbook"), sheet.alias("sheet"), (k + 1).cast("int").alias("row"), F.array("p_name").alias("v"))
+    every = rows.unionByName(heads).unionByName(names)
+    cells = every.select("workbook", "sheet", "row", F.posexplode("v").alias("col", "raw")).where("raw is not null").select("workbook", "sheet", "row", (c("col") + 1).alias("col"), "raw", F.lit(None).cast("string").alias("formula"))
+    return cells, p.select(F.when(k % 7 == 0, "S9").otherwise(c("source")).alias("source"), "target").distinct()
+
+
 def header_roles(x: Column) -> Column:
     """NR7: roles whose pattern the cell fits, as an array."""
     t = F.trim(F.coalesce(x, F.lit("")))
@@ -487,6 +505,31 @@ def preflight(cells: DataFrame) -> DataFrame:
     return c.join(named, "workbook", "left").select("workbook", F.coalesce("header", F.lit(False)).alias("header"), "bill_rows", F.when(F.col("bill_rows") > 0, "Passed").otherwise("FailedCorrupted").alias("status"), "sheets", "bill_sheets", "ps_sheets")
 
 
+#: Fixed value: sheets of bills that a target is expected to have at least.
+BILL_SHEETS = 10
+
+
+def preflight_verdict(runs: DataFrame, checks: DataFrame) -> DataFrame:
+    """SC7, AG23: per run its status with the checks that passed, the warnings and the errors.
+
+    runs: source, target (names of workbooks); checks: what ``preflight`` tells of them.  A workbook without cells and a
+    source without rows of bills are errors, which fail the run; a heading that is not met, few bill sheets and no sheet
+    of provisional sums are warnings.
+    """
+    c = F.col
+    a = checks.select(c("workbook").alias("source"), "header", "bill_rows")
+    b = checks.select(c("workbook").alias("target"), "sheets", "bill_sheets", "ps_sheets")
+    j = runs.select("source", "target").join(a, "source", "left").join(b, "target", "left")
+    said = lambda *told: F.filter(F.array(*[F.when(cond, text if isinstance(text, Column) else F.lit(text)) for cond, text in told]), lambda x: x.isNotNull())
+    count = lambda k, words: F.concat(c(k).cast("string"), F.lit(f" {words}"))
+    j = j.withColumns({
+        "passed": said((c("header").isNotNull(), "source opened"), (c("header"), "source headings"), (c("bill_rows") > 0, count("bill_rows", "rows of bills")), (c("sheets").isNotNull(), "target opened"), (c("bill_sheets") >= BILL_SHEETS, count("bill_sheets", "bill sheets")), (c("ps_sheets") > 0, count("ps_sheets", "sheets of provisional sums"))),
+        "warnings": said((~c("header"), "source headings not met"), (c("bill_sheets") < BILL_SHEETS, F.concat(F.lit("only "), count("bill_sheets", "bill sheets"))), (c("ps_sheets") == 0, "no sheet of provisional sums")),
+        "errors": said((c("header").isNull(), "source not found"), (c("bill_rows") == 0, "source without rows of bills"), (c("sheets").isNull(), "target not found")),
+    })
+    return j.select("source", "target", F.when(F.size("errors") == 0, "Passed").otherwise("FailedCorrupted").alias("status"), "passed", "warnings", "errors", F.coalesce("bill_rows", F.lit(0)).alias("source_rows"), F.coalesce("sheets", F.lit(0)).alias("target_sheets"))
+
+
 def output_audit(cells: DataFrame) -> DataFrame:
     """AG29: per sheet of each workbook rates, their value by quantity, formulas, broken cells and cells with Arabic digits."""
     rate, quantity = (T.parse_decimal(F.col(c)).cast("double") for c in ("rate", "quantity"))
