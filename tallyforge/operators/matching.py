@@ -158,6 +158,16 @@ def with_hybrid(pairs: DataFrame, every: bool = False) -> DataFrame:
     return p.select(*pairs.columns, h.alias("h"))
 
 
+def partition_keys(items: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
+    """JN5: every key under which an item is found, once an item: those of its columns and of each part of its path.
+
+    An item without any key has no row.
+    """
+    parts = F.array(*columns) if path is None else F.concat(F.array(*columns), F.coalesce(F.split(path, "/"), F.array().cast("array<string>")))
+    keys = F.array_distinct(F.filter(F.transform(parts, T.bill_key), lambda k: k != ""))
+    return items.withColumn("key", F.explode(keys))
+
+
 def bill_keys_match(a: Column, b: Column, ta: Column, tb: Column) -> Column:
     """JN4: keys with tags ta and tb: prefix, containment, equal tag or a similarity of .70."""
     return (a != "") & (b != "") & ((a == b) | a.contains(b) | b.contains(a) | ((ta != "") & (ta == tb)) | (T.lev_similarity(a, b) >= 0.70))

@@ -163,9 +163,10 @@ def jn4(spark, d):
     return M.bill_key_pairs(a, b.select(T.bill_key(F.col("s")).alias("b")).distinct())
 
 
-@query("jn5_partition_keys", over_base("SELECT id, key FROM (SELECT id, unnest(list_distinct([lower(bill), lower(sheet), lower(workbook)])) AS key FROM target_items)"))
+@query("jn5_partition_keys", over_base("""SELECT id, key FROM (SELECT id, unnest(list_distinct(list_transform([bill, sheet, CASE WHEN size % 3 > 0 THEN 'Section ' || code END] || CASE WHEN size % 4 > 0 THEN [workbook, 'Zone ' || size % 5, bill] ELSE [] END, lambda x: regexp_replace(lower(coalesce(x, '')), '[^\\p{L}\\p{Nd}]', '', 'g')))) AS key FROM (SELECT DISTINCT ON (id) * FROM target_items)) WHERE key <> ''"""))
 def jn5(spark, d):
-    return target_items(spark, d).select("id", F.explode(F.array_distinct(F.array(*[F.lower(c) for c in ("bill", "sheet", "workbook")]))).alias("key"))
+    t = target_items(spark, d).dropDuplicates(["id"]).withColumns({"section": F.expr("case when size % 3 > 0 then concat('Section ', code) end"), "path": F.expr("case when size % 4 > 0 then concat(workbook, ' / Zone ', size % 5, '/', bill, '/ ') end")})
+    return M.partition_keys(t, ["bill", "sheet", "section"], "path").select("id", "key")
 
 
 @query("jn17_sk5_link_formulas", over_base("SELECT id, '=''[' || (dense_rank() OVER (ORDER BY workbook)) || ']' || sheet || '''!' || chr((65 + size % 26)::INT) || row AS formula FROM pairs WHERE approved AND injected_rate > 0 AND item_type <> 'ProvisionalSum' AND row > 0"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import analytics as A
 from tallyforge.operators import matching as M
+from tallyforge.operators import packages as P
 from tallyforge.operators import reconcile as C
 from tallyforge.operators import store as S
 from tallyforge.sources import sheets as X
@@ -345,3 +346,28 @@ def test_reports(spark):
     assert (d["metrics", "total"], d["status", "WARNING"], d["metrics", "sources"], d["currency", "EGP"]) == (3, 1, 3, 3)
     t = {r["id"]: (r["rate_text"], r["source_table"]) for r in S.pair_display(p.withColumns({"similarity": F.lit(0.876), "s_bill": F.lit(" ")})).collect()}
     assert t == {"a": ("2.00", "S'1"), "b": ("محمي (PS)", "محمي تلقائياً (PS)"), "c": ("0.00", None)}
+
+
+def test_bills_by_category(spark):
+    p = spark.createDataFrame([("Bill 05 - Roads", 2), ("Bill 5.1a Villa", None), ("Bill 12", 1), ("Bill 2 - Infra Retail", 3), ("Works PS", 1), ("Audit 1", 9), (None, 1), ("A rather long name", 1)], "bill string, injected_rate int").withColumns({"quantity": F.lit(2).cast("decimal(18,4)"), "injected_rate": F.col("injected_rate").cast("decimal(18,4)")})
+    b = {r["bill"]: (r["code"], r["description"], float(r["total"]), r["status"]) for r in P.structured_bills(p).collect()}
+    assert b["Bill 05 - Roads"] == ("Bill 05", "Roads", 4, "Priced & Approved") and b["Bill 5.1a Villa"] == ("Bill 5.1a", "Villa", 0, "Tender Scope (Manual)") and b["Bill 12"][:2] == ("Bill 12", "Bill 12")
+    assert b["Works PS"][3] == "Provisional Sum (Shielded)" and "Audit 1" not in b and b["A rather long name"][:2] == ("A rather lon", "A rather long name")
+    t = {r["category"]: (r["name"], r["bills"], r["codes"], r["total"]) for r in P.trade_categories(P.structured_bills(p)).collect()}
+    # a bill may be in two categories
+    assert t["Civil Infrastructure Networks"] == ("Civil Infrastructure Networks", 2, "Bill 2, Bill 05", 10.0) and t["Commercial Retail Center"][1:3] == (1, "Bill 2")
+    assert t["Residential Villas"][:2] == ("Residential Villas (1 Bills)", 1) and t[P.PROTECTED][2] == "1 Shielded Packages"
+    assert t[P.OTHER_WORKS][0] == "General & Other Measured Works (2 Bills)" or t["Residential Townhouses"][1] > 0
+    assert P.trade_categories(P.structured_bills(p.limit(0))).count() == 0
+
+
+def test_partition_keys(spark):
+    t = spark.createDataFrame([(1, "Bill 1", "BILL-1", "W / Zone A//w"), (2, None, " ", None), (3, "باب 2", None, "")], "id int, bill string, sheet string, path string")
+    assert sorted((r["id"], r["key"]) for r in M.partition_keys(t, ["bill", "sheet"], "path").collect()) == [(1, "bill1"), (1, "w"), (1, "zonea"), (3, "باب2")]
+
+
+def test_verdict(spark):
+    runs = spark.createDataFrame([("S", "T"), ("S", "X"), ("X", "T")], "source string, target string")
+    checks = spark.createDataFrame([("S", False, 3, 1, 0, 0), ("T", False, 0, 12, 10, 1)], "workbook string, header boolean, bill_rows long, sheets long, bill_sheets long, ps_sheets long")
+    v = {(r["source"], r["target"]): (r["status"], r["warnings"], r["errors"]) for r in X.preflight_verdict(runs, checks).collect()}
+    assert v == {("S", "T"): ("Passed", ["source headings not met"], []), ("S", "X"): ("FailedCorrupted", ["source headings not met"], ["target not found"]), ("X", "T"): ("FailedCorrupted", [], ["source not found"])}
