@@ -108,30 +108,31 @@ def _places(width: int, gram: int, many: int):
 
 
 def _strings(width: int, hot: int):
-    """Rows (key, d, s, n, packed); packed is null for windows already known to have an earlier copy in the block."""
+    """Rows (key, d, s, n, packed); packed is null for windows already known to have an earlier copy in the block, n is 0
+    for a single window of a hot minimiser."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            units: dict[tuple[int, bytes], list[tuple]] = {}
+            units: dict[tuple[int, bytes, bool], list[tuple]] = {}
             for d, text, occ in zip(ids, b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 words = (text or b"").split()
                 for o in occ:
                     s, n = o["s"], o["n"]
                     if o["total"] < hot:
-                        units.setdefault((o["mm"], b" ".join(words[s : s + n + width - 1])), []).append((d, s, n))
+                        units.setdefault((o["mm"], b" ".join(words[s : s + n + width - 1]), False), []).append((d, s, n))
                     else:
                         for i in range(s, s + n):
                             w = b" ".join(words[i : i + width])
-                            units.setdefault((xxhash.xxh64_intdigest(w) - (1 << 63), w), []).append((d, i, 1))
+                            units.setdefault((xxhash.xxh64_intdigest(w) - (1 << 63), w, True), []).append((d, i, 1))
             key, dd, ss, nn, packed, known = [], [], [], [], [], {}
-            for (k, w), places in units.items():
+            for (k, w, single), places in units.items():
                 first = min(places)
                 key.append(k)
                 packed.append(w)
                 dd.append(first[0])
                 ss.append(first[1])
-                nn.append(first[2])
+                nn.append(0 if single else first[2])
                 for p in places:
                     if p[:2] != first[:2]:
                         known.setdefault(p[0], []).append(p[1:])
@@ -179,8 +180,14 @@ def _bucket(rows: list[tuple], width: int) -> list[tuple]:
 
 
 def _buckets(width: int):
+    """Runs (d, s, n) of windows with an earlier copy, from rows sorted by key, packed, d and s.
+
+    Held are only the rows of one minimiser that is not hot, of which there are few; a hot window's rows stand together
+    with the first place in front, so that only this one is kept, whatever the number of blocks that hold the window.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, held, last = None, [], None
+        kind, held, last, window, place = None, [], None, None, None
 
         def out(found: list[tuple]) -> pa.RecordBatch:
             by: dict = {}
@@ -191,15 +198,20 @@ def _buckets(width: int):
 
         for b in batches:
             kind, found = b.schema.field(1).type, []
-            for k, *row in zip(*(b.column(c).to_pylist() for c in range(5))):
-                if row[3] is None:
-                    found.append(tuple(row[:3]))
-                    continue
-                if k != last:
-                    if held and (len(held) > 1 or held[0][2] > 1):
-                        found += _bucket(held, width)
-                    held, last = [], k
-                held.append(row)
+            for k, d, s, n, packed in zip(*(b.column(c).to_pylist() for c in range(5))):
+                if packed is None:
+                    found.append((d, s, n))
+                elif n == 0:
+                    if packed != window:
+                        window, place = packed, (d, s)
+                    elif (d, s) != place:
+                        found.append((d, s, 1))
+                else:
+                    if k != last:
+                        if held and (len(held) > 1 or held[0][2] > 1):
+                            found += _bucket(held, width)
+                        held, last = [], k
+                    held.append((d, s, n, packed))
             if found:
                 yield out(found)
         if held and (found := _bucket(held, width)):
@@ -217,7 +229,7 @@ def removed_ranges(docs: DataFrame, width: int = 20, gram: int = 4, hot: int = 5
     places = places.withColumn("total", F.sum(n).over(Window.partitionBy("mm", "part"))).where("total > 1")
     by_doc = places.select("mm", "total", F.explode("occ").alias("o")).where("o.n > 0").groupBy(F.col("o.d").alias("_d")).agg(F.collect_list(F.struct("mm", "total", "o.s", "o.n")).alias("occ"))
     strings = d.join(by_doc, d["doc_id"] == by_doc["_d"]).select("doc_id", "text", "occ").mapInArrow(_strings(width, hot), f"key bigint, d {ids}, s int, n int, packed binary")
-    found = strings.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(width), f"d {ids}, s int, n int")
+    found = strings.repartition("key").sortWithinPartitions("key", "packed", "d", "s").mapInArrow(_buckets(width), f"d {ids}, s int, n int")
     return found.groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("r"))
 
 
@@ -235,7 +247,9 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = 4, hot: int =
 
     doc_id is the key: rows that repeat it with one text are one document, none the copy of the other; with different
     texts the runs found in any of them are taken from all.  Rows without an id lose nothing and take nothing from
-    others.  A null or empty text has no words.  Extra columns are not read.
+    others.  A null or empty text has no words, an empty table gives an empty
+    one.  Of windows that tie in words the one with the smaller id, then the earlier start, stays.  A text is read whole in
+    one task, whatever its length, for time linear in it.  Extra columns are not read.
     """
     d = docs.where("doc_id is not null").select("doc_id", "text")
     r = removed_ranges(docs, width, gram, hot, many)
