@@ -68,3 +68,9 @@ def test_descriptions(spark):
 
 def test_levenshtein(spark):
     assert spark.range(1).select(F.levenshtein(F.lit("kitten"), F.lit("sitting")).alias("v")).first().v == 3
+
+
+def test_file_size_halves(spark):
+    """Halves go to the even digit, as the SQL's printf has it."""
+    cases = {"1023": "1023 B", "2560": "2 KB", "3584": "4 KB", "2561": "3 KB", "1310720": "1.2 MB", "1835008": "1.8 MB", "1048576": "1.0 MB", "1310721": "1.3 MB"}
+    assert values(spark, lambda x: T.file_size(x.cast("bigint")), cases) == list(cases.values())
