@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 from xml.sax.saxutils import escape, quoteattr
 
@@ -154,51 +155,97 @@ def write_batch(pairs: DataFrame, path: str) -> None:
 HEADS = ["Item", "Description", "Unit", "Qty", "Rate", "Amount"]
 
 
-def _sheet_xml(rows: list[list]) -> str:
-    def cell(k: int, r: int, v) -> str:
-        ref = f"{chr(65 + k)}{r}"
+class _Workbook:
+    """A plain .xlsx file written row by row and compressed as it grows, so that no sheet is held as text."""
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def __init__(self):
+        self.out, self.sheets, self.open = io.BytesIO(), [], None
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+
+    def start(self, sheet: str) -> None:
+        self.end()
+        self.sheets.append(sheet)
+        self.open, self.rows, self.text = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w", force_zip64=True), 0, [f'<worksheet xmlns="{self.main}"><sheetData>']
+
+    def row(self, values: list) -> None:
+        self.rows += 1
+        self.text.append(f'<row r="{self.rows}">{"".join(self._cell(k, v) for k, v in enumerate(values))}</row>')
+        if len(self.text) >= 1000:
+            self._flush()
+
+    def _cell(self, k: int, v) -> str:
+        ref = f"{chr(65 + k)}{self.rows}"
         if v is None or v != v:
             return ""
         return f'<c r="{ref}"><v>{v!r}</v></c>' if isinstance(v, (int, float)) else f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    body = "".join(f'<row r="{r}">{"".join(cell(k, r, v) for k, v in enumerate(vs))}</row>' for r, vs in enumerate(rows, 1))
-    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+    def _flush(self) -> None:
+        self.open.write("".join(self.text).encode())
+        self.text = []
+
+    def end(self) -> None:
+        if self.open is not None:
+            self.text.append("</sheetData></worksheet>")
+            self._flush()
+            self.open.close()
+            self.open = None
+
+    def close(self) -> bytes:
+        """The whole file, after its last sheet."""
+        self.end()
+        kinds, package = "http://schemas.openxmlformats.org/package/2006/content-types", "http://schemas.openxmlformats.org/package/2006/relationships"
+        doc = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        n = range(1, len(self.sheets) + 1)
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{doc}.worksheet+xml"/>' for k in n)
+        with self.zip as z:
+            z.writestr("[Content_Types].xml", f'<Types xmlns="{kinds}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{doc}.sheet.main+xml"/>{parts}</Types>')
+            z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{self.rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">' + "".join(f'<Relationship Id="rId{k}" Type="{self.rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n) + "</Relationships>")
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{self.main}" xmlns:r="{self.rel}"><sheets>' + "".join(f'<sheet name={quoteattr(s)} sheetId="{k}" r:id="rId{k}"/>' for k, s in zip(n, self.sheets)) + "</sheets></workbook>")
+        return self.out.getvalue()
 
 
 def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
     """A plain .xlsx file: sheet name -> rows of cells."""
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    kinds, package = "http://schemas.openxmlformats.org/package/2006/content-types", "http://schemas.openxmlformats.org/package/2006/relationships"
-    doc = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    n = range(1, len(sheets) + 1)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{doc}.worksheet+xml"/>' for k in n)
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{kinds}"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{doc}.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">' + "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n) + "</Relationships>")
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(s)} sheetId="{k}" r:id="rId{k}"/>' for k, s in zip(n, sheets)) + "</sheets></workbook>")
-        for k, rows in zip(n, sheets.values()):
-            z.writestr(f"xl/worksheets/sheet{k}.xml", _sheet_xml(rows))
-    return out.getvalue()
+    book = _Workbook()
+    for name, rows in sheets.items():
+        book.start(name)
+        for values in rows:
+            book.row(values)
+    return book.close()
 
 
 def priced_workbooks(pairs: DataFrame, sheet_rows: int = 1_000_000) -> DataFrame:
     """SK1, SK7 as files: (target_workbook, part, content), plain .xlsx files without styles.
 
-    One task writes one file.  A target of more rows than a sheet can hold in all is split into parts by row number,
-    so no task gathers an unbounded target.
+    One task writes one file, row by row as they come sorted; it holds the compressed file only.  A target of more rows
+    than a sheet can hold in all is split into parts by row number, so no task gathers an unbounded target.
     """
     rows = priced_rows(pairs).withColumn("part", F.floor(F.col("row") / sheet_rows).cast("int"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        sheets: dict[str, list[list]] = {}
-        for r in pdf.sort_values(["sheet", "row", "id"]).itertuples(index=False):
-            rate = None if pd.isna(r.rate) else float(r.rate)
-            sheets.setdefault(r.sheet, [HEADS]).append([r.code, r.description, r.unit, float(r.quantity), rate, None if rate is None else rate * float(r.quantity)])
-        return pd.DataFrame({"target_workbook": [pdf["target_workbook"].iloc[0]], "part": [pdf["part"].iloc[0]], "content": [workbook_bytes(sheets)]})
-
-    return rows.groupBy("target_workbook", "part").applyInPandas(one, "target_workbook string, part int, content binary")
+    file = ["target_workbook", "part"]
+    rows = rows.repartition(*file).sortWithinPartitions(*[F.asc_nulls_last(c) for c in (*file, "sheet", "row", "id")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, book = None, None
+        done = lambda: pd.DataFrame({"target_workbook": [at[0]], "part": [at[1]], "content": [book.close()]})
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                key = (r.target_workbook, None if pd.isna(r.part) else int(r.part))
+                if key != at:
+                    if book is not None:
+                        yield done()
+                    at, book = key, _Workbook()
+                if not book.sheets or book.sheets[-1] != r.sheet:
+                    book.start(r.sheet)
+                    book.row(HEADS)
+                rate = None if pd.isna(r.rate) else float(r.rate)
+                book.row([r.code, r.description, r.unit, float(r.quantity), rate, None if rate is None else rate * float(r.quantity)])
+        if book is not None:
+            yield done()
+
+    return rows.mapInPandas(run, "target_workbook string, part int, content binary")
 
 
 def archive(files: DataFrame, target: str) -> int:

@@ -95,8 +95,9 @@ def sk7(spark, d):
 
 @query("sk8_workbook_files", over_base("SELECT workbook || '_Reconciled.xlsx' AS name, (count(*) + count(DISTINCT sheet))::BIGINT AS rows FROM pairs GROUP BY workbook"))
 def sk8(spark, d):
-    """Files are written and read back: rows with their headings."""
+    """Files are written and read back: rows with their headings; the parts of a workbook count a sheet's heading once."""
     p = P.priced_workbooks(pairs(spark, d).withColumn("has_formula", F.col("size") % 9 == 0))
-    cells = X.cells_of(p.select(F.col("target_workbook").alias("path"), "content"))
-    rows = cells.select("workbook", "sheet", "row").distinct()
-    return rows.groupBy(F.col("workbook").alias("name")).agg(F.count("*").alias("rows"))
+    cells = X.cells_of(p.select(F.concat_ws(" ", "part", "target_workbook").alias("path"), "content"))
+    name, part = F.substring_index("workbook", " ", -1), F.substring_index("workbook", " ", 1)
+    rows = cells.select(name.alias("name"), F.when(F.col("row") > 1, part).alias("part"), "sheet", "row").distinct()
+    return rows.groupBy("name").agg(F.count("*").alias("rows"))

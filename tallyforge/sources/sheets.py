@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -23,6 +24,8 @@ from ..functions import text as T
 
 SHEET = ["workbook", "sheet"]
 CELLS = "workbook string, sheet string, row int, col int, raw string, formula string"
+#: Cells that a task hands over at once.
+AT_ONCE = 10_000
 #: Rows in which a header is looked for.
 FLAT_ROWS, TREE_ROWS = 40, 60
 ORDER = ["serial", "code", "description", "unit", "quantity", "composite", "partial", "rate", "amount", "bill", "section"]
@@ -40,7 +43,7 @@ def parse_workbook(name: str, content: bytes) -> Iterator[tuple]:
         for sheet in ET.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS):
             target = rels[sheet.get(f"{{{_NS['r']}}}id")]
             path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
-            for c in ET.fromstring(z.read(path)).iter(f"{{{_NS['m']}}}c"):
+            for c in _sheet_cells(z, path):
                 m = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r") or "")
                 v, f = c.find("m:v", _NS), c.find("m:f", _NS)
                 text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
@@ -53,6 +56,20 @@ def parse_workbook(name: str, content: bytes) -> Iterator[tuple]:
                     yield name, sheet.get("name"), int(m[2]), col, text, f.text if f is not None else None
 
 
+def _sheet_cells(z: zipfile.ZipFile, path: str) -> Iterator[ET.Element]:
+    """The cells of a sheet in order, each dropped with its row."""
+    cell, row, data = (f"{{{_NS['m']}}}{x}" for x in ("c", "row", "sheetData"))
+    rows = None
+    with z.open(path) as f:
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if event == "start":
+                rows = e if e.tag == data else rows
+            elif e.tag == cell:
+                yield e
+            elif e.tag == row and rows is not None:
+                rows.clear()
+
+
 def read_workbooks(spark: SparkSession, *paths: str) -> DataFrame:
     """SC1, SC6, SC9, SC10: cells of all workbooks under the paths (each distinct path once, whatever its case)."""
     return cells_of(spark.read.format("binaryFile").load(list({p.lower(): p for p in paths}.values())))
@@ -64,8 +81,9 @@ def cells_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                rows = list(parse_workbook(posixpath.basename(path), bytes(content)))
-                yield pd.DataFrame(rows, columns=["workbook", "sheet", "row", "col", "raw", "formula"])
+                cells = parse_workbook(posixpath.basename(path), bytes(content))
+                while rows := list(islice(cells, AT_ONCE)):
+                    yield pd.DataFrame(rows, columns=["workbook", "sheet", "row", "col", "raw", "formula"])
 
     return files.select("path", "content").mapInPandas(run, CELLS)
 

@@ -40,3 +40,25 @@ def test_linked_sheets(spark):
     m = spark.createDataFrame([("b.XLSX", "ONE"), ("b.xlsx", "Three"), ("b.xlsx", " ")], "workbook string, sheet string")
     assert {(r.workbook, r.sheet) for r in X.external_sheets(cells, m).collect()} == {("b.xlsx", "One"), ("b.xlsx", "Two"), ("b.xlsx", "Three")}
     assert [r.sheet for r in X.external_formulas(cells).collect()] == ["Two"]
+
+
+def test_parts_of_a_workbook_count_every_row(spark, monkeypatch):
+    """sk8 with targets that fill several files: rows of the same number in two parts are two rows."""
+    import duckdb
+
+    from tallyforge.plans.registry import ORACLES, QUERIES
+
+    whole = P.priced_workbooks
+    monkeypatch.setattr(P, "priced_workbooks", lambda p: whole(p, sheet_rows=300))
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = c.execute(ORACLES["sk8_workbook_files"]).fetchall()
+    assert sorted(map(tuple, QUERIES["sk8_workbook_files"](spark, SF).collect())) == sorted(want)
+
+
+def test_cells_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(X, "AT_ONCE", 7)
+    b = P.workbook_bytes({"S": [[k, f"t{k}"] for k in range(25)], "T": [["x"]]})
+    files = spark.createDataFrame([("a/b.xlsx", bytearray(b))], "path string, content binary")
+    assert X.cells_of(files).count() == 51
