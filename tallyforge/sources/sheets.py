@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators.checkpoints import cut
 
 SHEET = ["workbook", "sheet"]
 CELLS = "workbook string, sheet string, row int, col int, raw string, formula string"
 #: Cells that a task hands over at once.
 AT_ONCE = 10_000
+#: Parts that one task turns into cells: a few bytes of a file become many cells.
+PARTS_AT_ONCE = 50_000
 #: Rows in which a header is looked for.
 FLAT_ROWS, TREE_ROWS = 40, 60
 ORDER = ["serial", "code", "description", "unit", "quantity", "composite", "partial", "rate", "amount", "bill", "section"]
@@ -88,11 +91,23 @@ def cells_of(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def dealt(part: DataFrame) -> DataFrame:
+    """Parts in tasks of at most PARTS_AT_ONCE rows or so, however small their file is."""
+    return part.repartition(-(-max(1, part.count()) // PARTS_AT_ONCE), "p_partkey")
+
+
+def apart(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys to as many tasks as there are shuffle partitions; these are not joined up by their bytes,
+    of which a row has few in a shuffle and many in a task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def demo_cells(part: DataFrame, hierarchical: bool) -> DataFrame:
     """Parts as cells of three workbooks: one sheet a type, a heading row, then one row a part (its number is the row).
 
     Some quantities are in Arabic digits, some amounts formulas or broken cells.
     """
+    part = dealt(part)
     heads = ["Item", "Description", "Unit", "Qty", "Rate" if hierarchical else "Unit Rate", "Amount"]
     size, gap = F.col("p_size"), (F.col("p_size") % 5 == 0) if hierarchical else F.lit(False)
     quantity = F.when(size % 6 == 0, F.translate(size.cast("string"), "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(size.cast("string"))
@@ -121,7 +136,7 @@ def demo_ledger(part: DataFrame) -> DataFrame:
     """
     c, k = F.col, F.col("p_partkey")
     kind = F.when(c("p_type") == "STANDARD", "levels").when(c("p_type") == "PROMO", "arabic").otherwise("listed")
-    p = part.select("*", F.concat(F.lit("W"), (k % 3).cast("string")).alias("workbook"), c("p_type").alias("sheet"), kind.alias("kind"))
+    p = dealt(part).select("*", F.concat(F.lit("W"), (k % 3).cast("string")).alias("workbook"), c("p_type").alias("sheet"), kind.alias("kind"))
     text = lambda cond, v: F.when(cond, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in v]))
     listed = [text(k % 5 == 0, ["Bill ", k % 7]), text(k % 8 == 0, ["Class ", k % 4])]
     levels = [text(k % 2 == 0, ["Works"]), F.when(k % 10 == 0, "WORKS").otherwise(text(k % 3 != 0, ["Zone ", k % 3])), text(k % 4 == 0, ["Part ", k % 5])]
@@ -148,7 +163,7 @@ def demo_tree(part: DataFrame) -> DataFrame:
     """
     c, k = F.col, F.col("p_partkey")
     sheet = F.when(c("p_type") == "PROMO", "Provisional Sums").when(c("p_type") == "SMALL", "Cover").otherwise(c("p_type"))
-    p = part.where("p_type is not null").select("*", F.concat(F.lit("W"), (k % 3).cast("string")).alias("workbook"), sheet.alias("sheet"))
+    p = dealt(part.where("p_type is not null")).select("*", F.concat(F.lit("W"), (k % 3).cast("string")).alias("workbook"), sheet.alias("sheet"))
     null = F.lit(None).cast("string")
     figure = lambda x: F.format_string("%.2f", x)
     section = [F.when(k % 18 == 0, F.concat(F.lit("S"), (k % 4).cast("string"))), null, F.concat(F.lit("SECTION "), c("p_brand")), null, null, null, null]
@@ -305,12 +320,15 @@ VALUES = ["code", "serial", "description", "unit", "quantity", "rate", "amount",
 
 
 def _wide(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per sheet row below its header: each role's text, and the texts of the hierarchy columns from left to right."""
-    j = cells.join(headers, ["workbook", "sheet"]).where(F.col("row") > F.when(F.col("found"), F.col("header")).otherwise(0))
+    """One row per sheet row below its header: each role's text, and the texts of the hierarchy columns from left to right.
+
+    headers: one row a sheet.  Rows are dealt one by one, so neither a sheet nor a file is one task.
+    """
+    j = cells.join(F.broadcast(headers), ["workbook", "sheet"]).where(F.col("row") > F.when(F.col("found"), F.col("header")).otherwise(0))
     level = F.when(F.array_contains("hierarchy", F.col("col")) & (F.trim("raw") != ""), F.struct("col", F.trim("raw").alias("raw")))
     known = [r for r in VALUES if r in headers.columns]
     roles = [F.max(F.when(F.col("col") == F.col(r), F.col("raw"))).alias(f"v_{r}") for r in known]
-    w = j.groupBy("workbook", "sheet", "row").agg(*roles, F.array_sort(F.collect_list(level)).alias("levels"), F.first("currency").alias("currency"))
+    w = apart(j, "workbook", "sheet", "row").groupBy("workbook", "sheet", "row").agg(*roles, F.array_sort(F.collect_list(level)).alias("levels"), F.first("currency").alias("currency"))
     return w.select("workbook", "sheet", "row", "currency", F.transform("levels", lambda x: x["raw"]).alias("levels"), *[F.col(f"v_{r}").alias(r) for r in known])
 
 
@@ -435,9 +453,9 @@ def hierarchical_items(cells: DataFrame) -> DataFrame:
     Non-bill sheets are skipped unless they are their workbook's only sheet (of those with cells).
 
     No machine runs over the rows.  A row with a quantity or unit ends what is known of codes and serial numbers whether it
-    closes an item or not (it fails only if nothing is known), so blocks between such rows are counted first; then which of
-    them are items follows, and texts meet their item by the number of items before and of codes so far.  All of it are
-    running windows along a sheet, which the format limits to 1,048,576 rows, over one shuffle.
+    closes an item or not (it fails only if nothing is known), so blocks between such rows are told first; then which of
+    them are items follows, and texts meet their item by the last item before and the last code so far.  All of it are
+    running windows along a sheet, which the format limits to 1,048,576 rows, over narrow rows in one order.
     """
     c = F.col
     sheets = cells.select(*SHEET).distinct().groupBy("workbook").agg(F.count("*").alias("_sheets"))
@@ -456,18 +474,29 @@ def hierarchical_items(cells: DataFrame) -> DataFrame:
         "_code": F.when(~c("_section") & (c("code") != "") & (F.length("code") <= CODE_LENGTH) & ~F.upper("code").isin(NO_CODE), c("code")),
         "_text": F.when(~c("_section") & (c("text") != "") & ~up.isin(NO_TEXT), c("text")), "_closes": c("_unit") | (c("quantity") > 0),
     })
+    # what runs along a sheet goes by narrow rows in one order; the texts and figures come back row by row
+    w = cut(w)
     down = Window.partitionBy(*SHEET).orderBy("row")
     so_far, before = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda x, over: F.coalesce(F.sum(x.cast("int")).over(over), F.lit(0))
-    w = w.withColumns({"section": F.coalesce(F.last(F.when(c("_section"), c("text")), ignorenulls=True).over(so_far), F.lit("")), "_block": count(c("_closes"), before)})
-    within = Window.partitionBy(*SHEET, "_block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumns({"_last_code": F.last("_code", ignorenulls=True).over(within), "_last_serial": F.last("_serial", ignorenulls=True).over(within)})
+    last = lambda x, over: F.last(x, ignorenulls=True).over(over)
+    at = lambda x: F.when(c(x).isNotNull(), F.struct("row", c(x).alias("v")))
+    n = apart(w.select(*SHEET, "row", F.when(c("_section"), c("text")).alias("named"), "_section", "_closes", "_unit", (c("quantity") > 0).alias("_counted"), "_rate_only", "_code", "_serial"), *SHEET)
+    # a block is named by the row that closed the one before
+    n = n.withColumns({"section": F.coalesce(last("named", so_far), F.lit("")), "_block": F.coalesce(last(F.when(c("_closes"), c("row")), before), F.lit(0)), "_c": last(at("_code"), so_far), "_s": last(at("_serial"), so_far)})
+    inside = lambda x: F.when(c(f"{x}.row") > c("_block"), c(f"{x}.v"))
+    n = n.withColumns({"_last_code": inside("_c"), "_last_serial": inside("_s")})
     # without a code the serial number known at the first row that is no section stands for it
-    w = w.withColumn("item_code", F.coalesce("_last_code", F.first(F.when(~c("_section"), c("_last_serial")), ignorenulls=True).over(within)))
-    w = w.withColumn("_item", c("_closes") & ((c("_unit") & (c("quantity") > 0)) | (c("_unit") & c("_rate_only")) | c("item_code").isNotNull()))
-    w = w.withColumn("_piece", count(c("_item"), before) + count(c("_code").isNotNull(), so_far))
+    known = ~c("_section") & c("_last_serial").isNotNull()
+    n = n.withColumn("_known", F.when(known, c("row")))
+    n = n.withColumn("_first", F.when(known & (F.coalesce(last("_known", before), F.lit(0)) <= c("_block")), F.struct("row", c("_last_serial").alias("v"))))
+    n = n.withColumn("_f", last("_first", so_far))
+    n = n.withColumn("item_code", F.coalesce("_last_code", inside("_f")))
+    n = n.withColumn("_item", c("_closes") & ((c("_unit") & c("_counted")) | (c("_unit") & c("_rate_only")) | c("item_code").isNotNull()))
+    # a piece is named by the last item before and the last code so far
+    n = n.withColumns({"_after": F.coalesce(last(F.when(c("_item"), c("row")), before), F.lit(0)), "_from": F.coalesce("_c.row", F.lit(0))})
+    w = w.join(n.select(*SHEET, "row", "section", "_last_serial", "item_code", "_item", "_after", "_from"), [*SHEET, "row"])
     item = F.struct("row", "section", "item_code", F.coalesce("_last_serial", "item_code").alias("serial"), c("text").alias("line"), "unit", "quantity", "rate", "amount", "raw_quantity", "raw_rate", "raw_amount", "_rate_only", "currency")
-    g = w.groupBy(*SHEET, "_piece").agg(
+    g = apart(w, *SHEET, "_after", "_from").groupBy(*SHEET, "_after", "_from").agg(
         F.array_sort(F.collect_list(F.when(c("_text").isNotNull(), F.struct("row", "_text")))).alias("texts"),
         F.min(F.when(c("_code").isNotNull() | c("_text").isNotNull(), c("row"))).alias("start"), F.max(F.when(c("_item"), item)).alias("i"),
     ).where("i is not null").select(*SHEET, "texts", "start", "i.*")
