@@ -527,10 +527,14 @@ def profile(cells: DataFrame) -> DataFrame:
     h = resolve_headers(cells)
     w = _wide(cells, h).groupBy(*SHEET).agg(F.count_if(T.parse_positive(F.col("rate")).isNotNull()).alias("priced"))
     low, top = F.lower("raw"), F.when(F.col("found"), F.col("header")).otherwise(0)
-    j = cells.join(h.select(*SHEET, "found", "header"), SHEET, "left")
+    j = cells.join(F.broadcast(h.select(*SHEET, "found", "header")), SHEET, "left")
     tender = (F.col("row") < top) & reduce(lambda a, b: a | b, [low.contains(x) for x in TENDER_WORDS])
     heading = F.when((F.col("row") == top) & (F.length("raw") <= 40), F.col("raw"))
-    rows = j.groupBy(*SHEET).agg(F.count_distinct("row").alias("rows"), F.greatest(F.lit(0), F.max("row") - F.coalesce(F.max(top), F.lit(0))).cast("long").alias("estimated"), F.array_sort(F.collect_set(heading)).alias("headers"), F.coalesce(F.bool_or(tender), F.lit(False)).alias("metadata"))
+    # row by row first, in figures of fixed width
+    each = apart(j.select(*SHEET, "row", top.alias("top"), tender.alias("tender")), *SHEET, "row").groupBy(*SHEET, "row").agg(F.max("top").alias("top"), F.bool_or("tender").alias("tender"))
+    rows = each.groupBy(*SHEET).agg(F.count("*").alias("rows"), F.greatest(F.lit(0), F.max("row") - F.coalesce(F.max("top"), F.lit(0))).cast("long").alias("estimated"), F.coalesce(F.bool_or("tender"), F.lit(False)).alias("metadata"))
+    heads = j.select(*SHEET, heading.alias("heading")).where("heading is not null").groupBy(*SHEET).agg(F.array_sort(F.collect_set("heading")).alias("headers"))
+    rows = rows.join(heads, SHEET, "left").withColumn("headers", F.coalesce("headers", F.array().cast("array<string>")))
     return rows.join(w, SHEET, "left").fillna(0, ["priced"]).select(*SHEET, "rows", "priced", "estimated", "headers", "metadata")
 
 
