@@ -18,6 +18,14 @@ def test_cells_are_made_in_many_tasks(part, cells):
     assert len(sizes) >= 10 and max(sizes) < 700  # three or four rows a part
 
 
+def test_rows_are_dealt_apart(spark, part):
+    """One sheet of 801 rows with figures is no one task where its rows are gathered."""
+    cells = X.demo_cells(part, False)
+    w = X._wide(cells, X.resolve_headers(cells))
+    sizes = [n for n in w.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 1000 and max(sizes) < 300
+
+
 def test_long_block(spark):
     """Codes, serial numbers and sections over a block that many rows share, a row that fails to close, and an item after it."""
     head = ["S/N", "Item No.", "Description", "Unit", "Qty", "Rate", "Amount"]
