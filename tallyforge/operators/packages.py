@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import analytics as A
+from .checkpoints import cut
 from .store import rate_cell_action
 
 # The stored tables and the layout version that brings each group of columns (DB1-DB4).
@@ -57,11 +58,11 @@ def variance_columns(base: Column, now: Column) -> tuple[Column, Column]:
 
 
 def analytics_bundle(pairs: DataFrame, audited: DataFrame) -> dict[str, DataFrame]:
-    """AG22: all analyses of a tender, each a lazy plan over the same pairs; nothing runs until one is read.
+    """AG22: all analyses of a tender, each a plan over the same pairs; the anomalies, which two of them need, are found once.
 
     audited: id, unit_rate, quantity, total_amount of the priced items.
     """
-    anomalies = A.rate_audit(audited)
+    anomalies = cut(A.rate_audit(audited))
     n = F.lit(anomalies.count())
     return {
         "pareto": A.pareto(pairs), "trades": A.trade_breakdown(pairs), "variance": A.variance(pairs), "distribution": A.distribution(pairs, "injected_rate", "bill"),
