@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, whole_rows
+from .common import FEW, ROW, cut, whole_rows
 
 DIMS = ("_src", "_lng", "_top")
 #: Raking ends when no sum is off its target by more than this part of the target, or after ROUNDS rounds.
@@ -54,6 +54,10 @@ def raked_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ro
     by default each value's token share to the power ``temper``, normalised.
     """
     cells = cut(_with_cells(docs).groupBy(*DIMS).agg(F.sum("_tok").alias("tok")))
+    # rounds over so few cells are one task each, whatever the number of shuffle partitions: empty ones would only load the driver
+    few = cells.limit(FEW + 1).count() <= FEW
+    if few:
+        cells = cut(cells.coalesce(1)).coalesce(1)
     marginals = {d: cells.groupBy(d).agg(F.sum("tok").alias("_m")) for d in DIMS}
     norm: dict[str, float] = {}
     if targets is None:  # one number a dimension reaches the driver
@@ -66,16 +70,22 @@ def raked_cells(docs: DataFrame, targets: dict[str, DataFrame] | None = None, ro
         else:
             t = targets[name].select(F.col("value").alias(d), F.col("share").cast("double").alias("_t" + d))
         r = r.join(t, d, "left").fillna(0.0, ["_t" + d])
-    r = cut(r)
+    r = cut(r).coalesce(1) if few else cut(r)
     residual = 0.0
     for _ in range(rounds):
         r = r.withColumn("_off", F.lit(0.0))
         for d in DIMS:
-            m = r.groupBy(d).agg(F.sum("w").alias("_m"))
+            if few:
+                r = r.withColumn("_m", F.sum("w").over(Window.partitionBy(d)))
+            else:
+                r = r.join(r.groupBy(d).agg(F.sum("w").alias("_m")), d)
             target = F.col("_t" + d)
             off = F.when((F.col("_m") > 0) & (target > 0), F.abs(F.col("_m") / target - 1)).otherwise(F.col("_m"))
-            # r stands in both sides of the join: without the cut the plan would double with every step
-            r = cut(r.join(m, d).withColumns({"w": F.when(F.col("_m") > 0, F.col("w") * target / F.col("_m")).otherwise(F.lit(0.0)), "_off": F.greatest("_off", off)}).drop("_m"))
+            r = r.withColumns({"w": F.when(F.col("_m") > 0, F.col("w") * target / F.col("_m")).otherwise(F.lit(0.0)), "_off": F.greatest("_off", off)}).drop("_m")
+            if not few:  # r stands in both sides of the join: without the cut the plan would double with every step
+                r = cut(r)
+        if few:
+            r = cut(r).coalesce(1)
         residual = r.agg(F.coalesce(F.max("_off"), F.lit(0.0))).first()[0]
         r = r.drop("_off")
         if residual <= TOLERANCE:

@@ -21,6 +21,8 @@ from .labelled import held_out, labelled_docs
 
 #: Labelled documents and preference pairs used for learning.
 SAMPLE, PAIRS = 20_000, 200_000
+#: Pairs whose feature differences are held at once.
+BLOCK = 8192
 _UPPER, _LOWER, _DIGIT = (np.isin(np.arange(256), list(s)) for s in (range(65, 91), range(97, 123), range(48, 58)))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _HIGH = np.arange(256) >= 128
@@ -85,12 +87,16 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, s
         return Ranker(mean, scale, np.zeros(w.shape[1]), 1.0 if len(bad) and not len(good) else -1.0)
     z = np.clip((w - mean) / scale, -6, 6)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
     beta = np.zeros(w.shape[1])
     for _ in range(12):
-        p = 1 / (1 + np.exp(np.clip(d @ beta, -30, 30)))
-        grad = -(d * p[:, None]).mean(axis=0) + ridge * beta
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(beta))
+        # block by block: the differences of all pairs would be a hundred MB, and as much again for each product with them
+        grad, hess = ridge * beta, ridge * np.eye(len(beta))
+        for i in range(0, pairs, BLOCK):
+            d = z[a[i : i + BLOCK]] - z[b[i : i + BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(d @ beta, -30, 30)))
+            grad -= p @ d / pairs
+            hess += (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hess, grad)
         beta -= step
         if np.abs(step).max() < 1e-6:
